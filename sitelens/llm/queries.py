@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, pii
+from . import chat, decontam, jaccard, pii
 
-MODULES = [chat, decontam, pii]
+MODULES = [chat, decontam, pii, jaccard]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
