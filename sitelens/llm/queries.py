@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, jaccard, packing, pii
+from . import chat, decontam, jaccard, packing, pii, toxicity
 
-MODULES = [packing, chat, decontam, pii, jaccard]
+MODULES = [packing, chat, decontam, toxicity, pii, jaccard]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
