@@ -7,8 +7,8 @@ to capacity, found by a bitset subset-sum over lengths with counts and backtrack
 more piece is cut for the rest. At the end of a task the last tokens go to sequences of power-of-two lengths, so that
 nothing is padded.
 
-Tokens: white space never lies inside a token of this vocabulary, so words between it are encoded once and kept in a
-bounded table.
+Tokens: the vocabulary's pieces (words, digits, runs of marks) are encoded once each and kept in a bounded table; texts
+with characters beyond 255, special tokens' openings or separators 28 to 31 go to the tokenizer whole.
 
 Defined cases: null text counts as empty and gives one piece, the end token alone; repeated rows and repeated or null
 doc_ids are documents each; no rows give no rows; other columns are ignored.
@@ -29,11 +29,34 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-#: Words kept between tasks of a worker; then the table starts anew.
-WORDS = 250_000
+#: Pieces kept between tasks of a worker; then the table starts anew.
+WORDS = 500_000
 #: Tokens in the pool before windows are taken from it, in windows.
-POOL = 256
-_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+POOL = 64
+_LETTER, _NUMBER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The vocabulary's own rule for pieces, for characters below 256.
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
+_ODD = re.compile("[\x1c-\x1f]|<\\|")
+
+
+def _byte_symbols() -> list[str]:
+    """The character that stands for each byte: printable ones for themselves, the others from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
+_BYTE = _byte_symbols()
+
+
+def _plain(text: str) -> bool:
+    """Whether pieces of the text can be looked up: below 256 lower case and composition change nothing else."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return not _ODD.search(text)
 
 
 class WordTable:
@@ -53,30 +76,37 @@ class WordTable:
         self.used = 0
 
     def add(self, new: list[str]) -> None:
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.encoder.encode_batch(part, add_special_tokens=False), strict=True):
-                ids, k = e.ids, len(self.place)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if k + 1 >= len(self.start):
-                    self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.place[w] = k
-                self.start[k + 1] = self.used
+        ids, sizes, tokenize = [], [], self.encoder.model.tokenize
+        for w in new:
+            own = [t.id for t in tokenize(w if w.isascii() and w.isprintable() else "".join(_BYTE[b] for b in w.encode()))]
+            ids += own
+            sizes.append(len(own))
+        k = len(self.place)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + len(new) >= len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[k + 1 : k + 1 + len(new)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.place.update(zip(new, range(k, k + len(new))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [_WORD.findall(t) for t in texts]
+        """Token ids of each text, as the tokenizer gives them for the whole text."""
+        words = [_PIECE.findall(t.lower()) if _plain(t) else None for t in texts]
         place = self.place
-        new = {w for own in words for w in own if w not in place}
+        new = {w for own in words if own for w in own if w not in place}
         if len(place) + len(new) > WORDS and place:
             self.clear()
             place = self.place
-            new = {w for own in words for w in own}
-        self.add(list(new))
+            new = {w for own in words if own for w in own}
+        if new:
+            self.add(list(new))
         out = []
-        for own in words:
+        for t, own in zip(texts, words, strict=True):
+            if own is None:
+                out.append(np.array(self.encoder.encode(t, add_special_tokens=False).ids, np.uint32))
+                continue
             k = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
             lo, n = self.start[k], self.start[k + 1] - self.start[k]
             end = np.cumsum(n)
