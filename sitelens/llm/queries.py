@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, jaccard, packing, pii, rollup, toxicity, warc
+from . import audio, chat, decontam, jaccard, packing, pii, rollup, toxicity, warc
 
-MODULES = [packing, chat, decontam, rollup, toxicity, pii, jaccard, warc]
+MODULES = [packing, chat, audio, decontam, rollup, toxicity, pii, jaccard, warc]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
