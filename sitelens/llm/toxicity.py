@@ -207,15 +207,15 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0) -> tu
 
 
 def _distinct(folded: list[np.ndarray]) -> list[int]:
-    """Places of texts that share little with an earlier one, by their least hashes of 8 letters."""
-    mult = np.array([31**k for k in range(8)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    """Places of texts that share little with an earlier one, by their least hashes of 24 symbols."""
+    mult = np.array([31**k % 2**64 for k in range(24)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     seen: dict[int, int] = {}
     out = []
     for i, s in enumerate(folded):
-        if len(s) < 8:
+        if len(s) < 24:
             out.append(i)
             continue
-        h = np.lib.stride_tricks.sliding_window_view(s.astype(np.uint64) + np.uint64(1), 8) @ mult
+        h = np.lib.stride_tricks.sliding_window_view(s.astype(np.uint64) + np.uint64(1), 24) @ mult
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         low = np.unique(h)[:16].tolist()
         if sum(x in seen for x in low) < max(1, len(low) // 3):
@@ -356,6 +356,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, text string, score double")
 
 
+def keep_below(shared, at: int, limit: float) -> callable:
+    """For mapInArrow: the rows, whole, whose text (column ``at``) scores below the limit."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        for batch in batches:
+            keep = model.scores([t or "" for t in batch.column(at).to_pylist()]) < limit
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity by a machine fitted to the labelled rows that aren't held out."""
     docs = documents(spark, sf_dir)
