@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -61,7 +63,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges whose bytes stay near ``most`` (a longer single text is a range of its own)."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -71,10 +73,18 @@ def chunks(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]
         i = j
 
 
-def collect_bounded(df: DataFrame, most: int) -> list | None:
-    """All rows if there are at most ``most``, else None; reads no more than ``most + 1`` rows to the driver."""
-    rows = df.limit(most + 1).collect()
-    return rows if len(rows) <= most else None
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows; at their end the worker gives unused memory back."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+    tidy()
+
+
+def tidy() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ A document's set are its distinct 5-word shingles as 64-bit hashes; documents of
 * light, both sets of at most ``boundary`` shingles: linked sets share a subset of the size their overlap needs; all
   such fixed-size subsets are enumerated and equal ones meet;
 * heavy, the larger set above the boundary: inverted lists over each set's necessary prefix are scanned, tokens ordered
-  by rarity (a sketch of fixed size over all documents), with size and index-probe bounds.
+  by rarity (a counting sketch of bounded size over all documents), with size and index-probe bounds.
 
 The boundary is the one of least cost: subsets to write against list entries to scan. Entries travel as packed blocks,
 a bounded number each; lists of tokens that very many documents hold are dealt over blocks by node. What meets in a list
@@ -21,6 +21,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
@@ -31,15 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import chunks, connected_components, documents, drop, table, utf8
+from .common import chunks, connected_components, documents, slices, table, tidy, utf8
 
 U = np.uint64
-#: Counters of the rarity sketch, and of each row it travels in.
-SKETCH, PART = 1 << 20, 1 << 14
+#: Shingles to a counter of the rarity sketch, up to 2**MOST counters in all (64 MB); counters of each row it travels in.
+LOAD, MOST, PART = 8, 26, 1 << 14
 #: Sets up to this size can be light.
 MOST_LIGHT = 12
 #: Entries of a block of lists; documents of a token above which its list is dealt over blocks; bytes of a group of sets.
-BLOCK, HOT, GROUP = 1_500_000, 1 << 17, 32 << 20
+BLOCK, HOT, GROUP = 500_000, 1 << 17, 24 << 20
 
 
 def need(n: int, m: int, num: int, den: int) -> int:
@@ -76,27 +77,36 @@ def _sets(batch: pa.RecordBatch, at: int, k: int) -> Iterator[np.ndarray]:
 _NODES = "n long, node long, small binary, part int, counts binary"
 
 
-def _nodes(k: int) -> callable:
+def _nodes(k: int, size: int) -> callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(SKETCH, np.int64)
+        count = np.zeros(size, np.uint16)
+
+        def add(flat: list[np.ndarray]) -> None:
+            at, n = np.unique((np.concatenate(flat) & U(size - 1)).astype(np.int64), return_counts=True)
+            count[at] = np.minimum(count[at] + n, 65535)
+
         kind = None
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0)
             kind = ids.type
-            ns, nodes, small, flat = [], [], [], []
+            ns, nodes, small, flat, held = [], [], [], [], 0
             for s in _sets(batch, 1, k):
                 ns.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
                 small.append(s.tobytes() if len(s) <= MOST_LIGHT else None)
                 flat.append(s)
+                held += len(s)
+                if held > 500_000:
+                    add(flat)
+                    flat, held = [], 0
             if flat:
-                count += np.bincount((np.concatenate(flat) & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                add(flat)
             m = len(ns)
             yield pa.record_batch([ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(small, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["doc_id", "n", "node", "small", "part", "counts"])
-        parts = [p for p in range(SKETCH // PART) if count[p * PART : (p + 1) * PART].any()] if kind else []
+        parts = [p for p in range(size // PART) if count[p * PART : (p + 1) * PART].any()] if kind else []
         if parts:
             m = len(parts)
-            yield pa.record_batch([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(parts, pa.int32()), pa.array([count[p * PART : (p + 1) * PART].tobytes() for p in parts], pa.binary())], names=["doc_id", "n", "node", "small", "part", "counts"])
+            yield pa.record_batch([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(parts, pa.int32()), pa.array([zlib.compress(count[p * PART : (p + 1) * PART].tobytes(), 1) for p in parts], pa.binary())], names=["doc_id", "n", "node", "small", "part", "counts"])
 
     return run
 
@@ -104,14 +114,14 @@ def _nodes(k: int) -> callable:
 def _level(t: pa.Table) -> pa.Table:
     total = np.zeros(PART, np.int64)
     for c in t.column("counts"):
-        total += np.frombuffer(c.as_py(), np.int64)
+        total += np.frombuffer(zlib.decompress(c.as_py()), np.uint16)
     level = np.floor(4 * np.log2(1 + total)).astype(np.uint8)
     return pa.table({"part": t.column("part")[:1], "level": pa.array([level.tobytes()], pa.binary())})
 
 
 def _ordered(s: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A sorted set by rarity, then hash, and the levels."""
-    lv = levels[(s & U(SKETCH - 1)).astype(np.int64)]
+    lv = levels[(s & U(len(levels) - 1)).astype(np.int64)]
     order = np.argsort(lv, kind="stable")
     return s[order], lv[order]
 
@@ -139,7 +149,7 @@ def _lists(shared, k: int, num: int, den: int) -> callable:
             key = np.concatenate(keys)
             reps = [len(x) for x in keys]
             node, n, flag = np.repeat(np.array(nodes, np.int64), reps), np.repeat(np.array(sizes, np.uint32), reps), np.concatenate(flags)
-            lv = levels[(key & U(SKETCH - 1)).astype(np.int64)]
+            lv = levels[(key & U(len(levels) - 1)).astype(np.int64)]
             deal = np.where(flag >= 2, wh.mix(node.view(U)) % np.maximum(1, np.exp2(lv / 4) / hot).astype(U), U(0))
             block = (wh.mix(key + deal * U(0xD6E8FEB86659FD93)) % U(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
@@ -147,7 +157,7 @@ def _lists(shared, k: int, num: int, den: int) -> callable:
             rows = [order[a:b] for a, b in zip(cut, [*cut[1:], len(order)], strict=True)]
             return pa.record_batch([pa.array(block[order][cut]), *(pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (key, node, n, flag))], names=["block", "key", "node", "n", "flag"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for s in _sets(batch, 0, k):
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
@@ -170,7 +180,7 @@ def _lists(shared, k: int, num: int, den: int) -> callable:
                 nodes.append(node)
                 sizes.append(n)
                 held += len(keys[-1])
-                if held > 1_000_000:
+                if held > 300_000:
                     yield packed()
                     keys, nodes, sizes, flags, held = [], [], [], [], 0
         if held:
@@ -203,6 +213,7 @@ def _chains(num: int, den: int) -> callable:
         dealt = flag >= 2
         u, v = np.concatenate([u, node[dealt]]), np.concatenate([v, wh.mix(key[dealt] ^ U(0xA0761D6478BD642F)).view(np.int64)])
         e = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+        tidy()
         return pa.table({"u": e[:, 0].copy(), "v": e[:, 1].copy()})
 
     return run
@@ -277,6 +288,7 @@ def _exact(num: int, den: int) -> callable:
                 if r != i:
                     u.append(node[a + i])
                     v.append(node[a + r])
+        tidy()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
@@ -303,7 +315,7 @@ def _wanted(shared, k: int) -> callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, n_bits = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             at = (wh.mix(ids.astype(np.int64).view(U)) & U(n_bits - 1)).astype(np.int64)
             own = np.flatnonzero((raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
@@ -369,9 +381,12 @@ def near_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, gro
     sc = spark.sparkContext
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    both, path = table(docs.mapInArrow(_nodes(k), f"doc_id {id_type}, {_NODES}"), "sets")
+    # some six letters a word
+    words = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] // 6
+    size = 1 << min(MOST, max(16, (int(words) // LOAD).bit_length()))
+    both, path = table(docs.mapInArrow(_nodes(k, size), f"doc_id {id_type}, {_NODES}"), "sets")
     nodes = both.where("part is null").select("doc_id", "n", "node")
-    levels = np.zeros(SKETCH, np.uint8)
+    levels = np.zeros(size, np.uint8)
     for r in both.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_level, "part int, level binary").collect():
         levels[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["level"], np.uint8)
     costs = both.where("small is not null and part is null").select("small").mapInArrow(_costs(sc.broadcast(levels), num, den), "n long, c long, s double").groupBy("n").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
@@ -387,7 +402,7 @@ def near_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, gro
     wanted, wanted_path = table(firsts.where("rep is not null").join(met.select("node", "component"), "node"), "wanted")
     by_comp = wanted.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("nodes")).where("nodes > 1")
     total = by_comp.agg(F.count("*").alias("c"), F.coalesce(F.sum("size"), F.lit(0)).alias("s"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("n")).first()
-    groups = max(24, int(total["s"] * 8 // group_bytes) + 1)
+    groups = max(24, int(total["s"] * 48 // group_bytes) + 1)
     wanted = wanted.join(by_comp.select("component", "size"), "component")
     n_bits = 1 << min(28, max(17, int(total["n"] * 16).bit_length()))
     raw = np.zeros(n_bits // 8, np.uint8)
