@@ -20,6 +20,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,16 +176,17 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def export_archives(archives: DataFrame, folder: str) -> None:
-    """Put each archive out as a file of ``folder`` (any address that pyarrow.fs knows), named by its content."""
+    """Put each archive out as a file of ``folder`` (any address that pyarrow.fs knows), named by its place and content."""
 
     def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
-        for b in slices(batches, 1):
+        part = TaskContext.get().partitionId()
+        for k, b in enumerate(slices(batches, 1)):
             data = b.column(0)[0].as_py()
-            name = f"{path}/{hashlib.sha1(data).hexdigest()}.warc.zst"
+            name = f"{path}/{part:05d}-{k:05d}-{hashlib.sha1(data).hexdigest()}.warc.zst"
             with store.open_output_stream(f"{name}.part") as f:
                 f.write(data)
             store.move(f"{name}.part", name)
