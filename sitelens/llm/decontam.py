@@ -105,47 +105,63 @@ def _rarity(block) -> callable:
     return count
 
 
+def _hits(w: Windows, bits: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> tuple[dict, dict]:
+    """By row: hit spans in words from the row's first, and items."""
+    got_s, got_w = [], []
+    for k in w.sizes:
+        s = wh.shingles(h, k)
+        pos = member(w.first, bits, s)
+        lo, hi = np.searchsorted(w.token, s[pos], "left"), np.searchsorted(w.token, s[pos], "right")
+        n = hi - lo
+        at = np.repeat(pos, n)
+        e = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        win = w.window[e]
+        start = at - w.at[e]
+        row = np.searchsorted(bounds, at, "right") - 1
+        ok = (start >= bounds[row]) & (start + w.length[win] <= bounds[row + 1])
+        start, win = start[ok], win[ok]
+        for size in np.unique(w.length[win]):
+            own = np.flatnonzero(w.length[win] == size)
+            own = own[(h[start[own][:, None] + np.arange(size)] == w.matrix[win[own], :size]).all(1)]
+            got_s.append(start[own])
+            got_w.append(win[own])
+    spans: dict[int, list] = {}
+    items: dict[int, set] = {}
+    if got_s:
+        start, win = np.concatenate(got_s), np.concatenate(got_w)
+        order = np.argsort(start, kind="stable")
+        rows = np.searchsorted(bounds, start[order], "right") - 1
+        for r, s, x in zip(rows.tolist(), start[order].tolist(), win[order].tolist(), strict=True):
+            s -= int(bounds[r])
+            e = s + int(w.length[x])
+            own = spans.setdefault(r, [])
+            if own and s <= own[-1][1]:
+                own[-1][1] = max(own[-1][1], e)
+            else:
+                own.append([s, e])
+            items.setdefault(r, set()).update(w.items[x])
+    return spans, items
+
+
+def _keep(block, at: int) -> callable:
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w: Windows = block.value
+        bits = bits_of(w.first)
+        for batch in batches:
+            data, offs = utf8(batch.column(at))
+            ok = np.ones(batch.num_rows, bool)
+            for i, j in chunks(offs):
+                h, _, bounds = wh.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], wh.ALNUM)
+                ok[[i + r for r in _hits(w, bits, h, bounds)[0]]] = False
+            yield batch.filter(pa.array(ok))
+
+    return keep
+
+
 _FOUND = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
 
 def _scan(block, last: bool) -> callable:
-    def hits(w: Windows, bits: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> tuple[dict, dict]:
-        """By row: hit spans in words from the row's first, and items."""
-        got_s, got_w = [], []
-        for k in w.sizes:
-            s = wh.shingles(h, k)
-            pos = member(w.first, bits, s)
-            lo, hi = np.searchsorted(w.token, s[pos], "left"), np.searchsorted(w.token, s[pos], "right")
-            n = hi - lo
-            at = np.repeat(pos, n)
-            e = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            win = w.window[e]
-            start = at - w.at[e]
-            row = np.searchsorted(bounds, at, "right") - 1
-            ok = (start >= bounds[row]) & (start + w.length[win] <= bounds[row + 1])
-            start, win = start[ok], win[ok]
-            for size in np.unique(w.length[win]):
-                own = np.flatnonzero(w.length[win] == size)
-                own = own[(h[start[own][:, None] + np.arange(size)] == w.matrix[win[own], :size]).all(1)]
-                got_s.append(start[own])
-                got_w.append(win[own])
-        spans: dict[int, list] = {}
-        items: dict[int, set] = {}
-        if got_s:
-            start, win = np.concatenate(got_s), np.concatenate(got_w)
-            order = np.argsort(start, kind="stable")
-            rows = np.searchsorted(bounds, start[order], "right") - 1
-            for r, s, x in zip(rows.tolist(), start[order].tolist(), win[order].tolist(), strict=True):
-                s -= int(bounds[r])
-                e = s + int(w.length[x])
-                own = spans.setdefault(r, [])
-                if own and s <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], e)
-                else:
-                    own.append([s, e])
-                items.setdefault(r, set()).update(w.items[x])
-        return spans, items
-
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Windows = block.value
         bits = bits_of(w.first)
@@ -156,7 +172,7 @@ def _scan(block, last: bool) -> callable:
             for i, j in chunks(offs):
                 h, _, bounds = wh.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], wh.ALNUM)
                 n_words.append(np.diff(bounds))
-                new, ids = hits(w, bits, h, bounds)
+                new, ids = _hits(w, bits, h, bounds)
                 for r in range(j - i):
                     own = sorted([[x["start"], x["stop"]] for x in old_spans[i + r]] + new.get(r, []))
                     merged: list = []
@@ -173,38 +189,49 @@ def _scan(block, last: bool) -> callable:
     return scan
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows doc_id, spans (hit words, from 0, stop exclusive), items (item_ids as text), n_words; one per row of docs."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+def _blocks(docs: DataFrame, items: DataFrame, window: int, block_words: int) -> Iterator[tuple[object, bool]]:
+    """(broadcast windows of a block with their prefixes chosen, whether it is the last block)."""
+    sc = docs.sparkSession.sparkContext
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null").distinct()
     sized = items.withColumn("n", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(total) // block_words))
-    rows = docs.select("doc_id", "text", F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    id_type = T.StructField("doc_id", docs.schema["doc_id"].dataType)
-    rest = [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())]
-    written = None
     for b in range(blocks):
         own = sized.where((F.col("n") > 0) & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)).select("item_id", "text").orderBy("item_id", "text").collect()
         w = Windows([r["item_id"] for r in own], [r["text"] for r in own], window)
-        first = sc.broadcast(w)
         count = np.zeros(len(w.known), np.int64)
         if len(w.known):
-            for r in docs.select("text").mapInArrow(_rarity(first), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+            for r in docs.select("text").mapInArrow(_rarity(sc.broadcast(w)), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
                 count[r["k"]] = r["n"]
         w.choose(count)
-        last = b == blocks - 1
+        yield sc.broadcast(w), b == blocks - 1
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows doc_id, spans (hit words, from 0, stop exclusive), items (item_ids as text), n_words; one per row of docs."""
+    rows = docs.select("doc_id", "text", F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    id_type = T.StructField("doc_id", docs.schema["doc_id"].dataType)
+    rest = [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())]
+    written = None
+    for block, last in _blocks(docs, items, window, block_words):
         schema = T.StructType([id_type, *([] if last else [T.StructField("text", T.StringType())]), *rest])
-        rows = rows.select("doc_id", "text", "spans", "items").mapInArrow(_scan(sc.broadcast(w), last), schema)
+        rows = rows.select("doc_id", "text", "spans", "items").mapInArrow(_scan(block, last), schema)
         if not last:
             rows, path = table(rows, "decontam")
             if written:
-                drop(spark, written)
+                drop(docs.sparkSession, written)
             written = path
     return rows
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, whole, in which no window occurs; nothing is shuffled."""
+    at, out = docs.columns.index("text"), docs
+    for block, _ in _blocks(docs, items, window, block_words):
+        out = out.mapInArrow(_keep(block, at), docs.schema)
+    return out
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items: hit words and items per document."""
     found = find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

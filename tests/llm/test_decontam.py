@@ -37,6 +37,10 @@ def test_against_brute_force(spark):
     want = brute(docs, items)
     assert got(decontam.find_contamination(d, i).collect()) == want
     assert got(decontam.find_contamination(d, i, block_words=20).collect()) == want
+    dirty = {(x[0]) for x in want if x[2]}
+    for words_in in (400_000, 20):
+        kept = decontam.clean(d, i, block_words=words_in)
+        assert kept.columns == d.columns and sorted(x[0] for x in kept.collect()) == sorted(x[0] for x in docs if x[0] not in dirty)
     assert decontam.find_contamination(d.limit(0), i).collect() == []
     none = decontam.find_contamination(d, i.limit(0)).collect()
     assert len(none) == len(docs) and not any(r["items"] or r["spans"] for r in none)
