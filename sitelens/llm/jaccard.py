@@ -40,7 +40,7 @@ LOAD, MOST, PART = 8, 26, 1 << 14
 #: Sets up to this size can be light.
 MOST_LIGHT = 12
 #: Entries of a block of lists; documents of a token above which its list is dealt over blocks; bytes of a group of sets.
-BLOCK, HOT, GROUP = 500_000, 1 << 17, 24 << 20
+BLOCK, HOT, GROUP = 500_000, 1 << 17, 30 << 20
 
 
 def need(n: int, m: int, num: int, den: int) -> int:
@@ -68,6 +68,18 @@ def node_of(s: np.ndarray) -> int:
         return int(wh.mix(np.array([wh.mix(s ^ U(0x5BD1E995A7C15F39)).sum(dtype=U) + U(len(s))], U))[0].astype(np.int64))
 
 
+def to_bytes(s: np.ndarray) -> bytes:
+    """A set on its way: 48 bits of each hash."""
+    return np.ascontiguousarray(np.unique(s & U(2**48 - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def from_bytes(raw: bytes) -> np.ndarray:
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view("<u8").ravel()
+
+
 def _sets(batch: pa.RecordBatch, at: int, k: int) -> Iterator[np.ndarray]:
     data, offs = utf8(batch.column(at))
     for i, j in chunks(offs):
@@ -283,7 +295,7 @@ def _exact(num: int, den: int) -> callable:
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             if b - a < 2:
                 continue
-            own = classes([np.frombuffer(raw[i].as_py(), U) for i in range(a, b)], num, den)
+            own = classes([from_bytes(raw[i].as_py()) for i in range(a, b)], num, den)
             for i, r in enumerate(own):
                 if r != i:
                     u.append(node[a + i])
@@ -322,7 +334,7 @@ def _wanted(shared, k: int) -> callable:
             if len(own):
                 some = batch.take(pa.array(own))
                 sets = list(_sets(some, 1, k))
-                yield pa.record_batch([some.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "set"])
+                yield pa.record_batch([some.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([to_bytes(s) for s in sets], pa.binary())], names=["doc_id", "node", "set"])
 
     return run
 
@@ -332,7 +344,7 @@ def _prefixes(shared, num: int, den: int) -> callable:
         levels = shared.value[0]
         for batch in batches:
             for comp, node, cls, raw in zip(*(batch.column(c).to_pylist() for c in ("component", "node", "cls", "set")), strict=True):
-                s = np.frombuffer(raw, U)
+                s = from_bytes(raw)
                 p = probe(len(s), num, den)
                 key = _ordered(s, levels)[0][:p].view(np.int64)
                 c = lambda x, kind=pa.int64(): pa.array(np.full(p, x), kind)
@@ -344,7 +356,7 @@ def _prefixes(shared, num: int, den: int) -> callable:
 def _verified(num: int, den: int) -> callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [linked(np.frombuffer(x, U), np.frombuffer(y, U), num, den) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            ok = [linked(from_bytes(x), from_bytes(y), num, den) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["u", "v"])
 
     return run
@@ -404,16 +416,16 @@ def near_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, gro
     total = by_comp.agg(F.count("*").alias("c"), F.coalesce(F.sum("size"), F.lit(0)).alias("s"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("n")).first()
     groups = max(24, int(total["s"] * 48 // group_bytes) + 1)
     wanted = wanted.join(by_comp.select("component", "size"), "component")
-    n_bits = 1 << min(28, max(17, int(total["n"] * 16).bit_length()))
+    n_bits = 1 << min(28, max(17, int(total["n"] * 64).bit_length()))
     raw = np.zeros(n_bits // 8, np.uint8)
     for r in wanted.select("rep").mapInArrow(_bits(n_bits), "part int, bits binary").groupBy("part").applyInArrow(_or, "part int, bits binary").collect():
         raw[r["part"] * PART : r["part"] * PART + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     sets = docs.where("doc_id is not null").mapInArrow(_wanted(sc.broadcast((raw, n_bits)), k), f"doc_id {id_type}, node long, set binary")
-    share = F.ceil(F.col("size") * 8 / group_bytes)
+    share = F.ceil(F.col("size") * 6 / group_bytes)
     sets = sets.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "node"])
     sets = sets.select("component", "node", "set", F.when(share <= 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.xxhash64("component", F.pmod(F.xxhash64("node"), share))).alias("grp"), (share > 1).alias("large"))
     kept = [path, firsts_path, wanted_path]
-    large = total["c"] and by_comp.where(F.col("size") * 8 > group_bytes).limit(1).count() > 0
+    large = total["c"] and by_comp.where(F.col("size") * 6 > group_bytes).limit(1).count() > 0
     if large:
         sets, sets_path = table(sets, "sets")
         kept.append(sets_path)
