@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, tidy
 
 #: Symbols: a break, the space, then letters; all other letters share the last one.
 LETTERS, GAP = 46, 12
@@ -241,13 +241,14 @@ def train(texts: list[str], labels: list[int], base_rate: float, landmarks: int
     have = [np.zeros(A**4, np.int32), np.zeros(A**4, np.int32)]
     runs: dict[int, np.ndarray] = {}
     for i in np.flatnonzero(keep):
-        c = folded[i].astype(np.int64)
+        c = folded[i].astype(np.int32)
         if len(c) >= 4:
             runs[i] = ((c[:-3] * A + c[1:-2]) * A + c[2:-1]) * A + c[3:]
             have[y[i]][np.unique(runs[i])] += 1
     n1, n0 = (y[keep] == 1).sum(), (y[keep] == 0).sum()
     p1, p0 = (have[1] + 0.5) / (n1 + 1), (have[0] + 0.5) / (n0 + 1)
     odds = np.where(have[1] >= 3, np.log(p1 / p0) * np.sqrt(have[1]), 0).astype(np.float32)
+    del have, p1, p0
     toxic, clean = np.flatnonzero(keep & (y == 1)), np.flatnonzero(keep & (y == 0))
 
     def sentences(i: int) -> list[np.ndarray]:
@@ -259,6 +260,9 @@ def train(texts: list[str], labels: list[int], base_rate: float, landmarks: int
             at = int(odds[runs[i]].argmax())
             if odds[runs[i][at]] > 0:
                 witness.append(_padded(folded[i], max(0, at - 2)))
+    runs.clear()
+    del odds
+    tidy()
     easy = []
     for i in clean:
         own_s = sentences(i)
@@ -319,6 +323,7 @@ def train(texts: list[str], labels: list[int], base_rate: float, landmarks: int
         ab -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
+    tidy()
     return Model(table, weight, bias, float(max(ab[0], 0.0)), float(ab[1]))
 
 
