@@ -36,7 +36,7 @@ from .common import chunks, connected_components, documents, slices, table, tidy
 
 U = np.uint64
 #: Shingles to a counter of the rarity sketch, up to 2**MOST counters in all (64 MB); counters of each row it travels in.
-LOAD, MOST, PART = 8, 26, 1 << 14
+LOAD, MOST, PART = 32, 26, 1 << 14
 #: Sets up to this size can be light.
 MOST_LIGHT = 12
 #: Entries of a block of lists; documents of a token above which its list is dealt over blocks; bytes of a group of sets.
@@ -91,11 +91,11 @@ _NODES = "n long, node long, small binary, part int, counts binary"
 
 def _nodes(k: int, size: int) -> callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(size, np.uint16)
+        count = np.zeros(size, np.uint8)
 
         def add(flat: list[np.ndarray]) -> None:
             at, n = np.unique((np.concatenate(flat) & U(size - 1)).astype(np.int64), return_counts=True)
-            count[at] = np.minimum(count[at] + n, 65535)
+            count[at] = np.minimum(count[at] + n, 255)
 
         kind = None
         for batch in slices(batches):
@@ -126,7 +126,7 @@ def _nodes(k: int, size: int) -> callable:
 def _level(t: pa.Table) -> pa.Table:
     total = np.zeros(PART, np.int64)
     for c in t.column("counts"):
-        total += np.frombuffer(zlib.decompress(c.as_py()), np.uint16)
+        total += np.frombuffer(zlib.decompress(c.as_py()), np.uint8)
     level = np.floor(4 * np.log2(1 + total)).astype(np.uint8)
     return pa.table({"part": t.column("part")[:1], "level": pa.array([level.tobytes()], pa.binary())})
 
