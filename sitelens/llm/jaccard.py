@@ -362,6 +362,23 @@ def _verified(num: int, den: int) -> callable:
     return run
 
 
+def across(sets: DataFrame, links: DataFrame, shared, num: int, den: int) -> DataFrame:
+    """Verified links (u, v) between nodes of ``sets`` that ``links`` leaves in different classes: all that share a prefix token."""
+    cls = connected_components(links, "u", "v")
+    apart = sets.join(cls.select("node", F.col("component").alias("cls")), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+    pre = apart.select("component", "node", "cls", "set").mapInArrow(_prefixes(shared, num, den), "component long, node long, cls long, n long, key long, at long")
+    # lists that one class fills whole have nothing left to test
+    several = pre.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key")
+    pre = pre.join(several, "key")
+    a, b = pre.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "cls", "n", "at")]), pre.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "cls", "n", "at")])
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    pairs = a.join(b, "key").where("cls_a < cls_b").where((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & (most * (num + den) >= num * (F.col("n_a") + F.col("n_b"))))
+    pairs = pairs.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
+    own = apart.select("node", "set")
+    pairs = pairs.join(own.withColumnRenamed("node", "u").withColumnRenamed("set", "x"), "u").join(own.withColumnRenamed("node", "v").withColumnRenamed("set", "y"), "v")
+    return pairs.select("u", "v", "x", "y").mapInArrow(_verified(num, den), "u long, v long")
+
+
 def choose_boundary(rows: list, num: int, den: int) -> int:
     """rows: (n, sets, list entries that their prefixes meet). Least of subsets written and entries scanned."""
     sets, meets = {r["n"]: r["c"] for r in rows}, {r["n"]: r["s"] for r in rows}
@@ -433,19 +450,7 @@ def near_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, gro
     if large:
         links, links_path = table(links, "links")
         kept.append(links_path)
-        cls = connected_components(links, "u", "v")
-        apart = sets.where("large").join(cls.withColumnRenamed("component", "cls"), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
-        pre = apart.select("component", "node", "cls", "set").mapInArrow(_prefixes(shared, num, den), "component long, node long, cls long, n long, key long, at long")
-        # lists that one class fills whole have nothing left to test
-        several = pre.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key")
-        pre = pre.join(several, "key")
-        a, b = pre.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "cls", "n", "at")]), pre.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "cls", "n", "at")])
-        most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-        pairs = a.join(b, "key").where("cls_a < cls_b").where((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & (most * (num + den) >= num * (F.col("n_a") + F.col("n_b"))))
-        pairs = pairs.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
-        own = apart.select("node", "set")
-        pairs = pairs.join(own.withColumnRenamed("node", "u").withColumnRenamed("set", "x"), "u").join(own.withColumnRenamed("node", "v").withColumnRenamed("set", "y"), "v")
-        links = links.union(pairs.select("u", "v", "x", "y").mapInArrow(_verified(num, den), "u long, v long"))
+        links = links.union(across(sets.where("large"), links, shared, num, den))
     final = connected_components(links, "u", "v")
     found = firsts.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("cls"))
     least = final.join(firsts, "node").groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -54,3 +54,36 @@ def test_planted_passages(spark):
         for own in planted.values():
             assert any(not x["removed"] for x in got if x["doc_id"] == min(own))
     assert passages.repeated_runs(df.limit(0)).collect() == []
+
+
+def test_large_components_lose_no_link(spark):
+    r = random.Random(11)
+    lines = []
+    for f in range(60):  # families of near lines, each line in one document
+        base = [f"f{f}w{i}" for i in range(29)]
+        for v in range(12):
+            w = list(base)
+            for e in r.sample([0, 1, 27, 28], r.randrange(1, 4)):
+                w[e] = f"e{r.randrange(4)}"
+            lines.append((f, w))
+    rows = [(d, " ".join(w), f) for d, (f, w) in enumerate(lines)]
+    sets = [{tuple(w[i : i + 5]) for i in range(25)} for _, w in lines]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i in range(len(rows)):
+        least.setdefault(find(i), i)
+    want = sorted((i, least[find(i)]) for i in range(len(rows)))
+    df = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    for size in (passages.GROUP, 400):
+        got = {x["doc_id"]: x["kept_by"] for x in passages.repeated_runs(df, min_words=20, group_bytes=size).collect()}
+        assert sorted((i, got.get(i, i)) for i in range(len(rows))) == want
