@@ -1,13 +1,19 @@
 """Passages that repeat across documents: paragraph MinHash banding, verified and clustered.
 
-Texts part into paragraphs at line ends and sentence ends (one of over ``LONG`` words also after words whose hash says
+Two kinds of units are compared. Texts part into paragraphs at line ends and sentence ends (one of over ``LONG`` words also after words whose hash says
 so), so a passage set into other text still has paragraphs of its own. Each paragraph of five words or more is the set
 of its 5-word shingles; its MinHash bands are tuned for recall at the threshold. Colliding paragraphs meet in packed
-blocks of bounded size and are chained; components of chains are verified by exact Jaccard and clustered. A cluster that
-spans documents marks its paragraphs as repeats; neighbouring repeats join to runs, and runs of ``min_words`` or more
-are the result. The lowest doc_id of a cluster keeps its paragraphs; runs elsewhere are to be removed.
+blocks of bounded size and are chained; components of chains are verified by exact Jaccard and clustered. Windows are 20
+words wherever they start: those whose hash is the least of 11 in a row, so which ones are taken inside a span depends
+on its words only, not on the text or sentence around it. Equal windows are one cluster.
 
-Recall: equal paragraphs always meet; others of similarity 0.8 with the banding's chance (0.98 or more as tuned).
+A cluster that spans documents marks its units as repeats; neighbouring repeats join to runs, and runs of ``min_words``
+covered words or more are the result. The lowest doc_id of a cluster keeps its units; those elsewhere are to be removed.
+A run of both is told apart into parts; if no part has ``min_words``, the whole run is one row and is kept.
+
+Recall: equal paragraphs always meet; others of similarity 0.8 with the banding's chance (0.98 or more as tuned). Of a
+span of 30 words or more that is equal in two documents, windows cover all but 10 words at each end or fewer, hence 31
+of 51 words, which is a run.
 
 Defined cases: null, empty and short texts have no paragraphs; repeated rows of one doc_id are one document; documents
 with a null doc_id take no part; no rows give no rows; other columns are ignored.
@@ -29,6 +35,8 @@ from .jaccard import _LISTS, GROUP, LOAD, PART, _bits, _chains, _exact, _or, _ve
 
 U = np.uint64
 K, LONG, BLOCK = 5, 40, 500_000
+#: Windows of so many words, a multiple of K; one of so many in a row is taken.
+WINDOW, ROW = 20, 11
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
@@ -74,6 +82,10 @@ class Units:
                 self.node = wh.mix(total + count.astype(U)).view(np.int64)
         else:
             self.node = np.zeros(0, np.int64)
+        self.all = s, bounds
+
+    def windows(self) -> Windows:
+        return Windows(*self.all)
 
     def bands(self, b: int, r: int) -> np.ndarray:
         out = np.zeros((len(self.node), b), U)
@@ -87,6 +99,33 @@ class Units:
         return np.unique(self.shingle[self.cut[i] : end])
 
 
+def _slide(x: np.ndarray, of: np.ufunc) -> np.ndarray:
+    """The least or greatest of each ROW numbers in a row."""
+    n, size = len(x) - ROW + 1, 1
+    while 2 * size <= ROW:
+        x = of(x[:-size], x[size:])
+        size *= 2
+    return of(x[:n], x[ROW - size : ROW - size + n])
+
+
+class Windows:
+    """The windows of some texts whose hash is the least of some ROW windows in a row."""
+
+    def __init__(self, s: np.ndarray, bounds: np.ndarray) -> None:
+        m = int(bounds[-1]) - WINDOW + 1
+        at, g = np.zeros(0, np.int64), np.zeros(0, U)
+        if m >= ROW:
+            g = wh.mix(sum(s[j : j + m] * wh._STEP[j] for j in range(0, WINDOW, K))) | U(1)
+            room = np.repeat(bounds[1:], np.diff(bounds))[:m] - np.arange(m)
+            low = _slide(g, np.minimum)
+            low[room[: len(low)] < WINDOW + ROW - 1] = 0  # these would reach into the next text
+            at = np.flatnonzero(_slide(np.pad(low, ROW - 1), np.maximum) == g)
+            g = g[at]
+        self.node = wh.mix(g ^ U(0x3C6EF372FE94F82B)).view(np.int64)
+        self.text = np.searchsorted(bounds, at, "right") - 1
+        self.at = at - bounds[self.text]
+
+
 def _units(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, Units]]:
     data, offs = utf8(batch.column(at))
     for i, j in chunks(offs):
@@ -124,19 +163,21 @@ def _lists(b: int, r: int, blocks: int) -> callable:
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, least and greatest doc_id) of the nodes in each part of a task."""
+    """(node, least and greatest doc_id, whether a window) of the nodes in each part of a task."""
     for batch in slices(batches, 4000):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        nodes, docs = [np.zeros(0, np.int64)], [np.zeros(0, ids.dtype)]
+        nodes, docs, kinds = [np.zeros(0, np.int64)], [np.zeros(0, ids.dtype)], [np.zeros(0, bool)]
         for i, u in _units(batch, 1):
-            nodes.append(u.node)
-            docs.append(ids[i + u.text])
-        node, doc = np.concatenate(nodes), np.concatenate(docs)
+            for own, window in ((u, False), (u.windows(), True)):
+                nodes.append(own.node)
+                docs.append(ids[i + own.text])
+                kinds.append(np.full(len(own.node), window))
+        node, doc, kind = np.concatenate(nodes), np.concatenate(docs), np.concatenate(kinds)
         order = np.lexsort((doc, node))
-        node, doc = node[order], doc[order]
+        node, doc, kind = node[order], doc[order], kind[order]
         cut = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
         ends = np.concatenate([cut[1:], [len(node)]]) - 1 if len(cut) else cut
-        yield pa.record_batch([pa.array(node[cut]), pa.array(doc[cut]), pa.array(doc[ends])], names=["node", "lo", "hi"])
+        yield pa.record_batch([pa.array(node[cut]), pa.array(doc[cut]), pa.array(doc[ends]), pa.array(kind[cut])], names=["node", "lo", "hi", "window"])
 
 
 def _pass(shared, node: np.ndarray) -> np.ndarray:
@@ -168,8 +209,9 @@ def _places(shared) -> callable:
         for batch in slices(batches):
             ids = batch.column(0)
             for i, u in _units(batch, 1):
-                own = _pass(shared, u.node)
-                yield pa.record_batch([ids.take(pa.array(i + u.text[own])), pa.array(u.at[own]), pa.array((u.at + u.stop - u.first)[own]), pa.array(u.node[own])], names=["doc_id", "start", "stop", "node"])
+                for x, size in ((u, u.stop - u.first), (w := u.windows(), np.full(len(w.node), WINDOW))):
+                    own = _pass(shared, x.node)
+                    yield pa.record_batch([ids.take(pa.array(i + x.text[own])), pa.array(x.at[own]), pa.array((x.at + size)[own]), pa.array(x.node[own])], names=["doc_id", "start", "stop", "node"])
 
     return run
 
@@ -214,13 +256,23 @@ def _levels(sets: DataFrame) -> np.ndarray:
     return levels
 
 
+def _runs(units: DataFrame, keys: list[str], name: str, gap: int) -> DataFrame:
+    """The units with the number of their run, at most ``gap`` words apart, and the words that no unit before covers."""
+    w = Window.partitionBy(*keys).orderBy("start", "stop", "class_id")
+    units = units.withColumn("before", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    units = units.withColumn("new", F.when(F.col("start") - F.col("before") <= gap, 0).otherwise(1))
+    units = units.withColumns({name: F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)), "own": F.col("stop") - F.least("stop", F.greatest("start", "before"))})
+    return units.drop("before", "new")
+
+
 def repeated_runs(docs: DataFrame, num: int = 80, den: int = 100, min_words: int = 30, gap: int = 12, group_bytes: int = GROUP) -> DataFrame:
-    """Rows doc_id, start, stop (words), n_words, class_id, kept_by (doc_id), removed; one per run of repeats."""
+    """Rows doc_id, start, stop (words), n_words (covered), class_id, kept_by (doc_id), removed; one per run of repeats."""
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     b, r = tune(num / den)
-    counts, counts_path = table(docs.mapInArrow(_counts, f"node long, lo {kind}, hi {kind}").groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "paragraphs")
-    n = counts.count()
+    counts = docs.mapInArrow(_counts, f"node long, lo {kind}, hi {kind}, window boolean").groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("window").alias("window"))
+    counts, _ = table(counts.where("not window or lo <> hi"), "units")
+    n = counts.where("not window").count()
     lists = docs.select("text").mapInArrow(_lists(b, r, max(24, n * b // BLOCK + 1)), _LISTS)
     edges, _ = table(lists.groupBy("block").applyInArrow(_chains(1, 1), "u long, v long").distinct(), "edges")
     met, _ = table(connected_components(edges, "u", "v"), "met")
@@ -249,19 +301,26 @@ def repeated_runs(docs: DataFrame, num: int = 80, den: int = 100, min_words: int
     same = counts.where("lo <> hi").join(cls, "node", "left_anti").select("node", F.col("node").alias("class_id"), F.col("lo").alias("kept_by"))
     rep, _ = table(rep.union(same), "repeats")
     places = docs.mapInArrow(_places(_filter(rep, "node", rep.count())), f"doc_id {kind}, start long, stop long, node long").join(rep, "node").select("doc_id", "start", "stop", "class_id", "kept_by").distinct()
+    runs = _runs(places.withColumn("removed", F.col("kept_by") != F.col("doc_id")), ["doc_id"], "run", gap)
+    # words of units that are kept elsewhere go, also where units that are kept here reach over them
     w = Window.partitionBy("doc_id").orderBy("start", "stop", "class_id")
-    new = F.when(F.col("start") - F.lag("stop").over(w) <= gap, 0).otherwise(1)
-    runs = places.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum(F.col("stop") - F.col("start")).alias("n_words"),
-        F.min("class_id").alias("class_id"), F.min("kept_by").alias("kept_by"), F.max(F.col("kept_by") != F.col("doc_id")).alias("removed"),
-    )
+    end = F.max(F.when(F.col("removed"), F.col("stop"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begin = F.min(F.when(F.col("removed"), F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    runs = runs.withColumns({"end": end, "begin": begin})
+    runs = runs.withColumns({"start": F.when(F.col("removed"), F.col("start")).otherwise(F.greatest("start", "end")), "stop": F.when(F.col("removed"), F.col("stop")).otherwise(F.least("stop", "begin"))}).where("start < stop")
+    parts = _runs(runs.drop("own"), ["doc_id", "run", "removed"], "part", gap)
+    one = lambda of: [F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum(of).alias("n_words"), F.min("class_id").alias("class_id"), F.min("kept_by").alias("kept_by")]
+    parts = parts.groupBy("doc_id", "run", "removed", "part").agg(*one("own"))
+    parts = parts.withColumn("most", F.max("n_words").over(Window.partitionBy("doc_id", "run")))
+    whole = F.col("most") < min_words
+    parts = parts.withColumns({"part": F.when(whole, -1).otherwise(F.col("part")), "side": ~whole & F.col("removed")})
+    out = parts.groupBy("doc_id", "run", "side", "part").agg(*one("n_words"), F.min("removed").alias("removed"))
     tidy()
-    return runs.where(F.col("n_words") >= min_words).drop("run")
+    return out.where(F.col("n_words") >= min_words).select("doc_id", "start", "stop", "n_words", "class_id", "kept_by", "removed")
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All runs of paragraphs that repeat across documents."""
+    """All runs of words that repeat across documents."""
     return repeated_runs(documents(spark, sf_dir))
 
 

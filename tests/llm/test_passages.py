@@ -87,3 +87,38 @@ def test_large_components_lose_no_link(spark):
     for size in (passages.GROUP, 400):
         got = {x["doc_id"]: x["kept_by"] for x in passages.repeated_runs(df, min_words=20, group_bytes=size).collect()}
         assert sorted((i, got.get(i, i)) for i in range(len(rows))) == want
+
+
+def test_equal_spans_inside_long_sentences(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("bcdfghlmnprst") + r.choice("aeiou") for _ in range(4))
+    docs, planted = [], []
+    for k in range(60):
+        span = [word() for _ in range(51 + k % 10)]
+        for _ in range(2):
+            before, after = ([word() for _ in range(r.randrange(15, 40))] for _ in range(2))
+            planted.append((len(docs), len(before), len(before) + len(span)))
+            docs.append(" ".join(before + span + after) + ".")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {}
+    for x in passages.repeated_runs(df).collect():
+        got.setdefault(x["doc_id"], []).append((x["start"], x["stop"], x["n_words"], x["kept_by"]))
+    assert all(len(got.get(d, [])) == 1 for d, _, _ in planted)
+    for d, a, b in planted:
+        start, stop, n, kept = got[d][0]
+        assert start <= a + 10 and b - 10 <= stop and n == stop - start and kept == d // 2 * 2
+
+
+def test_windows_depend_on_the_span_only():
+    r = random.Random(13)
+    texts = ["", "one two", " ".join(prose(r, 29)), " ".join(prose(r, 30)), *(" ".join(prose(r, n)) for n in (31, 40, 51, 200))]
+    data, offs = utf8(pa.array(texts, pa.large_string()))
+    w = passages.Units(data, offs).windows()
+    for t, text in enumerate(texts):
+        n = len(text.split())
+        at = w.at[w.text == t]
+        assert (len(at) > 0) == (n >= 30)
+        if len(at):
+            assert at[0] <= 10 and n - at[-1] - 20 <= 10 and all(at[1:] - at[:-1] <= 11)
+        one = passages.Units(*utf8(pa.array([text], pa.large_string()))).windows()
+        assert one.at.tolist() == at.tolist() and one.node.tolist() == w.node[w.text == t].tolist()
