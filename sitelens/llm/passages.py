@@ -1,8 +1,9 @@
 """Passages that repeat across documents: paragraph MinHash banding, verified and clustered.
 
-Two kinds of units are compared. Texts part into paragraphs at line ends and sentence ends (one of over ``LONG`` words also after words whose hash says
-so), so a passage set into other text still has paragraphs of its own. Each paragraph of five words or more is the set
-of its 5-word shingles; its MinHash bands are tuned for recall at the threshold. Colliding paragraphs meet in packed
+Two kinds of units are compared. Texts part into paragraphs at line ends and sentence ends (one of over ``LONG`` words
+also after words whose hash says so), so a passage set into other text still has paragraphs of its own; neighbours of
+under five words join, but for one in four by the hash of its last word. Each paragraph of five words or more is the
+set of its 5-word shingles; its MinHash bands are tuned for recall at the threshold. Colliding paragraphs meet in packed
 blocks of bounded size and are chained; components of chains are verified by exact Jaccard and clustered. Windows are 20
 words wherever they start: those whose hash is the least of 11 in a row, so which ones are taken inside a span depends
 on its words only, not on the text or sentence around it. Equal windows are one cluster.
@@ -48,7 +49,7 @@ def tune(threshold: float, recall: float = 0.98, most: int = 64) -> tuple[int, i
 
 
 class Units:
-    """Paragraphs of five words or more of some texts."""
+    """Paragraphs of some texts: sentences of five words or more, and shorter ones joined to as many."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         h, starts, bounds = wh.words(data, offsets, wh.SPACED)
@@ -66,6 +67,12 @@ class Units:
             first = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1))
             size = np.diff(np.append(first, n))
             last |= np.repeat(size > LONG, size) & ((h & U(15)) == 0)
+            # short ones next to each other join, but for every fourth by its last word
+            at = np.flatnonzero(last)
+            short = np.diff(at, prepend=-1) < K
+            join = short & np.append(short[1:], False) & ((h[at] >> U(4)) & U(3) != 0)
+            last[at[join]] = False
+            last[ends_text] = True
         stop = np.flatnonzero(last) + 1
         first = np.concatenate(([0], stop[:-1])).astype(np.int64) if len(stop) else np.zeros(0, np.int64)
         own = stop - first >= K

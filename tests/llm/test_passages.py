@@ -122,3 +122,20 @@ def test_windows_depend_on_the_span_only():
             assert at[0] <= 10 and n - at[-1] - 20 <= 10 and all(at[1:] - at[:-1] <= 11)
         one = passages.Units(*utf8(pa.array([text], pa.large_string()))).windows()
         assert one.at.tolist() == at.tolist() and one.node.tolist() == w.node[w.text == t].tolist()
+
+
+def test_short_sentences_join(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("BCDFGH") + r.choice("AEIOU") for _ in range(4))
+    docs = []
+    for _ in range(30):  # near copies, changed too often for windows
+        w = [word() + r.choice(["", "", ".!!"]) for _ in range(160)]
+        docs.append(" ".join(w))
+        for i in range(9, 160, 18):
+            w[i] = word()
+        docs.append(" ".join(w))
+    data, offs = utf8(pa.array(docs, pa.large_string()))
+    u = passages.Units(data, offs)
+    assert (u.stop - u.first).sum() > 0.8 * 160 * len(docs) and (u.stop - u.first >= 5).all()
+    got = {x["doc_id"] for x in passages.repeated_runs(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert len(got) > 0.5 * len(docs)
