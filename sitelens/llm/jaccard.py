@@ -89,13 +89,25 @@ def _sets(batch: pa.RecordBatch, at: int, k: int) -> Iterator[np.ndarray]:
 _NODES = "n long, node long, small binary, part int, counts binary"
 
 
+def _packed(count: np.ndarray, more: dict[int, int], parts: list[int]) -> list[bytes]:
+    """Of each part the counters, then (place, rest) of those that hold more than a byte."""
+    rest: dict[int, list[tuple[int, int]]] = {}
+    for at, n in more.items():
+        rest.setdefault(at // PART, []).append((at % PART, n))
+    return [zlib.compress(count[p * PART : (p + 1) * PART].tobytes() + np.array(rest.get(p, []), "<i8").tobytes(), 1) for p in parts]
+
+
 def _nodes(k: int, size: int) -> callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(size, np.uint8)
+        more: dict[int, int] = {}  # what counters hold beyond a byte
 
         def add(flat: list[np.ndarray]) -> None:
             at, n = np.unique((np.concatenate(flat) & U(size - 1)).astype(np.int64), return_counts=True)
-            count[at] = np.minimum(count[at] + n, 255)
+            total = count[at] + n
+            count[at] = np.minimum(total, 255)
+            for k in np.flatnonzero(total > 255).tolist():
+                more[int(at[k])] = more.get(int(at[k]), 0) + int(total[k]) - 255
 
         kind = None
         for batch in slices(batches):
@@ -118,7 +130,7 @@ def _nodes(k: int, size: int) -> callable:
         parts = [p for p in range(size // PART) if count[p * PART : (p + 1) * PART].any()] if kind else []
         if parts:
             m = len(parts)
-            yield pa.record_batch([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(parts, pa.int32()), pa.array([zlib.compress(count[p * PART : (p + 1) * PART].tobytes(), 1) for p in parts], pa.binary())], names=["doc_id", "n", "node", "small", "part", "counts"])
+            yield pa.record_batch([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(parts, pa.int32()), pa.array(_packed(count, more, parts), pa.binary())], names=["doc_id", "n", "node", "small", "part", "counts"])
 
     return run
 
@@ -126,7 +138,10 @@ def _nodes(k: int, size: int) -> callable:
 def _level(t: pa.Table) -> pa.Table:
     total = np.zeros(PART, np.int64)
     for c in t.column("counts"):
-        total += np.frombuffer(zlib.decompress(c.as_py()), np.uint8)
+        raw = zlib.decompress(c.as_py())
+        total += np.frombuffer(raw, np.uint8, PART)
+        at, n = np.frombuffer(raw, "<i8", offset=PART).reshape(-1, 2).T
+        total[at] += n
     level = np.floor(4 * np.log2(1 + total)).astype(np.uint8)
     return pa.table({"part": t.column("part")[:1], "level": pa.array([level.tobytes()], pa.binary())})
 

@@ -84,3 +84,16 @@ def test_light_and_heavy_meet_at_every_boundary():
                 assert ka & kb
             else:
                 assert 100 * n > 80 * boundary and 100 * m > 80 * boundary
+
+
+def test_rarity_counters_hold_more_than_a_byte():
+    import numpy as np
+    import pyarrow as pa
+
+    size = jaccard.PART
+    docs = pa.array(["one two three four five"] * 70_000)
+    batch = pa.record_batch([pa.array(range(70_000)), docs], names=["doc_id", "text"])
+    out = [b for b in jaccard._nodes(5, size)(iter([batch, batch])) if b.column("part").null_count == 0 and b.num_rows]
+    assert len(out) == 1
+    level = np.frombuffer(jaccard._level(pa.Table.from_batches(out)).column("level")[0].as_py(), np.uint8)
+    assert level.max() == int(4 * np.log2(140_001)) >= 4 * np.log2(1 + jaccard.HOT) - 1 and (level > 0).sum() == 1
