@@ -504,7 +504,7 @@ def comparison_effects(spark, d):
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
     x = v_split(spark, d)
-    return rounded(stats.bootstrap(x, "price", "lft", ["cohort"], "unit", 200), "r", "lo", "hi", "p")
+    return rounded(stats.bootstrap(x, "price", "lft", ["cohort"], "unit"), "r", "lo", "hi", "p")
 
 
 # partitions
@@ -576,7 +576,7 @@ def mantel(spark, d):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a = pdf.pivot(index="i", columns="j", values="v").to_numpy()
-        r, p = stats.mantel(a, np.round(a), 199)
+        r, p = stats.mantel(a, np.round(a))
         return pd.DataFrame({"rho": [round(r, 6)], "p": [round(p, 6)]})
 
     return partitions.symmetrise(_pairs(spark, d), "i", "j", "v").groupBy(F.lit(1).alias("_g")).applyInPandas(run, "rho double, p double")
@@ -589,7 +589,7 @@ def hdbscan(spark, d):
 
 @query("gridsearch")
 def gridsearch(spark, d):
-    out = density.search(v_points(spark, d), 25, 2.0, grid=[(3, 2), (3, 3), (5, 2), (5, 5)])
+    out = density.search(v_points(spark, d), 25, 2.0)
     return rounded(out, "dbcv", "median_spread", "radius_reject_frac", "frac_water_in_occ", "mean_stability")
 
 

@@ -37,3 +37,16 @@ def test_same_rows_as_sql(spark, sf_dir, con, name):
 def test_flagship(spark, sf_dir):
     rows = q.flagship(spark, sf_dir).collect()
     assert rows and any(r["on_front"] for r in rows)
+
+
+def test_queries_do_the_whole_job(spark, sf_dir, monkeypatch):
+    draws = []
+    boot = q.stats.bootstrap
+    monkeypatch.setattr(q.stats, "bootstrap", lambda *a, **k: draws.append((a[5:], k)) or boot(*a, **k))
+    q.bootstrap_ci(spark, sf_dir)
+    assert draws == [((), {})] and boot.__defaults__[1] == 2000
+    monkeypatch.undo()
+    p = q.mantel(spark, sf_dir).first()["p"]
+    assert p < 0.005 and round(p, 3) == p
+    rows = q.gridsearch(spark, sf_dir).collect()
+    assert sorted((r["min_cluster_size"], r["min_samples"]) for r in rows) == sorted(q.density.candidate_grid(25))
