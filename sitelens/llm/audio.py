@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, table
+from .common import documents, slices, table, tidied
 
 RATE, UP, DOWN = 16_000, 1, 2
 WIN, HOP, MELS, SLICES = 256, 128, 24, 8
@@ -184,6 +184,7 @@ def store(docs: DataFrame) -> DataFrame:
 _FIELDS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "segments", "tensors"]
 
 
+@tidied
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 500):
         rows = []

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,12 +22,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jdir = sc._jsc.sc().getCheckpointDir()
-        path = jdir.get() if jdir.isDefined() else f"file://{tempfile.mkdtemp(prefix='sitelens-')}"
+        path = jdir.get() if jdir.isDefined() else None
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='sitelens-')}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -35,14 +41,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: list[tuple[list[str], list]] = []
+
+
 def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1][0].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def broadcast(spark: SparkSession, value):
+    """A broadcast that ``scratch`` destroys."""
+    b = spark.sparkContext.broadcast(value)
+    if _scratch:
+        _scratch[-1][1].append(b)
+    return b
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Drops at its end the tables and broadcasts made meanwhile, but for tables put into the list it gives.
+
+    For plans whose result is written inside; a result that is still to be computed needs its tables.
+    """
+    keep: list[str] = []
+    _scratch.append(([], []))
+    try:
+        yield keep
+    finally:
+        paths, shared = _scratch.pop()
+        for b in shared:
+            b.destroy()
+        drop(spark, *(p for p in paths if p not in keep))
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete written tables that no later plan reads."""
     jvm = spark.sparkContext._jvm
@@ -73,12 +109,41 @@ def chunks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         i = j
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows; at their end the worker gives unused memory back."""
+_held: dict[str, object] = {}
+
+
+def worker_cache(name: str, make):
+    """An object that a Python worker keeps between its tasks; there is one at a time, the others give way."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, cache: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows; unused memory goes back now and then, other operators' caches at the start."""
+    if _held and cache not in _held:
+        _held.clear()
+        tidy()
+    done = 0
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
-    tidy()
+        done += b.nbytes
+        if done > 64 << 20:
+            done = 0
+            tidy()
+
+
+def tidied(f):
+    """An Arrow function that gives unused memory back once it is through and its variables are gone."""
+
+    @functools.wraps(f)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        tidy()
+
+    return run
 
 
 def tidy() -> None:
@@ -87,6 +152,7 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@tidied
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of a partition to stars onto the least node of each local component, in blocks of bounded size."""
     def stars(us: list[np.ndarray], vs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

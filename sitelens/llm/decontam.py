@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash as wh
-from .common import chunks, documents, drop, table, utf8
+from .common import broadcast, chunks, documents, drop, slices, table, tidied, utf8
 
 SHINGLE = 3
 #: Words of all items in one block; bounds what is broadcast to some 300 bytes a word.
@@ -89,10 +89,11 @@ def bits_of(known: np.ndarray) -> np.ndarray:
 
 
 def _rarity(block) -> callable:
+    @tidied
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Windows = block.value
         bits, total = bits_of(w.known), np.zeros(len(w.known), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             data, offs = utf8(batch.column(0))
             for i, j in chunks(offs):
                 h, _, bounds = wh.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], wh.ALNUM)
@@ -144,10 +145,11 @@ def _hits(w: Windows, bits: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> tu
 
 
 def _keep(block, at: int) -> callable:
+    @tidied
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Windows = block.value
         bits = bits_of(w.first)
-        for batch in batches:
+        for batch in slices(batches):
             data, offs = utf8(batch.column(at))
             ok = np.ones(batch.num_rows, bool)
             for i, j in chunks(offs):
@@ -162,10 +164,11 @@ _FOUND = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
 
 def _scan(block, last: bool) -> callable:
+    @tidied
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Windows = block.value
         bits = bits_of(w.first)
-        for batch in batches:
+        for batch in slices(batches):
             data, offs = utf8(batch.column(1))
             old_spans, old_items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             n_words, spans, items = [], [], []
@@ -191,7 +194,7 @@ def _scan(block, last: bool) -> callable:
 
 def _blocks(docs: DataFrame, items: DataFrame, window: int, block_words: int) -> Iterator[tuple[object, bool]]:
     """(broadcast windows of a block with their prefixes chosen, whether it is the last block)."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null").distinct()
     sized = items.withColumn("n", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
@@ -201,10 +204,10 @@ def _blocks(docs: DataFrame, items: DataFrame, window: int, block_words: int) ->
         w = Windows([r["item_id"] for r in own], [r["text"] for r in own], window)
         count = np.zeros(len(w.known), np.int64)
         if len(w.known):
-            for r in docs.select("text").mapInArrow(_rarity(sc.broadcast(w)), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+            for r in docs.select("text").mapInArrow(_rarity(broadcast(spark, w)), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
                 count[r["k"]] = r["n"]
         w.choose(count)
-        yield sc.broadcast(w), b == blocks - 1
+        yield broadcast(spark, w), b == blocks - 1
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import chunks, connected_components, documents, slices, table, tidy, utf8
+from .common import chunks, connected_components, documents, slices, table, tidied, tidy, utf8
 
 U = np.uint64
 #: Shingles to a counter of the rarity sketch, up to 2**MOST counters in all (64 MB); counters of each row it travels in.
@@ -98,6 +98,7 @@ def _packed(count: np.ndarray, more: dict[int, int], parts: list[int]) -> list[b
 
 
 def _nodes(k: int, size: int) -> callable:
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(size, np.uint8)
         more: dict[int, int] = {}  # what counters hold beyond a byte
@@ -167,6 +168,7 @@ def subset_keys(s: np.ndarray, boundary: int, num: int, den: int) -> list[int]:
 def _lists(shared, k: int, num: int, den: int) -> callable:
     """Entries (key, node, n, flag) of lists as packed blocks. flag: 0 probe only, 1 index, 2 dealt over blocks."""
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, boundary, blocks, hot = shared.value
         keys, nodes, sizes, flags, held = [], [], [], [], 0
@@ -322,6 +324,7 @@ def _exact(num: int, den: int) -> callable:
 
 
 def _bits(n_bits: int) -> callable:
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(n_bits, bool)
         for b in batches:
@@ -340,6 +343,7 @@ def _or(t: pa.Table) -> pa.Table:
 def _wanted(shared, k: int) -> callable:
     """The sets of the documents whose id passes the filter; the join after it drops the few others."""
 
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, n_bits = shared.value
         for batch in slices(batches):
@@ -355,6 +359,7 @@ def _wanted(shared, k: int) -> callable:
 
 
 def _prefixes(shared, num: int, den: int) -> callable:
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value[0]
         for batch in batches:
@@ -369,6 +374,7 @@ def _prefixes(shared, num: int, den: int) -> callable:
 
 
 def _verified(num: int, den: int) -> callable:
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [linked(from_bytes(x), from_bytes(y), num, den) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
@@ -403,6 +409,7 @@ def choose_boundary(rows: list, num: int, den: int) -> int:
 
 
 def _costs(shared, num: int, den: int) -> callable:
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         out: dict[int, list[float]] = {}
@@ -439,7 +446,8 @@ def near_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, gro
     blocks = max(24, int(entries // BLOCK) + 1)
     shared = sc.broadcast((levels, boundary, blocks, hot))
     lists = docs.select("text").mapInArrow(_lists(shared, k, num, den), _LISTS)
-    edges = lists.groupBy("block").applyInArrow(_chains(num, den), "u long, v long")
+    # written, so that no task needs two Python workers at once
+    edges, edges_path = table(lists.groupBy("block").applyInArrow(_chains(num, den), "u long, v long"), "edges")
     met = connected_components(edges, "u", "v")
     firsts = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     firsts, firsts_path = table(firsts, "firsts")
@@ -462,9 +470,8 @@ def near_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, gro
         sets, sets_path = table(sets, "sets")
         kept.append(sets_path)
     links = sets.groupBy("grp").applyInArrow(_exact(num, den), "u long, v long")
+    links, links_path = table(links, "links")
     if large:
-        links, links_path = table(links, "links")
-        kept.append(links_path)
         links = links.union(across(sets.where("large"), links, shared, num, den))
     final = connected_components(links, "u", "v")
     found = firsts.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("cls"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, slices, tidied, worker_cache
 
 #: Pieces kept between tasks of a worker; then the table starts anew.
 WORDS = 500_000
@@ -114,9 +114,6 @@ class WordTable:
         return out
 
 
-_tables: dict[str, WordTable] = {}
-
-
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
     """The counts of lengths, within those there are, whose sum is the largest of at most ``room``."""
     reach, mask = [1], (1 << (room + 1)) - 1
@@ -216,17 +213,16 @@ _FIELDS = "start long, length long, ids binary, doc_tokens long, sequence_id lon
 
 
 def _pack(path: str, end: int, capacity: int) -> callable:
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tables:
-            _tables[path] = WordTable(path)
-        table, packer, kind = _tables[path], Packer(capacity, TaskContext.get().partitionId() << 33), None
+        table, packer, kind = worker_cache(f"words {path}", lambda: WordTable(path)), Packer(capacity, TaskContext.get().partitionId() << 33), None
 
         def rows() -> pa.RecordBatch:
             own, packer.out = packer.out, []
             c = lambda k, t: pa.array([x[k] for x in own], t)
             return pa.record_batch([c(0, kind), c(1, pa.int64()), pa.array([len(x[2]) for x in own], pa.int64()), pa.array([x[2].astype("<u4").tobytes() for x in own], pa.binary()), c(3, pa.int64()), c(4, pa.int64()), c(5, pa.int64())], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in batches:
+        for batch in slices(batches, 4000, f"words {path}"):
             kind = batch.column(0).type
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             a = 0

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import chunks, connected_components, documents, slices, table, tidy, utf8
+from .common import chunks, connected_components, documents, slices, table, tidied, tidy, utf8
 from .jaccard import _LISTS, GROUP, LOAD, PART, _bits, _chains, _exact, _or, _verified, across, from_bytes, to_bytes
 
 U = np.uint64
@@ -140,6 +140,7 @@ def _units(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, Units]]:
 
 
 def _lists(b: int, r: int, blocks: int) -> callable:
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0
 
@@ -169,6 +170,7 @@ def _lists(b: int, r: int, blocks: int) -> callable:
     return run
 
 
+@tidied
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, least and greatest doc_id, whether a window) of the nodes in each part of a task."""
     for batch in slices(batches, 4000):
@@ -194,6 +196,7 @@ def _pass(shared, node: np.ndarray) -> np.ndarray:
 
 
 def _sets_of(shared) -> callable:
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches):
@@ -212,6 +215,7 @@ def _sets_of(shared) -> callable:
 
 
 def _places(shared) -> callable:
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids = batch.column(0)
@@ -234,6 +238,7 @@ def _filter(nodes: DataFrame, column: str, count: int):
 
 
 def _rare(size: int) -> callable:
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(size, np.uint32)
         for b in slices(batches):

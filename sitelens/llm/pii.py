@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, slices, tidied
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -132,9 +132,10 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 _SPAN_SQL = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
+@tidied
 def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     automaton = _automaton()
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(batch.num_columns - 1).to_pylist()
         spans = [[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in spans_of(t, automaton)] if t else [] for t in texts]
         yield pa.record_batch([*batch.columns[:-1], pa.array(spans, pa.list_(_SPAN))], names=[*batch.schema.names[:-1], "spans"])
@@ -146,9 +147,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def _redact(at: int) -> callable:
+    @tidied
     def redact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch.column(at).to_pylist():
                 parts, done = [], 0

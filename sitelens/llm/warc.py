@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, tidied
 
 #: Magic number of the skippable frame that holds a dictionary.
 MAGIC = 0x184D2A5D
@@ -131,6 +131,7 @@ def parse(raw: bytes) -> dict:
 
 
 def _write(most: int) -> callable:
+    @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, c, parts, held = None, None, [], 0
         for b in slices(batches, 256):
@@ -161,6 +162,7 @@ def write_archives(pages: DataFrame, revisit_from: int = 0, most: int = 1 << 20)
     return table(p.mapInArrow(_write(most), "archive binary, records long"), "warc")[0]
 
 
+@tidied
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 1):
         rows = [parse(r) for r in read_archive(b.column(0)[0].as_py())]
@@ -178,6 +180,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def export_archives(archives: DataFrame, folder: str) -> None:
     """Put each archive out as a file of ``folder`` (any address that pyarrow.fs knows), named by its place and content."""
 
+    @tidied
     def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 

@@ -14,6 +14,7 @@ _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _P = int(_rng.integers(2**40, 2**62)) | 1
 _PINV = pow(_P, -1, 2**64)
 _STEP = [U(int(x) | 1) for x in _rng.integers(2**40, 2**62, 64)]
+_KEPT = 1 << 21
 _powers: list[np.ndarray] = [np.zeros(0, U), np.zeros(0, U)]
 
 
@@ -67,6 +68,8 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     power, inverse = _pow(n)
     value = _VALUE[data] * power
     value[~ok] = 0
+    if n > _KEPT:  # what a very long text needed goes again
+        _powers[:] = [x[:_KEPT].copy() for x in _powers]
     return mix(np.add.reduceat(value, starts) * inverse[starts]), starts, bounds
 
 

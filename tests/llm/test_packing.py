@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 from sitelens.llm import packing
 
 TOK = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+TABLE = packing.WordTable(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def check(rows, want, capacity):
@@ -47,7 +48,7 @@ def test_fill_is_best(counts, room):
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60), st.lists(st.sampled_from(["<|endoftext|>", "It's", "ΣΑΣ", "é", "́", "\x1c", " ", " ", "\n", " ", "12,5", "İ", "ǅ", "<|END", "a\x85b"]), max_size=8))
 def test_words_are_encoded_as_whole_texts_are(text, parts):
-    table = packing._tables.setdefault("t", packing.WordTable(public_tokenizers.path("word_bpe_49k.json")))
+    table = TABLE
     for t in (text, "".join(parts), text.join(parts)):
         assert table.encode([t])[0].tolist() == TOK.encode(t, add_special_tokens=False).ids
 
