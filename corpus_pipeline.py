@@ -4,8 +4,9 @@
 Parquet and read again as the next one's docs. All but the last return the columns of ``docs``.
 
 Defined cases: null and empty texts stay (they are no near duplicates and score as texts without letters); repeated rows
-of one doc_id share a decision; a null doc_id is kept by the near-duplicate stage only if its text stands alone; without
-labels nothing is rejected as toxic; empty tables give empty tables; other columns pass through all stages but the last.
+of one doc_id share the near-duplicate stage's decision; rows with a null doc_id stand for no class and stay in that stage;
+very long texts are read whole; without labels of both classes nothing is rejected as toxic; empty tables give empty tables;
+other columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import decontam, jaccard, packing, pii, toxicity
-from sitelens.llm.common import table
+from sitelens.llm.common import broadcast, drop, scratch, table
 
 #: Documents scored at or above this are rejected.
 TOXIC = 0.3
@@ -23,7 +24,7 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled rows and drop the documents that score as toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.mapInArrow(toxicity.keep_below(spark.sparkContext.broadcast(model), docs.columns.index("text"), TOXIC), docs.schema)
+    return docs.mapInArrow(toxicity.keep_below(broadcast(spark, model), docs.columns.index("text"), TOXIC), docs.schema)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +67,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs, _ = table(docs, f"stage-{name}")
-    return docs
+    path = None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            docs, now = table(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep.append(now)
+        if path:
+            drop(spark, path)
+        path = now
+    return STAGES[-1][1](spark, docs, sf_dir)
