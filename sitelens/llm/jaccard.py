@@ -1,27 +1,29 @@
 """N-gram Jaccard join, size-aware heavy-light, with the classes of linked documents.
 
-A document's set are its distinct 5-word shingles as 64-bit hashes; documents of equal sets are one node (the key is a
-64-bit hash of the set). Two nodes link when ``den * intersection >= num * union``. Every link is found:
+A document's set are its distinct 5-word shingles as 64-bit hashes; documents of equal sets are one node, named by
+a 64-bit hash of the set; sets that share a name but not a second hash of 64 bits get names of their own. Two nodes link when ``den * intersection >= num * union``. Every link is found:
 
 * light, both sets of at most ``boundary`` shingles: linked sets share a subset of the size their overlap needs; all
   such fixed-size subsets are enumerated and equal ones meet;
 * heavy, the larger set above the boundary: inverted lists over each set's necessary prefix are scanned, tokens ordered
-  by rarity (a counting sketch of bounded size over all documents), with size and index-probe bounds.
+  by rarity, with size and index-probe bounds. Every task counts the shingles of all its distinct sets by lossy counting;
+  what is common over all tasks is broadcast (``MOST`` shingles at most), all others count as rare and go by hash. Any
+  common order finds all links.
 
 The boundary is the one of least cost: subsets to write against list entries to scan. Entries travel as packed blocks,
 a bounded number each; lists of tokens that very many documents hold are dealt over blocks by node. What meets in a list
 is joined as a chain, never as all pairs; the chains' components are then joined exactly, in groups of bounded size,
-testing only nodes that no verified link connects yet. A component above that size is joined in blocks, and what remains
-apart between blocks is paired by shared prefix token and verified.
+testing only nodes that no verified link connects yet. A component above that size is joined in blocks; where a prefix
+token's list still has several classes, a short list is paired and a long one cut into blocks, every two of which meet in
+a task of bounded size. The result does not depend on the sizes.
 
 Defined cases: null, empty and wordless texts have the empty set, link with nothing and are their own component (by
-doc_id); repeated rows are rows of the result each; a null doc_id gets the class of its text, null if alone; no rows give
+doc_id); very long texts are read whole; repeated rows are rows of the result each; a null doc_id gets the class of its text, null if alone; no rows give
 no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
@@ -32,11 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import chunks, connected_components, documents, slices, table, tidied, tidy, utf8
+from .common import broadcast, chunks, connected_components, documents, drop, slices, table, tidied, tidy, utf8
 
 U = np.uint64
-#: Shingles to a counter of the rarity sketch, up to 2**MOST counters in all (64 MB); counters of each row it travels in.
-LOAD, MOST, PART = 32, 26, 1 << 14
+#: Tokens of a lossy count's bucket; common tokens to broadcast (12 MB); bytes of each row a bitmap travels in.
+WIDTH, MOST, PART = 1 << 20, 1 << 20, 1 << 14
+#: Nodes of a list that are paired one by one.
+SHORT = 32
 #: Sets up to this size can be light.
 MOST_LIGHT = 12
 #: Entries of a block of lists; documents of a token above which its list is dealt over blocks; bytes of a group of sets.
@@ -63,21 +67,26 @@ def overlaps(n: int, most: int, num: int, den: int) -> list[int]:
     return sorted({need(n, m, num, den) for m in range(-(-num * n // den), min(most, den * n // num) + 1)})
 
 
-def node_of(s: np.ndarray) -> int:
+def names_of(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two hashes of a set; the first of so many bits."""
     with np.errstate(over="ignore"):
-        return int(wh.mix(np.array([wh.mix(s ^ U(0x5BD1E995A7C15F39)).sum(dtype=U) + U(len(s))], U))[0].astype(np.int64))
+        x = np.array([wh.mix(s ^ U(c)).sum(dtype=U) + U(len(s)) for c in (0x5BD1E995A7C15F39, 0x3C79AC492BA7B653)], U)
+    one, two = wh.mix(x)
+    return int((one >> U(64 - bits)).astype(np.int64)), int(two.astype(np.int64))
+
+
+def node_of(s: np.ndarray, clash: dict[int, int], bits: int = 64) -> int:
+    """A set's name; ``clash`` has the second hash that keeps a name which several sets share."""
+    one, two = names_of(s, bits)
+    return two if clash and clash.get(one, two) != two else one
 
 
 def to_bytes(s: np.ndarray) -> bytes:
-    """A set on its way: 48 bits of each hash."""
-    return np.ascontiguousarray(np.unique(s & U(2**48 - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return s.tobytes()
 
 
 def from_bytes(raw: bytes) -> np.ndarray:
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view("<u8").ravel()
+    return np.frombuffer(raw, U)
 
 
 def _sets(batch: pa.RecordBatch, at: int, k: int) -> Iterator[np.ndarray]:
@@ -86,72 +95,153 @@ def _sets(batch: pa.RecordBatch, at: int, k: int) -> Iterator[np.ndarray]:
         yield from wh.shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
 
 
-_NODES = "n long, node long, small binary, part int, counts binary"
+class Lossy:
+    """Lossy counting: every token of more than one in ``width`` is found, its count short by at most one a bucket."""
+
+    def __init__(self, width: int = WIDTH) -> None:
+        self.width, self.bucket = width, 0
+        self.key, self.n, self.error = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        for a in range(0, len(tokens), self.width):
+            self.new.append(tokens[a : a + self.width])
+            self.held += len(self.new[-1])
+            if self.held >= self.width:
+                self.close()
+
+    def close(self) -> None:
+        if not self.held:
+            return
+        self.bucket += 1
+        key, n = np.unique(np.concatenate(self.new), return_counts=True)
+        self.new, self.held = [], 0
+        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        old = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
+        self.n[at[old]] += n[old]
+        own = ~old & (n > 1)  # a single one would be dropped at once
+        key = np.concatenate([self.key, key[own]])
+        n = np.concatenate([self.n, n[own]])
+        error = np.concatenate([self.error, np.full(own.sum(), self.bucket - 1)])
+        keep = np.flatnonzero(n + error > self.bucket)
+        order = keep[np.argsort(key[keep])]
+        self.key, self.n, self.error = key[order], n[order], error[order]
+
+
+class Rarity:
+    """Counts of common tokens; all others count as one."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray) -> None:
+        order = np.argsort(key)
+        self.key, self.n, self._bits = key[order], n[order], None
+
+    def counts(self, x: np.ndarray) -> np.ndarray:
+        out = np.ones(len(x), np.int64)
+        if len(self.key):
+            if self._bits is None:
+                self._bits = np.zeros(1 << 23, bool)
+                self._bits[self.key & U((1 << 23) - 1)] = True
+            near = np.flatnonzero(self._bits[x & U((1 << 23) - 1)])
+            at = np.minimum(np.searchsorted(self.key, x[near]), len(self.key) - 1)
+            own = self.key[at] == x[near]
+            out[near[own]] = self.n[at[own]]
+        return out
+
+    def __reduce__(self):
+        return Rarity, (self.key, self.n)
+
+
+_COMMON = "part int, key binary, n binary"
+
+
+def _packed(lossy: Lossy, parts: int) -> pa.RecordBatch:
+    """What a task counted, by part of the tokens."""
+    lossy.close()
+    part = (wh.mix(lossy.key) % U(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+    rows = np.split(order, cut[1:]) if len(cut) else []
+    return pa.record_batch([pa.array(part[order][cut], pa.int32()), pa.array([lossy.key[r].tobytes() for r in rows], pa.binary()), pa.array([lossy.n[r].tobytes() for r in rows], pa.binary())], names=["part", "key", "n"])
+
+
+def _merged(t: pa.Table) -> pa.Table:
+    key, n = _unpack(t, "key", U), _unpack(t, "n", np.int64)
+    key, at = np.unique(key, return_inverse=True)
+    return pa.table({"part": t.column("part")[:1], "key": pa.array([key.tobytes()], pa.binary()), "n": pa.array([np.bincount(at, n, len(key)).astype(np.int64).tobytes()], pa.binary())})
+
+
+def _histogram(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for raw in b.column(0):
+            size, c = np.unique(np.floor(np.log2(np.frombuffer(raw.as_py(), np.int64))).astype(np.int64), return_counts=True)
+            yield pa.record_batch([pa.array(size), pa.array(c)], names=["size", "c"])
+
+
+def _above(least: int) -> callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = np.frombuffer(c, np.int64)
+                own = n >= least
+                yield pa.record_batch([pa.array([np.frombuffer(k, U)[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary())], names=["key", "n"])
 
+    return run
 
-def _packed(count: np.ndarray, more: dict[int, int], parts: list[int]) -> list[bytes]:
-    """Of each part the counters, then (place, rest) of those that hold more than a byte."""
-    rest: dict[int, list[tuple[int, int]]] = {}
-    for at, n in more.items():
-        rest.setdefault(at // PART, []).append((at % PART, n))
-    return [zlib.compress(count[p * PART : (p + 1) * PART].tobytes() + np.array(rest.get(p, []), "<i8").tobytes(), 1) for p in parts]
 
+def rarity(counted: DataFrame, most: int = MOST) -> Rarity:
+    """The commonest tokens over all tasks, at most so many: all of at least some power of two."""
+    merged, path = table(counted.groupBy("part").applyInArrow(_merged, _COMMON), "common")
+    least, held = 2, 0
+    for r in sorted(merged.select("n").mapInArrow(_histogram, "size long, c long").groupBy("size").agg(F.sum("c").alias("c")).collect(), reverse=True):
+        if held + r["c"] > most:
+            least = 2 ** (r["size"] + 1)
+            break
+        held += r["c"]
+    rows = merged.select("key", "n").mapInArrow(_above(least), "key binary, n binary").collect()
+    drop(merged.sparkSession, path)
+    join = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
+    return Rarity(join("key", U), join("n", np.int64))
 
-def _nodes(k: int, size: int) -> callable:
-    @tidied
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(size, np.uint8)
-        more: dict[int, int] = {}  # what counters hold beyond a byte
 
-        def add(flat: list[np.ndarray]) -> None:
-            at, n = np.unique((np.concatenate(flat) & U(size - 1)).astype(np.int64), return_counts=True)
-            total = count[at] + n
-            count[at] = np.minimum(total, 255)
-            for k in np.flatnonzero(total > 255).tolist():
-                more[int(at[k])] = more.get(int(at[k]), 0) + int(total[k]) - 255
+_NODES = "n long, node long, other long, small binary, part int, key binary, count binary"
+
 
-        kind = None
+def _nodes(k: int, parts: int, bits: int) -> callable:
+    @tidied
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lossy, kind = Lossy(), None
+        seen: set[int] = set()
+        names = ["doc_id", "n", "node", "other", "small", "part", "key", "count"]
         for batch in slices(batches):
             ids = batch.column(0)
             kind = ids.type
-            ns, nodes, small, flat, held = [], [], [], [], 0
+            ns, nodes, others, small = [], [], [], []
             for s in _sets(batch, 1, k):
+                one, two = names_of(s, bits) if len(s) else (None, None)
                 ns.append(len(s))
-                nodes.append(node_of(s) if len(s) else None)
+                nodes.append(one)
+                others.append(two)
                 small.append(s.tobytes() if len(s) <= MOST_LIGHT else None)
-                flat.append(s)
-                held += len(s)
-                if held > 500_000:
-                    add(flat)
-                    flat, held = [], 0
-            if flat:
-                add(flat)
+                if len(s) and two not in seen:
+                    lossy.add(s)
+                    if len(seen) < 200_000:
+                        seen.add(two)
             m = len(ns)
-            yield pa.record_batch([ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(small, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["doc_id", "n", "node", "small", "part", "counts"])
-        parts = [p for p in range(size // PART) if count[p * PART : (p + 1) * PART].any()] if kind else []
-        if parts:
-            m = len(parts)
-            yield pa.record_batch([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(parts, pa.int32()), pa.array(_packed(count, more, parts), pa.binary())], names=["doc_id", "n", "node", "small", "part", "counts"])
+            yield pa.record_batch([ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(small, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
+        if kind:
+            own = _packed(lossy, parts)
+            m = own.num_rows
+            yield pa.record_batch([pa.nulls(m, kind), *(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.binary()), *own.columns], names=names)
 
     return run
 
 
-def _level(t: pa.Table) -> pa.Table:
-    total = np.zeros(PART, np.int64)
-    for c in t.column("counts"):
-        raw = zlib.decompress(c.as_py())
-        total += np.frombuffer(raw, np.uint8, PART)
-        at, n = np.frombuffer(raw, "<i8", offset=PART).reshape(-1, 2).T
-        total[at] += n
-    level = np.floor(4 * np.log2(1 + total)).astype(np.uint8)
-    return pa.table({"part": t.column("part")[:1], "level": pa.array([level.tobytes()], pa.binary())})
-
-
-def _ordered(s: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A sorted set by rarity, then hash, and the levels."""
-    lv = levels[(s & U(len(levels) - 1)).astype(np.int64)]
-    order = np.argsort(lv, kind="stable")
-    return s[order], lv[order]
+def _ordered(s: np.ndarray, common: Rarity) -> tuple[np.ndarray, np.ndarray]:
+    """A sorted set by rarity, then hash, and the counts."""
+    n = common.counts(s)
+    order = np.argsort(n, kind="stable")
+    return s[order], n[order]
 
 
 def subset_keys(s: np.ndarray, boundary: int, num: int, den: int) -> list[int]:
@@ -170,7 +260,7 @@ def _lists(shared, k: int, num: int, den: int) -> callable:
 
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, boundary, blocks, hot = shared.value
+        common, boundary, blocks, hot, clash, bits = shared.value
         keys, nodes, sizes, flags, held = [], [], [], [], 0
         seen: set[int] = set()
 
@@ -178,8 +268,9 @@ def _lists(shared, k: int, num: int, den: int) -> callable:
             key = np.concatenate(keys)
             reps = [len(x) for x in keys]
             node, n, flag = np.repeat(np.array(nodes, np.int64), reps), np.repeat(np.array(sizes, np.uint32), reps), np.concatenate(flags)
-            lv = levels[(key & U(len(levels) - 1)).astype(np.int64)]
-            deal = np.where(flag >= 2, wh.mix(node.view(U)) % np.maximum(1, np.exp2(lv / 4) / hot).astype(U), U(0))
+            dealt = np.flatnonzero(flag >= 2)
+            deal = np.zeros(len(key), U)
+            deal[dealt] = wh.mix(node[dealt].view(U)) % (U(1) + (common.counts(key[dealt]) // hot).astype(U))
             block = (wh.mix(key + deal * U(0xD6E8FEB86659FD93)) % U(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             cut = np.flatnonzero(np.diff(block[order], prepend=-1))
@@ -188,7 +279,7 @@ def _lists(shared, k: int, num: int, den: int) -> callable:
 
         for batch in slices(batches):
             for s in _sets(batch, 0, k):
-                if not len(s) or (node := node_of(s)) in seen:
+                if not len(s) or (node := node_of(s, clash, bits)) in seen:
                     continue
                 if len(seen) < 200_000:
                     seen.add(node)
@@ -198,10 +289,10 @@ def _lists(shared, k: int, num: int, den: int) -> callable:
                     own += subset_keys(s, boundary, num, den)
                     flag += [np.ones(len(x), np.uint8) for x in own]
                 if den * n > num * boundary:
-                    t, lv = _ordered(s, levels)
+                    t, count = _ordered(s, common)
                     p = probe(n, num, den)
                     f = (np.arange(p) < index(n, num, den)).astype(np.uint8)
-                    f[lv[:p] >= 4 * np.log2(1 + hot)] = 2
+                    f[count[:p] >= hot] = 2
                     own.append(t[:p])
                     flag.append(f)
                 keys.append(np.concatenate(own))
@@ -253,10 +344,13 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def classes(sets: list[np.ndarray], num: int, den: int) -> list[int]:
-    """The exact classes of linked sets, as the place of one of them; a pair is tested unless links connect it already."""
+def classes(sets: list[np.ndarray], num: int, den: int, known: list[int] | None = None) -> list[int]:
+    """The exact classes of linked sets, as the place of one of them; a pair is tested unless links connect it already.
+
+    ``known``: of each set one that is in its class for other reasons.
+    """
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    root = list(range(len(sets)))
+    root = list(known or range(len(sets)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -345,7 +439,7 @@ def _wanted(shared, k: int) -> callable:
 
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, n_bits = shared.value
+        raw, n_bits, clash, bits = shared.value
         for batch in slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             at = (wh.mix(ids.astype(np.int64).view(U)) & U(n_bits - 1)).astype(np.int64)
@@ -353,7 +447,7 @@ def _wanted(shared, k: int) -> callable:
             if len(own):
                 some = batch.take(pa.array(own))
                 sets = list(_sets(some, 1, k))
-                yield pa.record_batch([some.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([to_bytes(s) for s in sets], pa.binary())], names=["doc_id", "node", "set"])
+                yield pa.record_batch([some.column(0), pa.array([node_of(s, clash, bits) if len(s) else None for s in sets], pa.int64()), pa.array([to_bytes(s) for s in sets], pa.binary())], names=["doc_id", "node", "set"])
 
     return run
 
@@ -361,14 +455,14 @@ def _wanted(shared, k: int) -> callable:
 def _prefixes(shared, num: int, den: int) -> callable:
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value[0]
-        for batch in batches:
-            for comp, node, cls, raw in zip(*(batch.column(c).to_pylist() for c in ("component", "node", "cls", "set")), strict=True):
+        common = shared.value[0]
+        for batch in slices(batches):
+            for node, cls, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "cls", "set")), strict=True):
                 s = from_bytes(raw)
                 p = probe(len(s), num, den)
-                key = _ordered(s, levels)[0][:p].view(np.int64)
-                c = lambda x, kind=pa.int64(): pa.array(np.full(p, x), kind)
-                yield pa.record_batch([c(comp), c(node), c(cls), c(len(s)), pa.array(key), pa.array(np.arange(p))], names=["component", "node", "cls", "n", "key", "at"])
+                key = _ordered(s, common)[0][:p].view(np.int64)
+                c = lambda x: pa.array(np.full(p, x), pa.int64())
+                yield pa.record_batch([c(node), c(cls), c(len(s)), pa.array(key), pa.array(np.arange(p))], names=["node", "cls", "n", "key", "at"])
 
     return run
 
@@ -376,28 +470,51 @@ def _prefixes(shared, num: int, den: int) -> callable:
 def _verified(num: int, den: int) -> callable:
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ok = [linked(from_bytes(x), from_bytes(y), num, den) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["u", "v"])
 
     return run
 
 
-def across(sets: DataFrame, links: DataFrame, shared, num: int, den: int) -> DataFrame:
-    """Verified links (u, v) between nodes of ``sets`` that ``links`` leaves in different classes: all that share a prefix token."""
+def _joined(num: int, den: int) -> callable:
+    """Of two blocks of a list: (class, class) of those that verified links join."""
+
+    def run(t: pa.Table) -> pa.Table:
+        cls = t.column("cls").to_pylist()
+        place: dict[int, int] = {}
+        known = [place.setdefault(c, i) for i, c in enumerate(cls)]
+        own = classes([from_bytes(x.as_py()) for x in t.column("set")], num, den, known)
+        e = sorted({(cls[i], cls[r]) for i, r in enumerate(own) if cls[i] != cls[r]})
+        return pa.table({"u": pa.array([x[0] for x in e], pa.int64()), "v": pa.array([x[1] for x in e], pa.int64())})
+
+    return run
+
+
+def across(sets: DataFrame, links: DataFrame, shared, num: int, den: int, group_bytes: int, short: int = SHORT) -> DataFrame:
+    """Verified links (u, v) between what ``links`` leaves in different classes of ``sets``: all that share a prefix token."""
     cls = connected_components(links, "u", "v")
-    apart = sets.join(cls.select("node", F.col("component").alias("cls")), "node", "left").withColumn("cls", F.coalesce("cls", "node"))
-    pre = apart.select("component", "node", "cls", "set").mapInArrow(_prefixes(shared, num, den), "component long, node long, cls long, n long, key long, at long")
+    apart, _ = table(sets.select("node", "set").join(cls.select("node", F.col("component").alias("cls")), "node", "left").withColumn("cls", F.coalesce("cls", "node")), "apart")
+    pre = apart.mapInArrow(_prefixes(shared, num, den), "node long, cls long, n long, key long, at long")
+    pre, _ = table(pre, "prefixes")
     # lists that one class fills whole have nothing left to test
-    several = pre.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key")
-    pre = pre.join(several, "key")
-    a, b = pre.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "cls", "n", "at")]), pre.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "cls", "n", "at")])
+    several = pre.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("m"), F.sum("n").alias("size")).where("a <> b")
+    several, _ = table(several.select("key", "m", F.ceil(F.col("size") * 16 / group_bytes).alias("blocks")), "several")
+    few = pre.join(several.where(F.col("m") <= short).select("key"), "key")
+    a, b = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "cls", "n", "at")]) for x in "ab")
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     pairs = a.join(b, "key").where("cls_a < cls_b").where((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & (most * (num + den) >= num * (F.col("n_a") + F.col("n_b"))))
     pairs = pairs.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
     own = apart.select("node", "set")
     pairs = pairs.join(own.withColumnRenamed("node", "u").withColumnRenamed("set", "x"), "u").join(own.withColumnRenamed("node", "v").withColumnRenamed("set", "y"), "v")
-    return pairs.select("u", "v", "x", "y").mapInArrow(_verified(num, den), "u long, v long")
+    found, _ = table(pairs.select("u", "v", "x", "y").mapInArrow(_verified(num, den), "u long, v long"), "found")
+    # block i of a long list goes to the pairs (i, j) of blocks for all j
+    i = F.pmod(F.xxhash64("node"), "blocks")
+    many = pre.select("key", "node", "cls").join(several.where(F.col("m") > short).select("key", "blocks"), "key")
+    many = many.select("key", "node", "cls", i.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    many = many.select("node", "cls", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("grp"))
+    many = many.join(own, "node").groupBy("grp").applyInArrow(_joined(num, den), "u long, v long")
+    return found.union(table(many, "joined")[0])
 
 
 def choose_boundary(rows: list, num: int, den: int) -> int:
@@ -411,68 +528,68 @@ def choose_boundary(rows: list, num: int, den: int) -> int:
 def _costs(shared, num: int, den: int) -> callable:
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value
+        common = shared.value
         out: dict[int, list[float]] = {}
         for b in batches:
             for raw in b.column(0).to_pylist():
                 s = np.frombuffer(raw, U)
                 if len(s):
-                    lv = _ordered(s, levels)[1][: probe(len(s), num, den)]
+                    count = _ordered(s, common)[1][: probe(len(s), num, den)]
                     own = out.setdefault(len(s), [0, 0.0])
                     own[0] += 1
-                    own[1] += float(np.exp2(lv / 4).sum())
+                    own[1] += float(count.sum())
         yield pa.record_batch([pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.int64()), pa.array([x[1] for x in out.values()], pa.float64())], names=["n", "c", "s"])
 
     return run
 
 
-def near_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, group_bytes: int = GROUP, hot: int = HOT) -> DataFrame:
+def near_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, group_bytes: int = GROUP, hot: int = HOT, key_bits: int = 64) -> DataFrame:
     """Rows doc_id, n_shingles, component_id; one per row of docs."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    # some six letters a word
+    # some six letters a word; parts of some 2**28 words
     words = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] // 6
-    size = 1 << min(MOST, max(16, (int(words) // LOAD).bit_length()))
-    both, path = table(docs.mapInArrow(_nodes(k, size), f"doc_id {id_type}, {_NODES}"), "sets")
-    nodes = both.where("part is null").select("doc_id", "n", "node")
-    levels = np.zeros(size, np.uint8)
-    for r in both.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_level, "part int, level binary").collect():
-        levels[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["level"], np.uint8)
-    costs = both.where("small is not null and part is null").select("small").mapInArrow(_costs(sc.broadcast(levels), num, den), "n long, c long, s double").groupBy("n").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    parts = 24 + int(words >> 28)
+    both, _ = table(docs.mapInArrow(_nodes(k, parts, key_bits), f"doc_id {id_type}, {_NODES}"), "sets")
+    common = rarity(both.where("part is not null").select("part", "key", F.col("count").alias("n")))
+    nodes = both.where("part is null").select("doc_id", "n", "node", "other")
+    # names that different sets share: some 70 are expected among 5e10 sets
+    clash = {r["node"]: r["lo"] for r in nodes.groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("node", "lo").collect()}
+    if clash:
+        keeps = F.create_map(*[F.lit(x).cast("long") for pair in clash.items() for x in pair])[F.col("node")]
+        nodes = nodes.withColumn("node", F.when(keeps != F.col("other"), F.col("other")).otherwise(F.col("node")))
+    nodes = nodes.drop("other")
+    costs = both.where("small is not null and part is null").select("small").mapInArrow(_costs(broadcast(spark, common), num, den), "n long, c long, s double").groupBy("n").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
     boundary = choose_boundary(costs.collect(), num, den)
     entries = nodes.agg(F.coalesce(F.sum(F.col("n") * (den - num) / den + 1), F.lit(0)).alias("e")).first()["e"]
     blocks = max(24, int(entries // BLOCK) + 1)
-    shared = sc.broadcast((levels, boundary, blocks, hot))
+    shared = broadcast(spark, (common, boundary, blocks, hot, clash, key_bits))
     lists = docs.select("text").mapInArrow(_lists(shared, k, num, den), _LISTS)
     # written, so that no task needs two Python workers at once
-    edges, edges_path = table(lists.groupBy("block").applyInArrow(_chains(num, den), "u long, v long"), "edges")
+    edges, _ = table(lists.groupBy("block").applyInArrow(_chains(num, den), "u long, v long"), "edges")
     met = connected_components(edges, "u", "v")
     firsts = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    firsts, firsts_path = table(firsts, "firsts")
-    wanted, wanted_path = table(firsts.where("rep is not null").join(met.select("node", "component"), "node"), "wanted")
+    firsts, _ = table(firsts, "firsts")
+    wanted, _ = table(firsts.where("rep is not null").join(met.select("node", "component"), "node"), "wanted")
     by_comp = wanted.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("nodes")).where("nodes > 1")
     total = by_comp.agg(F.count("*").alias("c"), F.coalesce(F.sum("size"), F.lit(0)).alias("s"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("n")).first()
-    groups = max(24, int(total["s"] * 48 // group_bytes) + 1)
+    groups = max(24, int(total["s"] * 64 // group_bytes) + 1)
     wanted = wanted.join(by_comp.select("component", "size"), "component")
     n_bits = 1 << min(28, max(17, int(total["n"] * 64).bit_length()))
     raw = np.zeros(n_bits // 8, np.uint8)
     for r in wanted.select("rep").mapInArrow(_bits(n_bits), "part int, bits binary").groupBy("part").applyInArrow(_or, "part int, bits binary").collect():
         raw[r["part"] * PART : r["part"] * PART + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    sets = docs.where("doc_id is not null").mapInArrow(_wanted(sc.broadcast((raw, n_bits)), k), f"doc_id {id_type}, node long, set binary")
-    share = F.ceil(F.col("size") * 6 / group_bytes)
+    sets = docs.where("doc_id is not null").mapInArrow(_wanted(broadcast(spark, (raw, n_bits, clash, key_bits)), k), f"doc_id {id_type}, node long, set binary")
+    share = F.ceil(F.col("size") * 8 / group_bytes)
     sets = sets.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "node"])
     sets = sets.select("component", "node", "set", F.when(share <= 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.xxhash64("component", F.pmod(F.xxhash64("node"), share))).alias("grp"), (share > 1).alias("large"))
-    kept = [path, firsts_path, wanted_path]
-    large = total["c"] and by_comp.where(F.col("size") * 6 > group_bytes).limit(1).count() > 0
+    large = total["c"] and by_comp.where(F.col("size") * 8 > group_bytes).limit(1).count() > 0
     if large:
-        sets, sets_path = table(sets, "sets")
-        kept.append(sets_path)
-    links = sets.groupBy("grp").applyInArrow(_exact(num, den), "u long, v long")
-    links, links_path = table(links, "links")
+        sets, _ = table(sets, "sets")
+    links, _ = table(sets.groupBy("grp").applyInArrow(_exact(num, den), "u long, v long"), "links")
     if large:
-        links = links.union(across(sets.where("large"), links, shared, num, den))
+        links = links.union(across(sets.where("large"), links, shared, num, den, group_bytes))
     final = connected_components(links, "u", "v")
     found = firsts.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("cls"))
     least = final.join(firsts, "node").groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -22,7 +22,6 @@ with a null doc_id take no part; no rows give no rows; other columns are ignored
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import chunks, connected_components, documents, slices, table, tidied, tidy, utf8
-from .jaccard import _LISTS, GROUP, LOAD, PART, _bits, _chains, _exact, _or, _verified, across, from_bytes, to_bytes
+from .common import broadcast, chunks, connected_components, documents, slices, table, tidied, tidy, utf8
+from .jaccard import _COMMON, _LISTS, GROUP, PART, Lossy, _bits, _chains, _exact, _or, _packed, _verified, across, from_bytes, rarity, to_bytes
 
 U = np.uint64
 K, LONG, BLOCK = 5, 40, 500_000
@@ -232,42 +231,23 @@ def _filter(nodes: DataFrame, column: str, count: int):
     n_bits = 1 << min(28, max(17, int(count * 64).bit_length()))
     raw = np.zeros(n_bits // 8, np.uint8)
     for r in nodes.select(column).mapInArrow(_bits(n_bits), "part int, bits binary").groupBy("part").applyInArrow(_or, "part int, bits binary").collect():
-        at = r["part"] * (1 << 14)
+        at = r["part"] * PART
         raw[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return nodes.sparkSession.sparkContext.broadcast((raw, n_bits))
+    return broadcast(nodes.sparkSession, (raw, n_bits))
 
 
-def _rare(size: int) -> callable:
+def _rare(parts: int) -> callable:
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(size, np.uint32)
+        lossy = Lossy()
         for b in slices(batches):
-            if b.num_rows:
-                at, n = np.unique((np.concatenate([from_bytes(x) for x in b.column(0).to_pylist()]) & U(size - 1)).astype(np.int64), return_counts=True)
-                count[at] += n.astype(np.uint32)
-        parts = [p for p in range(size // PART) if count[p * PART : (p + 1) * PART].any()]
-        yield pa.record_batch([pa.array(parts, pa.int32()), pa.array([zlib.compress(count[p * PART : (p + 1) * PART].tobytes(), 1) for p in parts], pa.binary())], names=["part", "counts"])
+            for x in b.column(0):
+                lossy.add(from_bytes(x.as_py()))
+        yield _packed(lossy, parts)
 
     return run
 
 
-def _rare_level(t: pa.Table) -> pa.Table:
-    total = np.zeros(PART, np.int64)
-    for c in t.column("counts"):
-        total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
-    return pa.table({"part": t.column("part")[:1], "level": pa.array([np.floor(4 * np.log2(1 + total)).astype(np.uint8).tobytes()], pa.binary())})
-
-
-def _levels(sets: DataFrame) -> np.ndarray:
-    """How often the shingles of these sets occur, by hash: a counting sketch of at most 4 million counters."""
-    tokens = sets.agg(F.coalesce(F.sum(F.length("set")), F.lit(0)).alias("n")).first()["n"] // 6
-    size = 1 << min(22, max(16, (tokens // LOAD).bit_length()))
-    levels = np.zeros(size, np.uint8)
-    for r in sets.select("set").mapInArrow(_rare(size), "part int, counts binary").groupBy("part").applyInArrow(_rare_level, "part int, level binary").collect():
-        levels[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["level"], np.uint8)
-    return levels
-
-
 def _runs(units: DataFrame, keys: list[str], name: str, gap: int) -> DataFrame:
     """The units with the number of their run, at most ``gap`` words apart, and the words that no unit before covers."""
     w = Window.partitionBy(*keys).orderBy("start", "stop", "class_id")
@@ -297,7 +277,7 @@ def repeated_runs(docs: DataFrame, num: int = 80, den: int = 100, min_words: int
     share = F.ceil(F.col("nodes") / most)
     groups = max(24, int(total["s"] * 3 // group_bytes) + 1)
     grp = F.when(share <= 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.xxhash64("component", F.pmod(F.xxhash64("node"), share)))
-    links = sets.select("component", "node", "set", grp.alias("grp")).groupBy("grp").applyInArrow(_exact(num, den), "u long, v long")
+    links, _ = table(sets.select("component", "node", "set", grp.alias("grp")).groupBy("grp").applyInArrow(_exact(num, den), "u long, v long"), "links")
     large = sets.where(share > 1).dropDuplicates(["node"]).select("component", "node", "set")
     if size.where(F.col("nodes") > most).limit(1).count():
         # first the edges, then whatever is still apart
@@ -305,7 +285,8 @@ def repeated_runs(docs: DataFrame, num: int = 80, den: int = 100, min_words: int
         x, y = (large.select(F.col("node").alias(n), F.col("set").alias(c)) for n, c in (("u", "x"), ("v", "y")))
         pairs = edges.join(x, "u").join(y, "v").select("u", "v", "x", "y")
         links, _ = table(links.union(pairs.mapInArrow(_verified(num, den), "u long, v long")), "links")
-        links = links.union(across(large, links, docs.sparkSession.sparkContext.broadcast((_levels(large),)), num, den))
+        common = rarity(large.select("set").mapInArrow(_rare(24 + int(total["s"] >> 31)), _COMMON))
+        links = links.union(across(large, links, broadcast(docs.sparkSession, (common,)), num, den, group_bytes))
     cls = connected_components(links, "u", "v")
     near = counts.join(cls, "node")
     near_cls = near.groupBy("component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")

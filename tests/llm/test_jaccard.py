@@ -1,6 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from sitelens.llm import jaccard
+from sitelens.llm.common import utf8
 
 
 def brute(docs):
@@ -65,8 +69,6 @@ def test_large_components_and_hot_tokens_give_the_same(spark):
 
 
 def test_light_and_heavy_meet_at_every_boundary():
-    import numpy as np
-
     r = random.Random(5)
     for boundary in range(0, 13):
         for _ in range(60):
@@ -86,14 +88,83 @@ def test_light_and_heavy_meet_at_every_boundary():
                 assert 100 * n > 80 * boundary and 100 * m > 80 * boundary
 
 
-def test_rarity_counters_hold_more_than_a_byte():
-    import numpy as np
-    import pyarrow as pa
+def test_names_that_sets_share_are_told_apart(spark):
+    docs = near_copies(6, 200)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard.near_classes(df, key_bits=4).collect())
+    assert got == brute(docs)
 
-    size = jaccard.PART
-    docs = pa.array(["one two three four five"] * 70_000)
-    batch = pa.record_batch([pa.array(range(70_000)), docs], names=["doc_id", "text"])
-    out = [b for b in jaccard._nodes(5, size)(iter([batch, batch])) if b.column("part").null_count == 0 and b.num_rows]
-    assert len(out) == 1
-    level = np.frombuffer(jaccard._level(pa.Table.from_batches(out)).column("level")[0].as_py(), np.uint8)
-    assert level.max() == int(4 * np.log2(140_001)) >= 4 * np.log2(1 + jaccard.HOT) - 1 and (level > 0).sum() == 1
+
+def test_lossy_counts():
+    r = np.random.default_rng(4)
+    tokens = np.concatenate([r.integers(0, 2**63, 40_000, dtype=np.uint64), *(np.full(c, c, np.uint64) for c in (300, 1000, 30_000))])
+    r.shuffle(tokens)
+    lossy = jaccard.Lossy(5000)
+    for part in np.array_split(tokens, 37):
+        lossy.add(part)
+    lossy.close()
+    got = dict(zip(lossy.key.tolist(), lossy.n.tolist()))
+    for c in (300, 1000, 30_000):
+        assert c - lossy.bucket <= got[c] <= c
+    assert len(got) < 100
+
+
+def test_rarity_keeps_the_commonest(spark):
+    rows = []
+    for t in range(6):
+        lossy = jaccard.Lossy()
+        lossy.add(np.repeat(np.arange(1, 50, dtype=np.uint64), np.arange(1, 50)))
+        rows += [tuple(x.values()) for x in jaccard._packed(lossy, 3).to_pylist()]
+    df = spark.createDataFrame(rows, jaccard._COMMON)
+    common = jaccard.rarity(df)
+    x = np.array([1, 2, 49, 1000], np.uint64)
+    assert common.counts(x).tolist() == [1, 12, 294, 1]
+    few = jaccard.rarity(df, most=10)
+    assert 0 < len(few.key) <= 10 and few.n.min() >= 256 and few.counts(x).tolist() == [1, 1, 294, 1]
+
+
+def test_hot_lists_are_dealt_at_the_real_limit():
+    """A token in more sets than ``HOT`` goes to several blocks, by true counts summed over tasks that each hold few."""
+    hot = jaccard.wh.shingle_sets(*utf8(pa.array(["one two three four five"])), 5)[0]
+    texts = pa.array([f"one two three four five {k}" for k in range(900)])
+    every = np.unique(np.concatenate(jaccard.wh.shingle_sets(*utf8(texts), 5)))
+    common = jaccard.Rarity(every, np.full(len(every), 5 * jaccard.HOT))
+
+    class Shared:
+        value = common, 0, 1000, jaccard.HOT, {}, 64
+
+    out = list(jaccard._lists(Shared, 5, 80, 100)(iter([pa.record_batch([texts], names=["text"])])))
+    blocks = set()
+    for b in out:
+        for at, key, flag in zip(*(b.column(c).to_pylist() for c in ("block", "key", "flag"))):
+            own = np.frombuffer(key, np.uint64) == hot[0]
+            if own.any():
+                blocks.add(at)
+                assert (np.frombuffer(flag, np.uint8)[own] == 2).all()
+    assert len(blocks) == 6
+
+
+def test_boundary_is_that_of_true_counts(spark):
+    docs = near_copies(8, 400)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = {}
+    for _, t in docs:
+        s = jaccard.wh.shingle_sets(*utf8(pa.array([t])), 5)[0]
+        sets[s.tobytes()] = s
+    count = {}
+    for s in sets.values():
+        for x in s.tolist():
+            count[x] = count.get(x, 0) + 1
+    true = jaccard.Rarity(np.array(list(count), np.uint64), np.array(list(count.values())))
+    both = df.coalesce(1).mapInArrow(jaccard._nodes(5, 3, 64), f"doc_id long, {jaccard._NODES}")
+    found = jaccard.rarity(both.where("part is not null").select("part", "key", both["count"].alias("n")))
+    x = np.array(list(count), np.uint64)
+    assert (found.counts(x) == true.counts(x)).all()
+
+
+def test_very_long_text(spark):
+    r = random.Random(9)
+    long = " ".join(str(r.randrange(10**6)) for _ in range(200_000))
+    docs = [(1, long), (2, long + " more words"), (3, long[: len(long) // 2]), (4, "short text"), (5, "short text")]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1][0] > 199_000 and [got[d][1] for d in range(1, 6)] == [1, 1, 3, 4, 4]
