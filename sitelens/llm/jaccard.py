@@ -6,9 +6,9 @@ a 64-bit hash of the set; sets that share a name but not a second hash of 64 bit
 * light, both sets of at most ``boundary`` shingles: linked sets share a subset of the size their overlap needs; all
   such fixed-size subsets are enumerated and equal ones meet;
 * heavy, the larger set above the boundary: inverted lists over each set's necessary prefix are scanned, tokens ordered
-  by rarity, with size and index-probe bounds. Every task counts the shingles of all its distinct sets by lossy counting;
-  what is common over all tasks is broadcast (``MOST`` shingles at most), all others count as rare and go by hash. Any
-  common order finds all links.
+  by rarity, with size and index-probe bounds. Rarity comes from a counting sketch of bounded size over the shingles of
+  all documents (a task counts equal sets once); its counters are exact sums of what falls on them. Any common order
+  finds all links.
 
 The boundary is the one of least cost: subsets to write against list entries to scan. Entries travel as packed blocks,
 a bounded number each; lists of tokens that very many documents hold are dealt over blocks by node. What meets in a list
@@ -24,6 +24,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
@@ -34,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import broadcast, chunks, connected_components, documents, drop, slices, table, tidied, tidy, utf8
+from .common import broadcast, chunks, connected_components, documents, slices, table, tidied, tidy, utf8
 
 U = np.uint64
-#: Tokens of a lossy count's bucket; common tokens to broadcast (12 MB); bytes of each row a bitmap travels in.
-WIDTH, MOST, PART = 1 << 20, 1 << 20, 1 << 14
+#: Shingles to a counter of the rarity sketch, up to 2**MOST counters in all (64 MB); counters of each row it travels in.
+LOAD, MOST, PART = 8, 26, 1 << 14
 #: Nodes of a list that are paired one by one.
 SHORT = 32
 #: Sets up to this size can be light.
@@ -95,124 +96,86 @@ def _sets(batch: pa.RecordBatch, at: int, k: int) -> Iterator[np.ndarray]:
         yield from wh.shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
 
 
-class Lossy:
-    """Lossy counting: every token of more than one in ``width`` is found, its count short by at most one a bucket."""
+class Sketch:
+    """A task's counters; what goes beyond a byte is held apart, so none saturates."""
 
-    def __init__(self, width: int = WIDTH) -> None:
-        self.width, self.bucket = width, 0
-        self.key, self.n, self.error = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self, size: int) -> None:
+        self.count = np.zeros(size, np.uint8)
+        self.more: dict[int, int] = {}
         self.new: list[np.ndarray] = []
         self.held = 0
 
     def add(self, tokens: np.ndarray) -> None:
-        for a in range(0, len(tokens), self.width):
-            self.new.append(tokens[a : a + self.width])
-            self.held += len(self.new[-1])
-            if self.held >= self.width:
-                self.close()
+        self.new.append(tokens)
+        self.held += len(tokens)
+        if self.held > 500_000:
+            self.close()
 
     def close(self) -> None:
-        if not self.held:
-            return
-        self.bucket += 1
-        key, n = np.unique(np.concatenate(self.new), return_counts=True)
-        self.new, self.held = [], 0
-        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
-        old = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
-        self.n[at[old]] += n[old]
-        own = ~old & (n > 1)  # a single one would be dropped at once
-        key = np.concatenate([self.key, key[own]])
-        n = np.concatenate([self.n, n[own]])
-        error = np.concatenate([self.error, np.full(own.sum(), self.bucket - 1)])
-        keep = np.flatnonzero(n + error > self.bucket)
-        order = keep[np.argsort(key[keep])]
-        self.key, self.n, self.error = key[order], n[order], error[order]
+        if self.new:
+            at, n = np.unique((np.concatenate(self.new) & U(len(self.count) - 1)).astype(np.int64), return_counts=True)
+            total = self.count[at] + n
+            self.count[at] = np.minimum(total, 255)
+            for k in np.flatnonzero(total > 255).tolist():
+                self.more[int(at[k])] = self.more.get(int(at[k]), 0) + int(total[k]) - 255
+            self.new, self.held = [], 0
+
+    def packed(self) -> pa.RecordBatch:
+        """Of each part that isn't empty the counters, then (place, rest) of those that hold more than a byte."""
+        self.close()
+        rest: dict[int, list[tuple[int, int]]] = {}
+        for at, n in self.more.items():
+            rest.setdefault(at // PART, []).append((at % PART, n))
+        parts = [p for p in range(len(self.count) // PART) if self.count[p * PART : (p + 1) * PART].any()]
+        raw = [zlib.compress(self.count[p * PART : (p + 1) * PART].tobytes() + np.array(rest.get(p, []), "<i8").tobytes(), 1) for p in parts]
+        return pa.record_batch([pa.array(parts, pa.int32()), pa.array(raw, pa.binary())], names=["part", "counts"])
+
+
+def sketch_size(tokens: int) -> int:
+    return 1 << min(MOST, max(16, (int(tokens) // LOAD).bit_length()))
+
+
+def _level(t: pa.Table) -> pa.Table:
+    total = np.zeros(PART, np.int64)
+    for c in t.column("counts"):
+        raw = zlib.decompress(c.as_py())
+        total += np.frombuffer(raw, np.uint8, PART)
+        at, n = np.frombuffer(raw, "<i8", offset=PART).reshape(-1, 2).T
+        total[at] += n
+    level = np.floor(4 * np.log2(1 + total)).astype(np.uint8)
+    return pa.table({"part": t.column("part")[:1], "level": pa.array([level.tobytes()], pa.binary())})
 
 
 class Rarity:
-    """Counts of common tokens; all others count as one."""
+    """About how many sets hold a token: its counter over all tasks, in quarters of a power of two."""
 
-    def __init__(self, key: np.ndarray, n: np.ndarray) -> None:
-        order = np.argsort(key)
-        self.key, self.n, self._bits = key[order], n[order], None
+    def __init__(self, level: np.ndarray) -> None:
+        self.level = level
 
     def counts(self, x: np.ndarray) -> np.ndarray:
-        out = np.ones(len(x), np.int64)
-        if len(self.key):
-            if self._bits is None:
-                self._bits = np.zeros(1 << 23, bool)
-                self._bits[self.key & U((1 << 23) - 1)] = True
-            near = np.flatnonzero(self._bits[x & U((1 << 23) - 1)])
-            at = np.minimum(np.searchsorted(self.key, x[near]), len(self.key) - 1)
-            own = self.key[at] == x[near]
-            out[near[own]] = self.n[at[own]]
-        return out
+        return _COUNTS[self.level[(x & U(len(self.level) - 1)).astype(np.int64)]]
 
-    def __reduce__(self):
-        return Rarity, (self.key, self.n)
 
+_COUNTS = np.floor(np.exp2(np.arange(256) / 4)).astype(np.float64)
 
-_COMMON = "part int, key binary, n binary"
 
+def rarity(counted: DataFrame, size: int) -> Rarity:
+    """The sum of the tasks' sketches."""
+    level = np.zeros(size, np.uint8)
+    for r in counted.groupBy("part").applyInArrow(_level, "part int, level binary").collect():
+        level[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["level"], np.uint8)
+    return Rarity(level)
 
-def _packed(lossy: Lossy, parts: int) -> pa.RecordBatch:
-    """What a task counted, by part of the tokens."""
-    lossy.close()
-    part = (wh.mix(lossy.key) % U(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
-    rows = np.split(order, cut[1:]) if len(cut) else []
-    return pa.record_batch([pa.array(part[order][cut], pa.int32()), pa.array([lossy.key[r].tobytes() for r in rows], pa.binary()), pa.array([lossy.n[r].tobytes() for r in rows], pa.binary())], names=["part", "key", "n"])
 
+_NODES = "n long, node long, other long, small binary, part int, counts binary"
 
-def _merged(t: pa.Table) -> pa.Table:
-    key, n = _unpack(t, "key", U), _unpack(t, "n", np.int64)
-    key, at = np.unique(key, return_inverse=True)
-    return pa.table({"part": t.column("part")[:1], "key": pa.array([key.tobytes()], pa.binary()), "n": pa.array([np.bincount(at, n, len(key)).astype(np.int64).tobytes()], pa.binary())})
 
-
-def _histogram(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for raw in b.column(0):
-            size, c = np.unique(np.floor(np.log2(np.frombuffer(raw.as_py(), np.int64))).astype(np.int64), return_counts=True)
-            yield pa.record_batch([pa.array(size), pa.array(c)], names=["size", "c"])
-
-
-def _above(least: int) -> callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n = np.frombuffer(c, np.int64)
-                own = n >= least
-                yield pa.record_batch([pa.array([np.frombuffer(k, U)[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary())], names=["key", "n"])
-
-    return run
-
-
-def rarity(counted: DataFrame, most: int = MOST) -> Rarity:
-    """The commonest tokens over all tasks, at most so many: all of at least some power of two."""
-    merged, path = table(counted.groupBy("part").applyInArrow(_merged, _COMMON), "common")
-    least, held = 2, 0
-    for r in sorted(merged.select("n").mapInArrow(_histogram, "size long, c long").groupBy("size").agg(F.sum("c").alias("c")).collect(), reverse=True):
-        if held + r["c"] > most:
-            least = 2 ** (r["size"] + 1)
-            break
-        held += r["c"]
-    rows = merged.select("key", "n").mapInArrow(_above(least), "key binary, n binary").collect()
-    drop(merged.sparkSession, path)
-    join = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
-    return Rarity(join("key", U), join("n", np.int64))
-
-
-_NODES = "n long, node long, other long, small binary, part int, key binary, count binary"
-
-
-def _nodes(k: int, parts: int, bits: int) -> callable:
+def _nodes(k: int, size: int, bits: int) -> callable:
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lossy, kind = Lossy(), None
+        sketch, kind = Sketch(size), None
         seen: set[int] = set()
-        names = ["doc_id", "n", "node", "other", "small", "part", "key", "count"]
+        names = ["doc_id", "n", "node", "other", "small", "part", "counts"]
         for batch in slices(batches):
             ids = batch.column(0)
             kind = ids.type
@@ -224,13 +187,13 @@ def _nodes(k: int, parts: int, bits: int) -> callable:
                 others.append(two)
                 small.append(s.tobytes() if len(s) <= MOST_LIGHT else None)
                 if len(s) and two not in seen:
-                    lossy.add(s)
+                    sketch.add(s)
                     if len(seen) < 200_000:
                         seen.add(two)
             m = len(ns)
-            yield pa.record_batch([ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(small, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.record_batch([ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(small, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if kind:
-            own = _packed(lossy, parts)
+            own = sketch.packed()
             m = own.num_rows
             yield pa.record_batch([pa.nulls(m, kind), *(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.binary()), *own.columns], names=names)
 
@@ -270,7 +233,7 @@ def _lists(shared, k: int, num: int, den: int) -> callable:
             node, n, flag = np.repeat(np.array(nodes, np.int64), reps), np.repeat(np.array(sizes, np.uint32), reps), np.concatenate(flags)
             dealt = np.flatnonzero(flag >= 2)
             deal = np.zeros(len(key), U)
-            deal[dealt] = wh.mix(node[dealt].view(U)) % (U(1) + (common.counts(key[dealt]) // hot).astype(U))
+            deal[dealt] = wh.mix(node[dealt].view(U)) % (U(1) + (common.counts(key[dealt]) / hot).astype(U))
             block = (wh.mix(key + deal * U(0xD6E8FEB86659FD93)) % U(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             cut = np.flatnonzero(np.diff(block[order], prepend=-1))
@@ -548,11 +511,11 @@ def near_classes(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, gro
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    # some six letters a word; parts of some 2**28 words
+    # some six letters a word
     words = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] // 6
-    parts = 24 + int(words >> 28)
-    both, _ = table(docs.mapInArrow(_nodes(k, parts, key_bits), f"doc_id {id_type}, {_NODES}"), "sets")
-    common = rarity(both.where("part is not null").select("part", "key", F.col("count").alias("n")))
+    size = sketch_size(words)
+    both, _ = table(docs.mapInArrow(_nodes(k, size, key_bits), f"doc_id {id_type}, {_NODES}"), "sets")
+    common = rarity(both.where("part is not null").select("part", "counts"), size)
     nodes = both.where("part is null").select("doc_id", "n", "node", "other")
     # names that different sets share: some 70 are expected among 5e10 sets
     clash = {r["node"]: r["lo"] for r in nodes.groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("node", "lo").collect()}

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .common import broadcast, chunks, connected_components, documents, slices, table, tidied, tidy, utf8
-from .jaccard import _COMMON, _LISTS, GROUP, PART, Lossy, _bits, _chains, _exact, _or, _packed, _verified, across, from_bytes, rarity, to_bytes
+from .jaccard import _LISTS, GROUP, PART, Sketch, _bits, _chains, _exact, _or, _verified, across, from_bytes, rarity, sketch_size, to_bytes
 
 U = np.uint64
 K, LONG, BLOCK = 5, 40, 500_000
@@ -236,14 +236,14 @@ def _filter(nodes: DataFrame, column: str, count: int):
     return broadcast(nodes.sparkSession, (raw, n_bits))
 
 
-def _rare(parts: int) -> callable:
+def _rare(size: int) -> callable:
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lossy = Lossy()
+        sketch = Sketch(size)
         for b in slices(batches):
             for x in b.column(0):
-                lossy.add(from_bytes(x.as_py()))
-        yield _packed(lossy, parts)
+                sketch.add(from_bytes(x.as_py()))
+        yield sketch.packed()
 
     return run
 
@@ -285,7 +285,8 @@ def repeated_runs(docs: DataFrame, num: int = 80, den: int = 100, min_words: int
         x, y = (large.select(F.col("node").alias(n), F.col("set").alias(c)) for n, c in (("u", "x"), ("v", "y")))
         pairs = edges.join(x, "u").join(y, "v").select("u", "v", "x", "y")
         links, _ = table(links.union(pairs.mapInArrow(_verified(num, den), "u long, v long")), "links")
-        common = rarity(large.select("set").mapInArrow(_rare(24 + int(total["s"] >> 31)), _COMMON))
+        size = sketch_size(total["s"] // 8)
+        common = rarity(large.select("set").mapInArrow(_rare(size), "part int, counts binary"), size)
         links = links.union(across(large, links, broadcast(docs.sparkSession, (common,)), num, den, group_bytes))
     cls = connected_components(links, "u", "v")
     near = counts.join(cls, "node")
