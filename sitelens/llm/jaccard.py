@@ -121,16 +121,51 @@ class Sketch:
             self.new, self.held = [], 0
 
     def packed(self) -> pa.RecordBatch:
-        """Of each part that isn't empty the counters, then (place, rest) of those that hold more than a byte."""
+        """The parts that aren't empty."""
         self.close()
         rest: dict[int, list[tuple[int, int]]] = {}
         for at, n in self.more.items():
             rest.setdefault(at // PART, []).append((at % PART, n))
-        parts = [p for p in range(len(self.count) // PART) if self.count[p * PART : (p + 1) * PART].any()]
-        raw = [zlib.compress(self.count[p * PART : (p + 1) * PART].tobytes() + np.array(rest.get(p, []), "<i8").tobytes(), 1) for p in parts]
+        parts, raw = [], []
+        for p in range(len(self.count) // PART):
+            own = self.count[p * PART : (p + 1) * PART]
+            if own.any():
+                parts.append(p)
+                raw.append(encode(own, rest.get(p, [])))
         return pa.record_batch([pa.array(parts, pa.int32()), pa.array(raw, pa.binary())], names=["part", "counts"])
 
 
+def encode(count: np.ndarray, rest: list[tuple[int, int]]) -> bytes:
+    """Counters of a part as gaps between those above 0 and the counts above 1; as they are where that is shorter."""
+    total = count.astype(np.int64)
+    for at, n in rest:
+        total[at] += n
+    at = np.flatnonzero(total)
+    gap = np.diff(at, prepend=-1) - 1
+    far, many = np.flatnonzero(gap > 255), np.flatnonzero(total[at] > 1)
+    if 2 * len(many) > PART:
+        return b"\0" + zlib.compress(total.astype("<u4").tobytes(), 1)
+    head = np.array([len(at), len(far), len(many)], "<u4").tobytes()
+    more = (far.astype("<u2"), (gap[far] >> 8).astype("<u2"), many.astype("<u2"), total[at[many]].astype("<u4"))
+    return b"\1" + zlib.compress(head + (gap & 255).astype(np.uint8).tobytes() + b"".join(x.tobytes() for x in more), 1)
+
+
+def decode(raw: bytes) -> np.ndarray:
+    kind, raw = raw[:1], zlib.decompress(raw[1:])
+    if kind == b"\0":
+        return np.frombuffer(raw, "<u4").astype(np.int64)
+    n, far, many = np.frombuffer(raw, "<u4", 3).tolist()
+    gap = np.frombuffer(raw, np.uint8, n, 12).astype(np.int64)
+    a = 12 + n
+    gap[np.frombuffer(raw, "<u2", far, a)] += np.frombuffer(raw, "<u2", far, a + 2 * far).astype(np.int64) << 8
+    a += 4 * far
+    each = np.ones(n, np.int64)
+    each[np.frombuffer(raw, "<u2", many, a)] = np.frombuffer(raw, "<u4", many, a + 2 * many)
+    out = np.zeros(PART, np.int64)
+    out[np.cumsum(gap + 1) - 1] = each
+    return out
+
+
 def sketch_size(tokens: int) -> int:
     return 1 << min(MOST, max(16, (int(tokens) // LOAD).bit_length()))
 
@@ -138,33 +173,35 @@ def sketch_size(tokens: int) -> int:
 def _level(t: pa.Table) -> pa.Table:
     total = np.zeros(PART, np.int64)
     for c in t.column("counts"):
-        raw = zlib.decompress(c.as_py())
-        total += np.frombuffer(raw, np.uint8, PART)
-        at, n = np.frombuffer(raw, "<i8", offset=PART).reshape(-1, 2).T
-        total[at] += n
+        total += decode(c.as_py())
     level = np.floor(4 * np.log2(1 + total)).astype(np.uint8)
-    return pa.table({"part": t.column("part")[:1], "level": pa.array([level.tobytes()], pa.binary())})
+    return pa.table({"part": t.column("part")[:1], "level": pa.array([zlib.compress(level.tobytes(), 1)], pa.binary()), "total": pa.array([int(total.sum())])})
 
 
 class Rarity:
     """About how many sets hold a token: its counter over all tasks, in quarters of a power of two."""
 
-    def __init__(self, level: np.ndarray) -> None:
-        self.level = level
+    def __init__(self, level: np.ndarray, mean: float = 0.0) -> None:
+        self.level, self.mean = level, mean
 
     def counts(self, x: np.ndarray) -> np.ndarray:
         return _COUNTS[self.level[(x & U(len(self.level) - 1)).astype(np.int64)]]
 
+    def expected(self, x: np.ndarray) -> np.ndarray:
+        """Without what other tokens put on a counter on average, so sums over many tokens are right."""
+        return 1.09 * self.counts(x) - self.mean
+
 
-_COUNTS = np.floor(np.exp2(np.arange(256) / 4)).astype(np.float64)
+_COUNTS = np.floor(np.exp2(np.arange(256) / 4))
 
 
 def rarity(counted: DataFrame, size: int) -> Rarity:
     """The sum of the tasks' sketches."""
-    level = np.zeros(size, np.uint8)
-    for r in counted.groupBy("part").applyInArrow(_level, "part int, level binary").collect():
-        level[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["level"], np.uint8)
-    return Rarity(level)
+    level, total = np.zeros(size, np.uint8), 0
+    for r in counted.groupBy("part").applyInArrow(_level, "part int, level binary, total long").collect():
+        level[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(zlib.decompress(r["level"]), np.uint8)
+        total += r["total"]
+    return Rarity(level, total / size)
 
 
 _NODES = "n long, node long, other long, small binary, part int, counts binary"
@@ -484,7 +521,7 @@ def choose_boundary(rows: list, num: int, den: int) -> int:
     """rows: (n, sets, list entries that their prefixes meet). Least of subsets written and entries scanned."""
     sets, meets = {r["n"]: r["c"] for r in rows}, {r["n"]: r["s"] for r in rows}
     light = lambda n, x: sum(comb(n, t) for t in overlaps(n, x, num, den))
-    cost = lambda x: sum(sets[n] * light(n, x) for n in sets if n <= x) + sum(sets[n] * probe(n, num, den) + meets[n] for n in sets if den * n > num * x)
+    cost = lambda x: sum(sets[n] * light(n, x) for n in sets if n <= x) + sum(sets[n] * probe(n, num, den) + max(0.0, meets[n]) for n in sets if den * n > num * x)
     return min(range(MOST_LIGHT + 1), key=lambda x: (cost(x), x))
 
 
@@ -497,10 +534,10 @@ def _costs(shared, num: int, den: int) -> callable:
             for raw in b.column(0).to_pylist():
                 s = np.frombuffer(raw, U)
                 if len(s):
-                    count = _ordered(s, common)[1][: probe(len(s), num, den)]
+                    met = common.expected(_ordered(s, common)[0][: probe(len(s), num, den)])
                     own = out.setdefault(len(s), [0, 0.0])
                     own[0] += 1
-                    own[1] += float(count.sum())
+                    own[1] += float(met.sum())
         yield pa.record_batch([pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.int64()), pa.array([x[1] for x in out.values()], pa.float64())], names=["n", "c", "s"])
 
     return run

@@ -109,6 +109,14 @@ def test_counters_are_exact_sums(spark):
     assert common.counts(np.array([1000], np.uint64)).tolist() == [1]
 
 
+def test_counters_travel_whole():
+    r = np.random.default_rng(5)
+    for share, high in ((0.0001, 3), (0.01, 3), (0.3, 300), (0.9, 70_000), (1.0, 2)):
+        c = np.where(r.random(jaccard.PART) < share, r.integers(1, high, jaccard.PART), 0)
+        rest = [(int(k), int(c[k]) - 255) for k in np.flatnonzero(c > 255)]
+        assert (jaccard.decode(jaccard.encode(np.minimum(c, 255).astype(np.uint8), rest)) == c).all()
+
+
 def test_hot_lists_are_dealt_at_the_real_limit():
     """A token in more sets than ``HOT`` goes to several blocks, by true counts summed over tasks that each hold few."""
     hot = jaccard.wh.shingle_sets(*utf8(pa.array(["one two three four five"])), 5)[0]
@@ -144,14 +152,14 @@ def test_boundary_is_that_of_true_counts(spark):
     both.unpersist()
 
     class True_:
-        counts = staticmethod(lambda x: np.array([count[i] for i in x.tolist()]))
+        expected = counts = staticmethod(lambda x: np.array([count[i] for i in x.tolist()]))
 
     def boundary(rarity):
         rows = {}
         for s in small:
             own = rows.setdefault(len(s), {"n": len(s), "c": 0, "s": 0.0})
             own["c"] += 1
-            own["s"] += jaccard._ordered(s, rarity)[1][: jaccard.probe(len(s), 80, 100)].sum()
+            own["s"] += rarity.expected(jaccard._ordered(s, rarity)[0][: jaccard.probe(len(s), 80, 100)]).sum()
         return jaccard.choose_boundary(list(rows.values()), 80, 100)
 
     assert abs(boundary(common) - boundary(True_)) <= 1
