@@ -1,13 +1,14 @@
 """Chat formatting in budgeted, turn-aligned windows; DataFrame functions only.
 
-``format_windows`` returns a row per window: conv_id, window, formatted, loss_spans, n_tokens. Prefix sums of turn tokens
-(block by block, so that one endless conversation is dealt over many tasks) choose the windows; every later window begins
-with the leading system turn and with as many last turns of the one before as fit ``history`` tokens. Repeats are marked
-``<|again|>`` and never under the loss mask, so each assistant text is a target once.
+``format_windows`` returns a row per window: conv_id, window (tokens of the conversation before it), formatted,
+loss_spans, n_tokens. Prefix sums of turn tokens come block by block of turn numbers, so that one endless conversation is
+dealt over many tasks; within a block each window takes turns as long as they fit the budget. Every later window begins
+with the leading system turn and with as many last turns of the one before as fit ``history`` tokens and the budget.
+Repeats are marked ``<|again|>`` and never under the loss mask, so each assistant text is a target once.
 
 Defined cases: null role or text counts as empty; a null conv_id is a conversation of its own; turns are ordered by
-(turn, role, text), null turn first, and equal rows are turns of their own; a turn longer than half of a window's room
-can exceed the budget, as turns are never cut; no rows give no rows; other columns are ignored.
+(turn, role, text), null turn first, and equal rows are turns of their own; a window exceeds the budget only if a single
+turn, with the system turn, does, as turns are never cut (however long); no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,47 +40,62 @@ def turn_tokens(c: Column) -> Column:
 def format_windows(turns: DataFrame, budget: int = 1024, history: int = 128) -> DataFrame:
     if not 0 <= history < budget // 2:
         raise ValueError("history must be below half of the budget")
+    zero = F.lit(0).cast("long")
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("tok", turn_tokens(F.col("text"))).withColumn("blk", F.coalesce(F.floor(F.col("turn") / _BLOCK), F.lit(-(2**40))))
+    own = Window.partitionBy("conv_id", "blk").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("to", F.sum("tok").over(own))
     by_blk = t.groupBy(F.col("conv_id").alias("c"), F.col("blk").alias("b")).agg(
-        F.sum("tok").alias("sum"), F.min(F.struct("turn", "role", "text", "tok")).alias("head")
+        F.max("to").alias("sum"), F.min(F.struct("turn", "role", "text", "tok")).alias("head"), F.sort_array(F.collect_list(F.struct("to", "tok"))).alias("toks")
     )
     conv = Window.partitionBy("c").orderBy("b")
     by_blk = by_blk.select(
-        "c", "b",
+        "c", "b", "toks",
         (F.sum("sum").over(conv) - F.col("sum")).alias("base"),
         F.first("head").over(conv).alias("head"),
         F.sum("sum").over(Window.partitionBy("c")).alias("total"),
     )
-    own = Window.partitionBy("c", "b").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     has_system = F.col("head.role") == "system"
-    stride = F.greatest(F.lit(budget // 8), F.floor((budget - history - F.when(has_system, F.col("head.tok")).otherwise(0)) / 2))
+    again_tok = F.when(has_system, F.col("head.tok")).otherwise(0)
+    # where windows start in the block: a turn that the open window has no room for begins the next one
+    room = F.when(F.col("base") > 0, F.lit(0)).otherwise(F.lit(budget))
+    later = F.greatest(F.lit(1), budget - history - again_tok)
+
+    def step(a: Column, x: Column) -> Column:
+        fits = (x["to"] - x["tok"] == a["open"]) | (x["to"] - a["open"] <= F.when(a["open"] == 0, F.greatest(room, later)).otherwise(later))
+        open_ = F.when(fits, a["open"]).otherwise(x["to"] - x["tok"])
+        return F.struct(open_.alias("open"), F.when(fits, a["cuts"]).otherwise(F.concat(a["cuts"], F.array(x["to"] - x["tok"]))).alias("cuts"))
+
+    cuts = F.aggregate("toks", F.struct(zero.alias("open"), F.array(zero).alias("cuts")), step, lambda a: a["cuts"])
+    by_blk = by_blk.select("c", "b", "base", "head", "total", cuts.alias("cuts"))
     t = t.join(by_blk, t["conv_id"].eqNullSafe(by_blk["c"]) & (t["blk"] == by_blk["b"]))
-    t = t.withColumn("stop", F.col("base") + F.sum("tok").over(own)).withColumn("start", F.col("stop") - F.col("tok"))
-    t = t.withColumn("stride", stride).withColumn("window", F.floor(F.col("start") / F.col("stride")))
+    t = t.withColumn("stop", F.col("base") + F.col("to")).withColumn("start", F.col("stop") - F.col("tok"))
+    local = F.col("to") - F.col("tok")
+    t = t.withColumn("window", F.col("base") + F.array_max(F.filter("cuts", lambda c: c <= local)))
     t = t.withColumn("ends", F.max("stop").over(Window.partitionBy("c", "window")))
-    follows = F.floor(F.col("ends") / F.col("stride"))
     seg = F.struct(F.lit(2).alias("kind"), "start", "role", "text", "tok")
     again = F.struct(F.lit(1).alias("kind"), "start", "role", "text", "tok")
-    system = F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("start"), F.col("head.role").alias("role"), F.col("head.text").alias("text"), F.col("head.tok").alias("tok"))
-    first_of_window = F.row_number().over(Window.partitionBy("c", "window").orderBy("start")) == 1
+    system = F.struct(F.lit(0).alias("kind"), zero.alias("start"), F.col("head.role").alias("role"), F.col("head.text").alias("text"), F.col("head.tok").alias("tok"))
     is_system = has_system & (F.col("start") == 0)
     repeated = (F.col("ends") < F.col("total")) & (F.col("ends") - F.col("start") <= history) & ~is_system
-    t = t.withColumn("lead", first_of_window)
     rows = t.select(
         "conv_id",
         F.explode(
             F.filter(
                 F.array(
                     F.struct(F.col("window"), seg.alias("seg")),
-                    F.when(repeated, F.struct(follows.alias("window"), again.alias("seg"))),
-                    F.when(F.col("lead") & has_system & (F.col("window") > 0), F.struct(F.col("window"), system.alias("seg"))),
+                    F.when(repeated, F.struct(F.col("ends").alias("window"), again.alias("seg"))),
+                    F.when((F.col("start") == F.col("window")) & has_system & (F.col("window") > 0), F.struct(F.col("window"), system.alias("seg"))),
                 ),
                 lambda x: x.isNotNull(),
             )
         ).alias("x"),
     )
-    w = rows.groupBy("conv_id", F.col("x.window").alias("window")).agg(F.sort_array(F.collect_list("x.seg")).alias("segs"))
+    w = rows.groupBy("conv_id", F.col("x.window").alias("window")).agg(
+        F.sort_array(F.collect_list("x.seg")).alias("segs"), F.sum(F.when(F.col("x.seg.kind") != 1, F.col("x.seg.tok")).otherwise(0)).alias("held")
+    )
+    # history gives way to a long turn
+    w = w.withColumn("segs", F.filter("segs", lambda s: (s["kind"] != 1) | (F.col("window") - s["start"] <= budget - F.col("held"))))
     head = lambda s: F.concat(F.when(s["kind"] == 2, F.lit(TURN)).otherwise(F.lit(AGAIN)), escape(s["role"]), F.lit(SAYS))
     w = w.withColumn(
         "parts",
@@ -140,36 +156,42 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op2_chat_format": op2_chat_format}
 
-#: The windows are laid out anew from plain prefix sums over the whole conversation.
+#: The windows are laid out anew, turn by turn.
 ORACLE_SQL = {
     "op2_chat_format": r"""
-WITH t AS (
+WITH RECURSIVE t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), k AS (
   SELECT *, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 4 AS tok,
     length(text) + len(regexp_extract_all(text, '\\|<\||</?s>|<</?SYS>>|\[/?INST\]')) AS chars,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n
   FROM t
-), s AS (
+), s AS MATERIALIZED (
   SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY n) AS stop,
     sum(tok) OVER (PARTITION BY conv_id) AS total,
+    lag(turn // 256) OVER (PARTITION BY conv_id ORDER BY n) IS DISTINCT FROM turn // 256 AS fresh,
     max(CASE WHEN n = 1 AND role = 'system' THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) AS sys,
     max(CASE WHEN n = 1 AND role = 'system' THEN chars + 6 ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_chars
   FROM k
-), w AS (
-  SELECT *, greatest(128, (1024 - 128 - sys) // 2) AS stride, (stop - tok) // greatest(128, (1024 - 128 - sys) // 2) AS win FROM s
+), r AS (
+  SELECT conv_id, n, CAST(0 AS HUGEINT) AS win FROM s WHERE n = 1
+  UNION ALL
+  SELECT s.conv_id, s.n, CASE WHEN s.fresh OR s.stop - r.win > CASE WHEN r.win = 0 THEN 1024 ELSE greatest(1, 1024 - 128 - sys) END THEN s.stop - s.tok ELSE r.win END
+  FROM r JOIN s ON s.conv_id = r.conv_id AND s.n = r.n + 1
 ), e AS (
-  SELECT *, max(stop) OVER (PARTITION BY conv_id, win) AS ends, row_number() OVER (PARTITION BY conv_id, win ORDER BY n) AS k FROM w
-)
+  SELECT s.*, win, max(stop) OVER (PARTITION BY s.conv_id, win) AS ends, sum(tok) OVER (PARTITION BY s.conv_id, win) AS held,
+    row_number() OVER (PARTITION BY s.conv_id, win ORDER BY s.n) AS k
+  FROM s JOIN r ON r.conv_id = s.conv_id AND r.n = s.n
+), h AS (SELECT conv_id AS c, win AS w, any_value(held) AS next_held FROM e GROUP BY ALL)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(role) + chars + 23
-    + CASE WHEN ends < total AND ends - (stop - tok) <= 128 AND NOT (n = 1 AND role = 'system') THEN length(role) + chars + 24 ELSE 0 END
+    + CASE WHEN ends < total AND ends - (stop - tok) <= least(128, 1024 - sys - next_held) AND NOT (n = 1 AND role = 'system') THEN length(role) + chars + 24 ELSE 0 END
     + CASE WHEN k = 1 AND win > 0 AND sys > 0 THEN sys_chars + 24 ELSE 0 END) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e LEFT JOIN h ON h.c = e.conv_id AND h.w = e.ends GROUP BY conv_id
 """
 }

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from sitelens.llm import chat
 
@@ -32,3 +33,36 @@ def test_query_digests(spark, sf_dir):
         assert got[conv]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         loss = "".join(t["text"] or "" for t in own if t["role"] == "assistant")
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_windows_keep_the_budget(spark):
+    r = random.Random(7)
+    rows = []
+    for c in range(60):
+        system = c % 3 == 0
+        for k in range(r.randrange(1, 700) if c < 3 else r.randrange(1, 30)):
+            n = r.choice([0, 3, 40, 440, 900, 1019, 1500]) if r.random() < 0.5 else r.randrange(0, 300)
+            rows.append((c, k, "system" if system and k == 0 else r.choice(["user", "assistant"]), "w " * (30 if system and k == 0 else n)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {}
+    for x in chat.format_windows(df).collect():
+        got.setdefault(x["conv_id"], []).append((x["window"], x["n_tokens"]))
+    tok = lambda x: x[3].count("w") + 4
+    over = 0
+    for c in range(60):
+        own = [x for x in rows if x[0] == c]
+        head = tok(own[0]) if own[0][2] == "system" else 0
+        want, at, open_, first = [0], 0, 0, True
+        for x in own:
+            room = 1024 if open_ == 0 else 1024 - 128 - head
+            if at > open_ and (at + tok(x) - open_ > room or x[1] % 256 == 0):
+                open_ = at
+                want.append(at)
+            at += tok(x)
+        assert sorted(w for w, _ in got[c]) == want
+        starts = sorted((w, n) for w, n in got[c])
+        for (w, n), end in zip(starts, [*want[1:], at]):
+            single = any(tok(x) == end - w for x in own)
+            assert n <= 1024 or (single and end - w + head > 1024)
+            over += n > 1024
+    assert over and len(got) == 60
