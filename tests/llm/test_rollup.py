@@ -1,3 +1,4 @@
+import public_tokenizers
 import pytest
 
 from sitelens.llm import rollup
@@ -28,14 +29,37 @@ def test_commits_are_additive_and_idempotent(spark):
     assert r.commit("4", one)
 
 
-def test_query_matches_a_plain_count(spark, sf_dir):
-    docs = {}
-    for d in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect():
-        docs.setdefault(d["text"] or "", d)
+def plain(docs):
+    """Totals by (source, lang, version) of one document of each text, counted one by one."""
+    enc = {v: rollup.encoding(public_tokenizers.path(f)) for v, f in rollup.TOKENIZERS.items()}
+    order = sorted(docs, key=lambda d: (d["doc_id"] is None, d["doc_id"] or 0, d["source"] or "", d["lang"] or ""))
+    kept = {}
+    for d in order:
+        kept.setdefault(d["text"] or "", d)
     want = {}
-    for t, d in docs.items():
-        k = (d["source"], d["lang"])
-        n, w, c = want.get(k, (0, 0, 0))
-        want[k] = (n + 1, w + len(t.split()), c + len(t))
-    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"], r["n_chars"]) for r in rollup.op5_token_counts(spark, sf_dir).where("version = 'words-1'").collect()}
-    assert got == want
+    for t, d in kept.items():
+        for v, e in enc.items():
+            n, w, c = want.get(k := (d["source"], d["lang"], v), (0, 0, 0))
+            want[k] = (n + 1, w + len(e.encode_ordinary(t)), c + len(t))
+    return {k: x for k, x in want.items() if x[0]}
+
+
+def found(df):
+    return {(r["source"], r["lang"], r["version"]): (r["n_docs"], r["n_tokens"], r["n_chars"]) for r in df.collect()}
+
+
+def test_query_matches_a_plain_count(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert found(rollup.op5_token_counts(spark, sf_dir)) == plain(docs)
+
+
+def test_hard_documents(spark, tmp_path):
+    long = "word é 中文 " * 30_000
+    rows = [(1, "same", "en", "a"), (1, "same", "en", "a"), (2, "same", "en", "b"), (None, "same", "en", "b"), (None, "alone", None, None), (None, "alone", "en", None), (3, None, "en", "a"), (4, "", "en", "a"), (5, long, "en", "c"), (6, "<|endoftext|>", "en", "a")]
+    rows += [(100 + k, "copied everywhere", "en", f"s{k % 3}") for k in range(200)]
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, lang string, source string, version string, copies int")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = found(rollup.op5_token_counts(spark, str(tmp_path)))
+    assert got == plain(df.collect()) and got[("s0", "en", "byte-50k")][0] == 1
+    df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert rollup.op5_token_counts(spark, f"{tmp_path}/none").collect() == []
