@@ -3,11 +3,15 @@
 One Aho-Corasick pass over a whole text finds at-signs, plus signs, digits, schemes and identifier cues. From each anchor
 a deterministic local parser expands to the boundaries and validates; each parser moves forward only, so a text takes
 linear time. Kinds: email, ip, card, phone as in the base patterns, each leftmost and non-overlapping within its kind;
-then url (a scheme and what follows) and account (an identifier after a cue word, with a digit, six characters or more),
-which are added where they touch no base span.
-
-Defined cases: null text counts as empty and has no spans; repeated rows are rows each; offsets are code points, end
-exclusive; no rows give no rows. ``redact`` keeps every other column.
+then url (a scheme and what follows) and account, which are added where they touch no base span. An account follows a cue
+word, in any case: a bank number with its country and check digits (blanks or hyphens between groups, remainder 1 modulo
+97); a social security number of three valid groups; another account or passport number of 6 to 34 letters and digits,
+digits for the greater part; after a password's or key's cue, and only behind ``:`` or ``=``, six characters or more with
+a digit.
+
+Defined cases: null and empty texts have no spans; very long texts are read whole; of spans of one kind that overlap the
+first stays, and of kinds that meet at one place ``redact`` names the longest; repeated rows are rows each; offsets are
+code points, end exclusive; no rows give no rows. ``redact`` keeps every other column.
 """
 
 from __future__ import annotations
@@ -27,7 +31,12 @@ from .common import documents, slices, tidied
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
 SCHEMES = ("http", "https", "ftp", "ssh")
-CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "passport", "ssn", "password", "passwd", "token", "userid", "api_key", "apikey", "secret")
+CUES = {
+    "bank": ("iban",),
+    "social": ("ssn", "social security"),
+    "number": ("account", "acct", "konto", "kontonummer", "compte", "cuenta", "passport", "pass-nr", "reisepass"),
+    "secret": ("password", "passwd", "passwort", "token", "userid", "user id", "api_key", "api-key", "api key", "apikey", "secret", "secret_key", "access_key"),
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -36,7 +45,12 @@ _DOTTED = re.compile(r"[0-9.]*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+")
-_ID = re.compile(r"[ \t]*(?:(?:no|nr|number|id)\b\.?[ \t]*)?[:=#]?[ \t]*[\"']?([A-Za-z0-9][A-Za-z0-9_-]*)", re.I)
+_LINK = re.compile(r"[ \t_-]*(?:(?:number|nummer|num|no|nr|id)\b\.?[ \t]*)?(?:is\b)?[ \t]*[\"']?[:=#]?[ \t]*[\"']?", re.I)
+_SET = re.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"',;]{6,})")
+_BANK = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}")
+_SOCIAL = re.compile(r"(?!000|666|9)[0-9]{3}([ -]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![A-Za-z0-9])")
+_NUMBER = re.compile(r"[A-Za-z0-9](?:[ .-]?[A-Za-z0-9])+")
+_FOLD = {c: c + 32 for c in range(65, 91)}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -46,13 +60,54 @@ def _automaton() -> ahocorasick.Automaton:
     a.add_word("@", ("@", 1))
     a.add_word("+", ("+", 1))
     a.add_word("://", ("u", 3))
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.title()}:
-            a.add_word(form, ("c", len(form)))
+    for kind, words in CUES.items():
+        for cue in words:
+            a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
 
+def bank_end(text: str, at: int) -> int | None:
+    """Where a bank number that begins here ends: its longest form of 15 to 34 characters that passes its check."""
+    m = _BANK.match(text, at)
+    if not m:
+        return None
+    end = m.end()
+    while end - at >= 15:
+        plain = re.sub("[ -]", "", text[at:end]).upper()
+        whole = end == len(text) or not text[end].isalnum()
+        if whole and 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+            return end
+        end -= 1
+        while text[end - 1] in " -":
+            end -= 1
+    return None
+
+
+def account_after(text: str, at: int, kind: str) -> tuple[int, int] | None:
+    """The identifier that follows a cue which ends here."""
+    if kind == "secret":
+        m = _SET.match(text, at)
+        return m.span(1) if m and any(c.isdigit() for c in m[1]) else None
+    s = _LINK.match(text, at).end()
+    if (end := bank_end(text, s)) is not None:
+        return s, end
+    if kind == "social":
+        m = _SOCIAL.match(text, s)
+        return m.span() if m else None
+    if kind == "number" and (m := _NUMBER.match(text, s)):
+        # groups as long as they have digits
+        end = s
+        for g in re.finditer(r"[ .-]?[A-Za-z0-9]+", m[0]):
+            if not any(c.isdigit() for c in g[0]):
+                break
+            end = s + g.end()
+        plain = re.sub(r"[ .-]", "", text[s:end])
+        if 6 <= len(plain) <= 34 and 2 * sum(c.isdigit() for c in plain) > len(plain):
+            return s, end
+    return None
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -68,7 +123,7 @@ def spans_of(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int
     email_end, last_at, ip_end, card_end = 0, -1, 0, 0
     url_end = 0
     n = len(text)
-    for end, (what, size) in automaton.iter(text):
+    for end, (what, size) in automaton.iter(text.translate(_FOLD)):
         p = end - size + 1
         if what == "d":
             if p >= ip_end:
@@ -111,17 +166,16 @@ def spans_of(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int
                 url_end = m.start() + len(m[0].rstrip(".,;:!?)'"))
                 if url_end > p + 3:
                     extra.append((4, s, url_end))
-        elif what == "c" and (p == 0 or not text[p - 1].isalnum()) and (end + 1 < n and not text[end + 1].isalnum()):
-            m = _ID.match(text, end + 1)
-            if m and len(m[1]) >= 6 and any(c.isdigit() for c in m[1]):
-                extra.append((5, *m.span(1)))
+        elif what in CUES and (p == 0 or not text[p - 1].isalnum()) and (end + 1 < n and not text[end + 1].isalnum()):
+            if (found_at := account_after(text, end + 1, what)) is not None:
+                extra.append((5, *found_at))
     taken = sorted(x for kind in found for x in kind)
     starts = [x[0] for x in taken]
     reach, most = [], 0
     for _, e in taken:
         most = max(most, e)
         reach.append(most)
-    for kind, s, e in extra:
+    for kind, s, e in sorted(extra):
         k = bisect_left(starts, e)
         if (k == 0 or reach[k - 1] <= s) and not (found[kind] and found[kind][-1][1] > s):
             found[kind].append((s, e))

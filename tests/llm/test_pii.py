@@ -51,6 +51,31 @@ def test_added_kinds_keep_base_spans():
     assert kinds == ["email", "url", "account", "account"]
 
 
+def accounts(text):
+    return [text[s:e] for k, s, e in pii.spans_of(text, A) if pii.KINDS[k] == "account"]
+
+
+def test_accounts_are_validated():
+    for text, want in {
+        "IBAN: DE44 5001 0517 5407 3249 31 und mehr": "DE44 5001 0517 5407 3249 31",
+        "iban DE44500105175407324931.": "DE44500105175407324931",
+        "Iban GB82-WEST-1234-5698-7654-32,": "GB82-WEST-1234-5698-7654-32",
+        "é Konto-Nr. 12345678": "12345678", "KONTONUMMER: 12 3456 789 bei": "12 3456 789", "account number is 0012-3456-77 today": "0012-3456-77",
+        "Passport no. C01X00T47 x": "C01X00T47", "passport No: X1234567": "X1234567", "SSN 078-05-1120": "078-05-1120",
+        "API_Key=abc123def456": "abc123def456", "api-key : 'k9k9k9'": "k9k9k9", '"password": "hunter22"': "hunter22", "secret_key=zz99zz": "zz99zz",
+    }.items():
+        assert accounts(text) == ([want] if want else []), text
+    for text in ("IBAN: DE45 5001 0517 5407 3249 31", "secret sauce2go", "my token 2fast4you is", "password: letmein", "account of 1984 books", "konto", "SSN 666-05-1120", "ssn 078-05-11201", "subaccount 12345678", "accounts 12345678", "account 12345"):
+        assert accounts(text) == [], text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aİé IBANiban:=DE4 950017-_.ıssnSSN", max_size=80))
+def test_any_text_gives_spans_inside_it(text):
+    got = pii.spans_of(text, A)
+    assert all(0 <= s < e <= len(text) for _, s, e in got) and [x for x in got if x[0] < 4] == brute(text)
+
+
 def test_frames(spark, sf_dir):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "é a@b.co", "z"), (3, "é a@b.co", "z")], "doc_id long, text string, spans string")
     got = sorted((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in pii.find_pii(docs).collect())
