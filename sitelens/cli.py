@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,15 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--bfactor-cutoff", type=float)
             s.add_argument("--bfactor-mode", choices=("zscore", "absolute"))
             s.add_argument("--bfactor-population", choices=("water", "protein", "all"))
+            s.add_argument("--drop-if-no-edia-json", action="store_true", help="drop all waters of structures without scores")
+            s.add_argument("--exclusive-borderline", action="store_true", help="a value at a cutoff fails it")
         if name in ("cluster", "search"):
             s.add_argument("--cluster-radius", type=float)
             s.add_argument("--min-cluster-size", type=int)
             s.add_argument("--min-samples", type=int)
+        if name == "cluster":
+            s.add_argument("--write-cif", action="store_true")
+            s.add_argument("--include-noise", action="store_true")
         if name == "pairwise":
             s.add_argument("--match-radius", type=float)
         if name == "metadata":
@@ -48,6 +54,11 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def address(path: str) -> str:
+    """A path as an address that pyarrow.fs knows."""
+    return path if "://" in path else Path(path).resolve().as_uri()
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.ERROR if a.quiet else logging.INFO)
@@ -67,17 +78,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             entries = spark.read.option("pathGlobFilter", "*.json").text(a.entries, wholetext=True).select(F.lower(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)).alias("pdb_id"), F.col("value").alias("entry")) if a.entries else None
             writers.write_csv(readers.metadata(structures, count_water_oxygens(atoms), entries).orderBy(F.col("resolution").asc_nulls_last(), "pdb_id"), f"{a.output}/metadata.csv")
         elif a.stage == "filter":
-            kept, _, report = stages.filter_stage(atoms, structures, c, scores)
+            kept, _, report = stages.filter_stage(atoms, structures, c, scores, a.exclusive_borderline, a.drop_if_no_edia_json)
             kept.write.mode("overwrite").parquet(f"{a.output}/atoms")
-            writers.write_csv(report.orderBy("pdb_id"), f"{a.output}/{writers.report_name(c.distance_cutoff, c.edia_cutoff, c.bfactor_cutoff, c.bfactor_mode, c.bfactor_population)}")
+            kept = spark.read.parquet(f"{a.output}/atoms")
+            writers.write_texts(writers.edited_cifs(readers.read_texts(spark, a.input), kept), address(a.output))
+            writers.write_report(report, f"{a.output}/{writers.report_name(c.distance_cutoff, c.edia_cutoff, c.bfactor_cutoff, c.bfactor_mode, c.bfactor_population)}")
         elif a.stage == "align":
             moved, report = stages.align_stage(atoms, a.reference.lower())
             moved.write.mode("overwrite").parquet(f"{a.output}/atoms")
+            moved = spark.read.parquet(f"{a.output}/atoms")
+            writers.write_texts(writers.edited_cifs(readers.read_texts(spark, a.input), moved), address(a.output))
             writers.write_csv(report.drop("rotation", "shift").orderBy("pdb_id"), f"{a.output}/alignment_report.csv")
         elif a.stage == "cluster":
             n = atoms.select("pdb_id").distinct().count()
             rows, table = stages.cluster_stage(atoms, c, n, scores)
+            rows.write.mode("overwrite").parquet(f"{a.output}/cluster_members")
+            rows = spark.read.parquet(f"{a.output}/cluster_members")
             writers.write_csv(rows, f"{a.output}/cluster_members.csv")
+            if a.write_cif:
+                noise = rows.where("cluster_id = -1") if a.include_noise else None
+                writers.write_cluster_cif(writers.cluster_sites(table, noise, n), f"{address(a.output)}/clusters.cif")
             writers.write_csv(table.orderBy("cluster_id"), f"{a.output}/clusters.csv")
         elif a.stage == "search":
             n = atoms.select("pdb_id").distinct().count()

@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
-import re
-from fractions import Fraction
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
 
-#: General positions by Hermann-Mauguin name, from the International Tables.
-GENERAL_POSITIONS = {
-    "P 1": "x,y,z",
-    "P 1 21 1": "x,y,z; -x,y+1/2,-z",
-    "C 1 2 1": "x,y,z; -x,y,-z; x+1/2,y+1/2,z; -x+1/2,y+1/2,-z",
-    "P 21 21 21": "x,y,z; -x+1/2,-y,z+1/2; -x,y+1/2,-z+1/2; x+1/2,-y+1/2,-z",
-    "P 43 21 2": "x,y,z; -x,-y,z+1/2; -y+1/2,x+1/2,z+3/4; y+1/2,-x+1/2,z+1/4; -x+1/2,y+1/2,-z+3/4; x+1/2,-y+1/2,-z+1/4; y,x,-z; -y,-x,-z+1/2",
-    "P 41 21 2": "x,y,z; -x,-y,z+1/2; -y+1/2,x+1/2,z+1/4; y+1/2,-x+1/2,z+3/4; -x+1/2,y+1/2,-z+1/4; x+1/2,-y+1/2,-z+3/4; y,x,-z; -y,-x,-z+1/2",
-}
+#: Hall symbols of the 65 groups without mirrors or inversions, by Hermann-Mauguin name, in the order of the
+#: International Tables; then other settings and names of the same groups.
+HALL = {
+    "P 1": "P 1", "P 1 2 1": "P 2y", "P 1 21 1": "P 2yb", "C 1 2 1": "C 2y",
+    "P 2 2 2": "P 2 2", "P 2 2 21": "P 2c 2", "P 21 21 2": "P 2 2ab", "P 21 21 21": "P 2ac 2ab",
+    "C 2 2 21": "C 2c 2", "C 2 2 2": "C 2 2", "F 2 2 2": "F 2 2", "I 2 2 2": "I 2 2", "I 21 21 21": "I 2b 2c",
+    "P 4": "P 4", "P 41": "P 4w", "P 42": "P 4c", "P 43": "P 4cw", "I 4": "I 4", "I 41": "I 4bw",
+    "P 4 2 2": "P 4 2", "P 4 21 2": "P 4ab 2ab", "P 41 2 2": "P 4w 2c", "P 41 21 2": "P 4abw 2nw",
+    "P 42 2 2": "P 4c 2", "P 42 21 2": "P 4n 2n", "P 43 2 2": "P 4cw 2c", "P 43 21 2": "P 4nw 2abw",
+    "I 4 2 2": "I 4 2", "I 41 2 2": "I 4bw 2bw",
+    "P 3": "P 3", "P 31": "P 31", "P 32": "P 32", "R 3": "R 3",
+    "P 3 1 2": "P 3 2", "P 3 2 1": "P 3 2=", "P 31 1 2": "P 31 2 (0 0 4)", "P 31 2 1": "P 31 2=", "P 32 1 2": "P 32 2 (0 0 2)",
+    "P 32 2 1": "P 32 2=", "R 3 2": "R 3 2=",
+    "P 6": "P 6", "P 61": "P 61", "P 65": "P 65", "P 62": "P 62", "P 64": "P 64", "P 63": "P 6c",
+    "P 6 2 2": "P 6 2", "P 61 2 2": "P 61 2 (0 0 5)", "P 65 2 2": "P 65 2 (0 0 1)", "P 62 2 2": "P 62 2 (0 0 4)",
+    "P 64 2 2": "P 64 2 (0 0 2)", "P 63 2 2": "P 6c 2c",
+    "P 2 3": "P 2 2 3", "F 2 3": "F 2 2 3", "I 2 3": "I 2 2 3", "P 21 3": "P 2ac 2ab 3", "I 21 3": "I 2b 2c 3",
+    "P 4 3 2": "P 4 2 3", "P 42 3 2": "P 4n 2 3", "F 4 3 2": "F 4 2 3", "F 41 3 2": "F 4d 2 3", "I 4 3 2": "I 4 2 3",
+    "P 43 3 2": "P 4acd 2ab 3", "P 41 3 2": "P 4bd 2ab 3", "I 41 3 2": "I 4bd 2c 3",
+}
+SETTINGS = {
+    "P 2": "P 2y", "P 21": "P 2yb", "C 2": "C 2y", "A 1 2 1": "A 2y", "I 1 2 1": "I 2y", "P 1 1 2": "P 2", "P 1 1 21": "P 2c", "B 1 1 2": "B 2",
+    "P 21 2 2": "P 2a 2a", "P 2 21 2": "P 2 2b", "P 2 21 21": "P 2bc 2", "P 21 2 21": "P 2ac 2ac",
+    "H 3": "R 3", "R 3 :H": "R 3", "R 3 :R": "P 3*", "H 3 2": "R 3 2=", "R 3 2 :H": "R 3 2=", "R 3 2 :R": "P 3* 2",
+}
+#: Translations of the lattices and of the letters in a symbol.
+LATTICE = {
+    "P": [(0, 0, 0)], "A": [(0, 0, 0), (0, 1 / 2, 1 / 2)], "B": [(0, 0, 0), (1 / 2, 0, 1 / 2)], "C": [(0, 0, 0), (1 / 2, 1 / 2, 0)], "I": [(0, 0, 0), (1 / 2, 1 / 2, 1 / 2)],
+    "F": [(0, 0, 0), (0, 1 / 2, 1 / 2), (1 / 2, 0, 1 / 2), (1 / 2, 1 / 2, 0)], "R": [(0, 0, 0), (2 / 3, 1 / 3, 1 / 3), (1 / 3, 2 / 3, 2 / 3)],
+}
+GLIDE = {"a": (1 / 2, 0, 0), "b": (0, 1 / 2, 0), "c": (0, 0, 1 / 2), "n": (1 / 2, 1 / 2, 1 / 2), "w": (0, 0, 1 / 4), "d": (1 / 4, 1 / 4, 1 / 4)}
 
 #: BLOSUM62, lower triangle by rows in this order of residues.
 RESIDUES = "ARNDCQEGHILKMFPSTWYV"
@@ -48,22 +69,77 @@ NAMES = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP
 THREE_TO_ONE = dict(zip(NAMES, RESIDUES, strict=True)) | {"MSE": "M"}
 
 
-def symmetry_ops(group: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(rotation, translation) of each operation; an unknown group is an error, never P 1."""
-    if group not in GENERAL_POSITIONS:
+def _turn(order: int, axis: str) -> np.ndarray:
+    """Rotation about an axis: z, y or x, ``'`` for a - b, ``=`` for a + b, ``*`` for the body diagonal."""
+    cyclic = {"z": (0, 1, 2), "x": (1, 2, 0), "y": (2, 0, 1)}
+    if axis == "*":
+        return np.array([[0.0, 0, 1], [1, 0, 0], [0, 1, 0]])
+    if axis in "'=":
+        k = -1.0 if axis == "'" else 1.0
+        return np.array([[0, k, 0], [k, 0, 0], [0, 0, -1]])
+    plane = {1: [[1, 0], [0, 1]], 2: [[-1, 0], [0, -1]], 3: [[0, -1], [1, -1]], 4: [[0, -1], [1, 0]], 6: [[1, -1], [1, 0]]}[order]
+    out = np.zeros((3, 3))
+    i, j, k = cyclic[axis]
+    out[np.ix_((i, j), (i, j))] = plane
+    out[k, k] = 1
+    return out
+
+
+def generators(symbol: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rotation, translation) of each part of a Hall symbol of rotations; its shift of origin in twelfths is in brackets."""
+    body, _, base = symbol.partition("(")
+    parts, first = body.split()[1:], 0
+    origin = np.array([float(x) / 12 for x in base.rstrip(")").split()]) if base else np.zeros(3)
+    out = []
+    for place, part in enumerate(parts):
+        order, rest = int(part[0]), part[1:]
+        if place == 0:
+            axis, first = "z", order
+        elif place == 1:
+            axis = "x" if first in (2, 4) else "'"
+        else:
+            axis = "*"
+        for c in rest:
+            if c in "xyz'=*":
+                axis = c
+        r, t = _turn(order, axis), np.zeros(3)
+        for c in rest:
+            if c.isdigit():
+                t["xyz".index(axis) if axis in "xyz" else 2] += int(c) / order
+            elif c in GLIDE:
+                t += GLIDE[c]
+        out.append((r, t + origin - r @ origin))
+    return out
+
+
+@lru_cache(maxsize=256)
+def symmetry_ops(group: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rotation, translation) of each operation, the identity first; no group is P 1, an unknown one an error."""
+    name = "".join((group or "P 1").split()).upper()
+    symbol = next((h for known in (HALL, SETTINGS) for n, h in known.items() if n.replace(" ", "") == name), None)
+    if symbol is None:
         raise ValueError(f"unknown space group {group!r}")
-    ops = []
-    for position in GENERAL_POSITIONS[group].split(";"):
-        r, t = np.zeros((3, 3)), np.zeros(3)
-        for i, axis in enumerate(position.strip().split(",")):
-            for sign, letter, number in re.findall(r"([+-]?)(?:([xyz])|(\d+/\d+))", axis):
-                s = -1.0 if sign == "-" else 1.0
-                if letter:
-                    r[i, "xyz".index(letter)] = s
-                else:
-                    t[i] = s * float(Fraction(number))
-        ops.append((r, t))
-    return ops
+    found: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(r: np.ndarray, t: np.ndarray) -> bool:
+        t = np.round(t * 24).astype(int) % 24 / 24
+        key = (*r.astype(int).ravel().tolist(), *np.round(t * 24).astype(int).tolist())
+        return found.setdefault(key, (r, t))[1] is t
+
+    for shift in LATTICE[symbol[0]]:
+        add(np.eye(3), np.array(shift, float))
+    grown = generators(symbol)
+    new = list(found.values())
+    while new:
+        made = []
+        for r, t in new:
+            for gr, gt in grown:
+                before = len(found)
+                add(gr @ r, gr @ t + gt)
+                if len(found) > before:
+                    made.append(list(found.values())[-1])
+        new = made
+    return list(found.values())
 
 
 def orthogonal(cell) -> np.ndarray:

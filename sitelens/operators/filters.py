@@ -26,17 +26,29 @@ def count_water_oxygens(atoms: DataFrame) -> DataFrame:
 
 
 def relocate(atoms: DataFrame, structures: DataFrame) -> DataFrame:
-    """Water oxygens with columns nx, ny, nz (nearest symmetry copy), min_distance and moved."""
-    work = atoms.where(is_water_oxygen() | is_protein_heavy()).withColumn("_w", is_water_oxygen()).join(structures.select("pdb_id", "space_group", *CELL), "pdb_id")
+    """Water oxygens with columns nx, ny, nz (nearest symmetry copy), min_distance, moved and error.
+
+    A structure without a cell, or in an unknown group, has an error in all its rows and no positions; the others go on.
+    """
+    work = atoms.where(is_water_oxygen() | is_protein_heavy()).withColumn("_w", is_water_oxygen()).join(structures.select("pdb_id", "space_group", *CELL), "pdb_id", "left")
 
     def move(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("atom_ord")
         w, p = pdf[pdf["_w"]], pdf[~pdf["_w"]]
-        pos, dist = nearest_images(w[["x", "y", "z"]].to_numpy(float), p[["x", "y", "z"]].to_numpy(float), [float(pdf[c].iloc[0]) for c in CELL], pdf["space_group"].iloc[0])
-        shift = np.linalg.norm(pos - w[["x", "y", "z"]].to_numpy(float), axis=1)
-        return pd.DataFrame({"pdb_id": w["pdb_id"].to_numpy(), "atom_ord": w["atom_ord"].to_numpy(), "nx": pos[:, 0], "ny": pos[:, 1], "nz": pos[:, 2], "min_distance": dist, "moved": shift > 1e-4})
-
-    moved = work.select("pdb_id", "atom_ord", "x", "y", "z", "_w", "space_group", *CELL).groupBy("pdb_id").applyInPandas(move, "pdb_id string, atom_ord int, nx double, ny double, nz double, min_distance double, moved boolean")
+        xyz = w[["x", "y", "z"]].to_numpy(float)
+        out = pd.DataFrame({"pdb_id": w["pdb_id"].to_numpy(), "atom_ord": w["atom_ord"].to_numpy()})
+        try:
+            cell = [float(pdf[c].iloc[0]) for c in CELL]
+            if not np.isfinite(cell).all():
+                raise ValueError("no unit cell")
+            group = pdf["space_group"].iloc[0]
+            pos, dist = nearest_images(xyz, p[["x", "y", "z"]].to_numpy(float), cell, None if pd.isna(group) else group)
+        except (ValueError, np.linalg.LinAlgError) as e:
+            return out.assign(nx=None, ny=None, nz=None, min_distance=None, moved=None, error=str(e))
+        shift = np.linalg.norm(pos - xyz, axis=1)
+        return out.assign(nx=pos[:, 0], ny=pos[:, 1], nz=pos[:, 2], min_distance=dist, moved=shift > 1e-4, error=None)
+
+    moved = work.select("pdb_id", "atom_ord", "x", "y", "z", "_w", "space_group", *CELL).groupBy("pdb_id").applyInPandas(move, "pdb_id string, atom_ord int, nx double, ny double, nz double, min_distance double, moved boolean, error string")
     return atoms.where(is_water_oxygen()).join(moved, ["pdb_id", "atom_ord"])
 
 
@@ -96,13 +108,17 @@ def attribute(rules: dict[str, Column]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
+def removed_column(rule: str) -> str:
+    return f"n_waters_removed_{'by_' if rule == 'distance' else ''}{rule}"
+
+
 def filter_report(sites: DataFrame, rules: dict[str, Column], key: str = "pdb_id", moved: str | None = "moved") -> DataFrame:
     """Per structure: sites before, moved, removed by each rule (the first failed), remaining."""
     s = sites.withColumn("_by", attribute(rules))
     return s.groupBy(key).agg(
         F.count("*").alias("n_waters_before"),
         *([F.count_if(F.col(moved)).alias("n_waters_moved")] if moved else []),
-        *[F.count_if(F.col("_by") == name).alias(f"n_waters_removed_{name}") for name in rules],
+        *[F.count_if(F.col("_by") == name).alias(removed_column(name)) for name in rules],
         F.count_if(F.col("_by").isNull()).alias("n_waters_remaining"),
     )
 
@@ -114,11 +130,13 @@ def filter_waters(
     """(atoms kept, with waters moved; waters with flags; report).
 
     Waters count once per alternative location. Water hydrogens go; all that isn't water stays. A structure without any
-    score keeps its waters unless ``drop_without_scores``. Structures without waters are in no report row.
+    score keeps its waters unless ``drop_without_scores`` (``edia_applied`` says whether scores counted). The report has
+    every structure: zeros without waters, NULL and an error where it failed; failed structures keep no atoms.
     """
     w = relocate(atoms, structures)
     rules = {"distance": keep_distance("min_distance", distance)}
     if score_cutoff is not None:
+        scores = atoms.select("pdb_id", "chain_id", "res_id", "ins_code").limit(0).withColumns({"pos": F.lit(0), "score": F.lit(0.0)}) if scores is None else scores
         keys = ["pdb_id", "chain_id", "res_id", "ins_code"]
         w = attach_in_order(w, scores, keys, "atom_ord", "pos")
         has = scores.select("pdb_id", F.lit(True).alias("_has")).distinct()
@@ -131,7 +149,16 @@ def filter_waters(
             w = w.join(ref, "pdb_id")
         rules["bfactor"] = keep_bfactor(b_cutoff, b_mode, exclusive=exclusive)
     w = w.withColumn("removed_by", attribute(rules))
-    kept = w.where("removed_by is null").select("pdb_id", "atom_ord", "nx", "ny", "nz")
-    rest = atoms.where(F.col("res_name") != "HOH").select(*atoms.columns)
+    failed = w.where("error is not null").groupBy("pdb_id").agg(F.min("error").alias("error"))
+    kept = w.where("removed_by is null and error is null").select("pdb_id", "atom_ord", "nx", "ny", "nz")
+    water = F.coalesce((F.col("res_name") == "HOH") & (F.col("group_pdb") == "HETATM"), F.lit(False))
+    rest = atoms.where(~water).join(failed.select("pdb_id"), "pdb_id", "left_anti").select(*atoms.columns)
     moved = atoms.join(kept, ["pdb_id", "atom_ord"]).withColumns({"x": F.col("nx"), "y": F.col("ny"), "z": F.col("nz")}).select(*atoms.columns)
-    return rest.unionByName(moved), w, filter_report(w, rules)
+    counts = filter_report(w.where("error is null"), rules)
+    report = atoms.select("pdb_id").distinct().join(failed, "pdb_id", "left").join(counts, "pdb_id", "left")
+    n = [c for c in counts.columns if c != "pdb_id"]
+    columns = [F.when(F.col("error").isNull(), F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in n]
+    if score_cutoff is not None:
+        report = report.join(has, "pdb_id", "left")
+        columns.append(F.coalesce("_has", F.lit(drop_without_scores)).alias("edia_applied"))
+    return rest.unionByName(moved), w, report.select("pdb_id", *columns, "error")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..config import Config
 from ..operators import alignment, binning, clusters, density, filters, spatial, stats
 from ..sources import readers
@@ -16,8 +17,14 @@ def members_found(cohort: DataFrame, atoms: DataFrame) -> tuple[DataFrame, DataF
     return cohort.join(have, "pdb_id", "left_semi"), cohort.join(have, "pdb_id", "left_anti")
 
 
-def filter_stage(atoms: DataFrame, structures: DataFrame, c: Config, scores: DataFrame | None = None):
-    return filters.filter_waters(atoms, structures, c.distance_cutoff, scores, c.edia_cutoff, c.bfactor_cutoff, c.bfactor_mode, c.bfactor_population)
+def inputs(cohort: DataFrame, atoms: DataFrame, scores: DataFrame) -> DataFrame:
+    """(pdb_id, has_scores) of the ids with atoms."""
+    have = scores.select("pdb_id").distinct().withColumn("has_scores", F.lit(True))
+    return members_found(cohort, atoms)[0].select("pdb_id").distinct().join(have, "pdb_id", "left").withColumn("has_scores", F.coalesce("has_scores", F.lit(False)))
+
+
+def filter_stage(atoms: DataFrame, structures: DataFrame, c: Config, scores: DataFrame | None = None, exclusive: bool = False, drop_without_scores: bool = False):
+    return filters.filter_waters(atoms, structures, c.distance_cutoff, scores, c.edia_cutoff, c.bfactor_cutoff, c.bfactor_mode, c.bfactor_population, exclusive, drop_without_scores)
 
 
 def align_stage(atoms: DataFrame, reference: str, raw: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -31,7 +38,7 @@ def align_stage(atoms: DataFrame, reference: str, raw: DataFrame | None = None)
 def cluster_stage(atoms: DataFrame, c: Config, n_structures: int, scores: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, clusters) of the pooled waters; the occupancy's denominator is the number of structures found."""
     w = readers.waters(atoms, scores).withColumn("id", F.xxhash64("pdb_id", "atom_ord"))
-    rows = clusters.members(density.cluster(w, c.min_cluster_size, c.min_samples, order="pdb_id"), c.cluster_radius)
+    rows = clusters.members(density.cluster(w, c.min_cluster_size, c.min_samples, order=["pdb_id", "atom_ord"]), c.cluster_radius)
     return rows, clusters.table(rows, n_structures)
 
 
@@ -42,16 +49,38 @@ def add_zscore(members: DataFrame, atoms: DataFrame, population: str = "water")
     return members.join(ref, "pdb_id", "left").withColumn("b_factor_zscore", filters.zscore()).drop("ref_mean", "ref_std")
 
 
-def cohort_frames(members: DataFrame, cluster_table: DataFrame, meta: DataFrame, c: Config, cohort: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(waters with group, structures with precision and recall beside their metadata, summary).
+def numbers(df: DataFrame, ids: tuple[str, ...] = ("pdb_id", "cohort")) -> DataFrame:
+    """Every other column as a number; what isn't one, names included, is NULL."""
+    return df.select(*[F.col(c) if c in ids else F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")).alias(c) for c in df.columns])
+
+
+def with_metadata(pr: DataFrame, meta: DataFrame, suffix: str = "_deposited", coerce: bool = True) -> DataFrame:
+    """Precision and recall beside the metadata by pdb_id; a metadata column of a name that is taken gets the suffix."""
+    meta = numbers(meta) if coerce else meta
+    return pr.join(meta.withColumnsRenamed({c: c + suffix for c in meta.columns if c in pr.columns and c != "pdb_id"}), "pdb_id", "left")
+
 
-    Metadata's num_water is num_water_deposited beside the counted one; numbers in text stay text."""
+def cohort_frames(members: DataFrame, cluster_table: DataFrame, meta: DataFrame, c: Config, cohort: str, suffix: str = "_deposited") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(waters with group, structures with precision and recall beside their metadata as numbers, summary)."""
     waters = clusters.consensus_mask(members, cluster_table, c.consensus_cutoff)
     waters = waters.withColumns({"group": clusters.consensus_label(), "cohort": F.lit(cohort)})
     points = members.withColumn("_id", F.xxhash64("pdb_id", "chain_id", "res_id", "altloc", "x", "y", "z"))
     pr = spatial.coverage(points, clusters.consensus_centers(cluster_table, c.consensus_cutoff), c.match_radius, ["pdb_id"], "_id", "cluster_id")
-    structures = pr.join(meta.withColumnRenamed("num_water", "num_water_deposited"), "pdb_id", "left").withColumn("cohort", F.lit(cohort))
-    return waters, structures, clusters.summary(pr, cluster_table, members, c.consensus_cutoff, "pdb_id")
+    structures = with_metadata(pr, meta, suffix).withColumn("cohort", F.lit(cohort))
+    return waters, structures, clusters.summary(pr, cluster_table, members, c.consensus_cutoff, "pdb_id").withColumn("cohort", F.lit(cohort))
+
+
+def load_cohorts(spark: SparkSession, folder: str, cohorts: list[str], c: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The frames of several cohorts below a folder (``<cohort>/cluster_members.csv`` and ``clusters.csv``) as one each."""
+    out = None
+    for name in cohorts:
+        m, t = (readers.read_csv(spark, f"{folder.rstrip('/')}/{name}/{f}.csv", s) for f, s in (("cluster_members", schemas.MEMBERS), ("clusters", schemas.CLUSTERS)))
+        meta = readers.read_metadata(spark, folder, name)
+        if meta is None:
+            meta = spark.createDataFrame([], schemas.METADATA)
+        own = cohort_frames(m, t, meta, c, name)
+        out = own if out is None else tuple(a.unionByName(b) for a, b in zip(out, own, strict=True))
+    return out
 
 
 def comparison_table(df: DataFrame, metrics: list[str], left: str, cohort: str = "cohort", unit: str | None = None, n_boot: int = 2000) -> DataFrame:

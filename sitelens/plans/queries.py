@@ -256,7 +256,7 @@ def bfactor_abs(spark, d):
 
 @query("filter_attrib", """
 WITH w AS (SELECT user_id AS pdb_id, value <= 80 AS dk, CAST(json_extract(props, '$.k') AS DOUBLE) >= 20 AS ek, value <= 60 AS bk FROM events WHERE event_type = 'view')
-SELECT pdb_id, count(*) AS n_waters_before, count(*) FILTER (NOT dk) AS n_waters_removed_distance, count(*) FILTER (dk AND NOT ek) AS n_waters_removed_edia,
+SELECT pdb_id, count(*) AS n_waters_before, count(*) FILTER (NOT dk) AS n_waters_removed_by_distance, count(*) FILTER (dk AND NOT ek) AS n_waters_removed_edia,
   count(*) FILTER (dk AND ek AND NOT bk) AS n_waters_removed_bfactor, count(*) FILTER (dk AND ek AND bk) AS n_waters_remaining FROM w GROUP BY 1
 """)
 def filter_attrib(spark, d):

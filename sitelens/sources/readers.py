@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -144,7 +143,12 @@ def structure_of(cif: dict[str, list[str]], pdb_id: str) -> tuple:
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"(_final)?\.[^.]*$", "").alias("pdb_id"), "value")
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.lower(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"(_final)?\.[^.]*$", "")).alias("pdb_id"), "value")
+
+
+def read_texts(spark: SparkSession, path: str, pattern: str = "*.cif") -> DataFrame:
+    """(pdb_id, value): the whole text of each file below a path."""
+    return _files(spark, path, pattern)
 
 
 def read_atoms(spark: SparkSession, path: str, pattern: str = "*.cif") -> DataFrame:
@@ -214,8 +218,27 @@ def archive_fields(entries: DataFrame, column: str = "entry") -> DataFrame:
     )
 
 
-def fetch_entries(ids: DataFrame, fetch) -> DataFrame:
-    """(pdb_id, entry) by a caller's function id -> JSON text or None, with three tries each; the default source is a folder of files."""
+def rest_fetch(template: str, timeout: float = 30.0):
+    """A function id -> JSON text by a GET of the template's address; None where there is no such entry (404)."""
+
+    def fetch(pdb_id: str) -> str | None:
+        from urllib.error import HTTPError
+        from urllib.request import urlopen
+
+        try:
+            with urlopen(template.replace("{pdb_id}", pdb_id), timeout=timeout) as r:
+                return r.read().decode()
+        except HTTPError as e:
+            if e.code == 404:
+                return None
+            raise
+
+    return fetch
+
+
+def fetch_entries(ids: DataFrame, fetch, tries: int = 3, wait: float = 2.0) -> DataFrame:
+    """(pdb_id, entry) by a function id -> JSON text or None (``rest_fetch``), with some tries each; the default source is a
+    folder of files. An entry that fails every time is NULL, with a warning."""
 
     def run(it):
         import time
@@ -224,15 +247,15 @@ def fetch_entries(ids: DataFrame, fetch) -> DataFrame:
             rows = []
             for p in pdf["pdb_id"]:
                 text = None
-                for k in range(3):
+                for k in range(tries):
                     try:
                         text = fetch(p)
                         break
                     except OSError:
-                        if k == 2:
+                        if k == tries - 1:
                             warnings.warn(f"no entry for {p}", stacklevel=1)
                         else:
-                            time.sleep(2)
+                            time.sleep(wait)
                 rows.append((p, text))
             yield pd.DataFrame(rows, columns=["pdb_id", "entry"])
 
@@ -268,5 +291,17 @@ def find_metadata(names: list[str], cohort: str) -> str | None:
     return None
 
 
-def cohort_file(path: str) -> str:
-    return PurePosixPath(path).stem
+def cohort_metadata(cohorts: DataFrame, tables: DataFrame) -> DataFrame:
+    """(cohort, name) of the longest table name that each cohort equals or extends by '_' tokens; NULL without any."""
+    parts = F.split("cohort", "_")
+    prefixes = cohorts.select("cohort", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "_"))).alias("name"))
+    found = prefixes.join(tables.select("name").distinct(), "name").groupBy("cohort").agg(F.max_by("name", F.length("name")).alias("name"))
+    return cohorts.select("cohort").distinct().join(found, "cohort", "left")
+
+
+def read_metadata(spark: SparkSession, folder: str, cohort: str) -> DataFrame | None:
+    """The metadata table of ``<folder>/<name>/metadata.csv`` for the longest name that fits the cohort."""
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.csv").format("binaryFile").load(folder)
+    names = [r["name"] for r in found.select(F.element_at(F.split("path", "/"), -2).alias("name")).distinct().collect()]
+    name = find_metadata(names, cohort)
+    return None if name is None else read_csv(spark, f"{folder.rstrip('/')}/{name}/metadata.csv", schemas.METADATA)

@@ -54,8 +54,8 @@ def test_filters(spark, folder):
     atoms, st, scores = cohort.load(spark, folder)
     kept, w, report = filters.filter_waters(atoms, st, 8.0)
     r = {x["pdb_id"]: x for x in report.collect()}
-    assert all(x["n_waters_before"] == 4 and x["n_waters_removed_distance"] + x["n_waters_remaining"] == 4 for x in r.values())
-    assert r["1aaa"]["n_waters_removed_distance"] == 1
+    assert all(x["n_waters_before"] == 4 and x["n_waters_removed_by_distance"] + x["n_waters_remaining"] == 4 for x in r.values())
+    assert r["1aaa"]["n_waters_removed_by_distance"] == 1
     assert kept.where("element = 'H'").count() == 0 and kept.where("group_pdb = 'ATOM'").count() == 60
     loose = filters.filter_waters(atoms, st, 999.0, scores, float("-inf"), float("inf"))[2].collect()
     assert all(x["n_waters_remaining"] == 4 or x["pdb_id"] == "1aaa" for x in loose)
@@ -101,7 +101,10 @@ def test_writers(spark, folder, tmp_path):
     out = writers.edited_cif(text, set(range(21)), {20: (1.0, 2.0, 3.0)})
     back = readers.atoms_of(readers.parse_cif(out), "x")
     assert len(back) == 21 and back[20][10:13] == (1.0, 2.0, 3.0) and readers.parse_cif(out)["_struct.title"] == ["a long\ntitle _atom_site.x"]
-    c = readers.parse_cif(writers.cluster_cif([{"cluster_id": 0, "center_x": 1, "center_y": 2, "center_z": 3, "std_x": 1, "std_y": 1, "std_z": 1, "cluster_occupancy": 0.5}], [{"x": 0.0, "y": 0.0, "z": 0.0, "b_factor": None}], 4))
+    one = spark.createDataFrame([(0, 1.0, 2.0, 3.0, 1.0, 1.0, 1.0, 0.5, 0)], schemas.CLUSTERS)
+    noise = spark.createDataFrame([(-1, False, "1aaa", "A", 1, ".", 0.0, 0.0, 0.0, None, 1.0, None)], schemas.MEMBERS)
+    writers.write_cluster_cif(writers.cluster_sites(one, noise, 4), (tmp_path / "c" / "clusters.cif").as_uri())
+    c = readers.parse_cif((tmp_path / "c" / "clusters.cif").read_text())
     assert c["_atom_site.auth_asym_id"] == ["A", "B"] and c["_atom_site.b_iso_or_equiv"] == ["1.000", "0.000"] and c["_atom_site.occupancy"] == ["0.500", "0.250"]
     assert writers.report_name(4, 0.5, 1, "zscore", "all") == "filtering_report_4.00A_edia0.50_bfactor_z1.00all.csv"
     for v in ("a b", "it's", 'q"x', "", "loop_", "two\nlines", "_x", None, "data_1"):
@@ -123,6 +126,60 @@ def test_command_line(spark, folder, tmp_path):
     assert spark.read.csv(str(tmp_path / "filtering_report_8.00A.csv"), header=True).count() == 3
     with pytest.raises(ValueError):
         Config.load(None, nothing=1)
+    report = spark.read.csv(str(tmp_path / "filtering_report_8.00A.csv"), header=True)
+    assert report.columns == ["pdb_id", "n_waters_before", "n_waters_moved", "n_waters_removed_by_distance", "n_waters_remaining"]
+    for stage, more in (("filter", ["--edia-cutoff", "0.5", "--drop-if-no-edia-json", "--exclusive-borderline", "--distance-cutoff", "99"]), ("align", ["--reference", "1aaa"]), ("cluster", ["--min-cluster-size", "3", "--min-samples", "1", "--write-cif", "--include-noise"])):
+        cli.main([stage, folder, str(tmp_path / stage), *more], spark)
+    report = spark.read.csv(str(tmp_path / "filter" / "filtering_report_99.00A_edia0.50.csv"), header=True)
+    assert report.columns[-2:] == ["n_waters_remaining", "edia_applied"] and {r["pdb_id"]: r["n_waters_remaining"] for r in report.collect()} == {"1aaa": "2", "1bbb": "0", "1ccc": "0"}
+    back = readers.read_atoms(spark, str(tmp_path / "filter"))
+    assert {r["pdb_id"]: r["n"] for r in back.groupBy("pdb_id").agg(filters.F.count("*").alias("n")).collect()} == {"1aaa": 22, "1bbb": 20, "1ccc": 20}
+    moved, raw = readers.read_atoms(spark, str(tmp_path / "align")), readers.read_atoms(spark, folder)
+    assert moved.count() == raw.count()
+    first = lambda df, p: df.where(f"pdb_id = '{p}' and atom_name = 'CA'").orderBy("atom_ord").first()["x"]
+    assert abs(first(moved, "1bbb") - first(raw, "1aaa")) < 0.01
+    cells = readers.parse_cif((tmp_path / "cluster" / "clusters.cif").read_text())
+    assert "A" in cells["_atom_site.auth_asym_id"]
+
+
+def test_one_structure_fails_alone(spark):
+    rows = []
+    for p in ("bad", "none", "nocell", "dry", "far"):
+        rows.append((p, 0, "ATOM", "C", "CA", ".", "ALA", "A", 1, "", 0.0, 0.0, 0.0, 1.0, 5.0, 1))
+        rows.append((p, 3, "ATOM", "O", "O", ".", "HOH", "A", 9, "", 1.0, 1.0, 1.0, 1.0, 5.0, 1))
+        rows.append((p, 4, "HETATM", "C", "C", ".", None, "A", 9, "", 1.0, 1.0, 1.0, 1.0, 5.0, 1))
+        if p != "dry":
+            rows.append((p, 1, "HETATM", "O", "O", ".", "HOH", "B", 2, "", 9.0, 0.0, 0.0, 1.0, 9.0, 1))
+    atoms = spark.createDataFrame(rows, schemas.ATOMS)
+    cells = [("bad", "P 99", 10.0), ("none", None, 10.0), ("dry", "P 1", 10.0), ("far", "P 1", 100.0)]
+    st = spark.createDataFrame([(p, g, a, a, a, 90.0, 90.0, 90.0, None, None, None, None) for p, g, a in cells], schemas.STRUCTURES)
+    kept, _, report = filters.filter_waters(atoms, st, 4.0)
+    r = {x["pdb_id"]: (x["n_waters_before"], x["n_waters_moved"], x["n_waters_removed_by_distance"], x["n_waters_remaining"], bool(x["error"])) for x in report.collect()}
+    assert r == {"bad": (None, None, None, None, True), "nocell": (None, None, None, None, True), "dry": (0, 0, 0, 0, False), "none": (1, 1, 0, 1, False), "far": (1, 0, 1, 0, False)}
+    assert {x["pdb_id"]: x["count"] for x in kept.groupBy("pdb_id").count().collect()} == {"dry": 3, "none": 4, "far": 3}
+
+
+def test_sources(spark, tmp_path):
+    ids = spark.createDataFrame([("1abc",), ("2def",), ("3bad",)], "pdb_id string")
+
+    def fetch(p):
+        if p == "3bad":
+            raise OSError("no network")
+        return None if p == "2def" else "{}"
+
+    assert {r["pdb_id"]: r["entry"] for r in readers.fetch_entries(ids, fetch, wait=0.0).collect()} == {"1abc": "{}", "2def": None, "3bad": None}
+    (tmp_path / "e.json").write_text("{}")
+    assert readers.rest_fetch((tmp_path / "{pdb_id}.json").as_uri().replace("%7B", "{").replace("%7D", "}"))("e") == "{}"
+    assert [r[0] for r in ids.limit(1).select(readers.structure_path("pdb_id", "/d/")).collect()] == ["/d/1abc/1abc_final.cif"]
+    names = spark.createDataFrame([("a",), ("a_b",), ("x_y",)], "name string")
+    got = readers.cohort_metadata(spark.createDataFrame([("a_b_c",), ("a_c",), ("z",), ("x",)], "cohort string"), names)
+    assert {r["cohort"]: r["name"] for r in got.collect()} == {"a_b_c": "a_b", "a_c": "a", "z": None, "x": None}
+    (tmp_path / "coh").mkdir()
+    head = ",".join(c.split()[0] for c in schemas.METADATA.split(", "))
+    (tmp_path / "coh" / "metadata.csv").write_text(head + "\n1abc,P 1" + ",1" * 13 + ",x,y,<missing>,1,2,3\n")
+    assert readers.read_metadata(spark, str(tmp_path), "coh_iso").first()["space_group"] == "P 1" and readers.read_metadata(spark, str(tmp_path), "other") is None
+    p = spark.createDataFrame([("1abc", "A", 5), ("1abc", "A", 6), ("2def", "A", 1), ("3ghi", "A", -2)], "pdb_id string, chain_id string, res_id int").withColumn("atom_ord", filters.F.monotonically_increasing_id())
+    assert sorted((r["pdb_id"], r["res_id"], r["offset"]) for r in readers.renumbered(p).collect()) == [("1abc", 1, 4), ("1abc", 2, 4), ("2def", 1, 0), ("3ghi", -2, 0)]
 
 
 def test_stream(spark, folder, tmp_path):

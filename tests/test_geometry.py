@@ -32,9 +32,24 @@ def test_pairing():
 def test_symmetry():
     with pytest.raises(ValueError):
         g.symmetry_ops("P 99")
-    for name in g.GENERAL_POSITIONS:
-        for r, _ in g.symmetry_ops(name):
+    assert len(g.HALL) == 65 and len(g.symmetry_ops(None)) == 1
+    for name in {**g.HALL, **g.SETTINGS}:
+        ops = g.symmetry_ops(name)
+        keys = {(*r.ravel().tolist(), *(np.round(t * 24) % 24).tolist()) for r, t in ops}
+        assert len(keys) == len(ops) and np.array_equal(ops[0][0], np.eye(3)) and not ops[0][1].any()
+        for r, t in ops:
             assert np.isclose(np.linalg.det(r), 1)
+            # the group is closed
+            assert all((*(r @ r2).ravel().tolist(), *(np.round((r @ t2 + t) * 24) % 24).tolist()) in keys for r2, t2 in ops[:12])
+    # point group order times lattice points
+    for name, n in {"C 2 2 21": 8, "I 41 2 2": 16, "P 43 21 2": 8, "R 3 2": 18, "P 61 2 2": 12, "I 21 3": 24, "F 41 3 2": 96, "P212121": 4, "p 1 21 1": 2}.items():
+        assert len(g.symmetry_ops(name)) == n
+    place = lambda name, *p: {tuple(np.round((r @ p + t) % 1, 6) % 1) for r, t in g.symmetry_ops(name)}
+    x, y, z = 0.1, 0.23, 0.37
+    positions = [(x, y, z), (-x, -y, z + 0.5), (-y + 0.5, x + 0.5, z + 0.75), (y + 0.5, -x + 0.5, z + 0.25), (-x + 0.5, y + 0.5, -z + 0.75), (x + 0.5, -y + 0.5, -z + 0.25), (y, x, -z), (-y, -x, -z + 0.5)]
+    assert place("P 43 21 2", x, y, z) == {tuple(np.round(np.array(p) % 1, 6) % 1) for p in positions}
+    positions = [(x, y, z), (-y, x - y, z + 1 / 3), (y - x, -x, z + 2 / 3), (-y, -x, -z + 2 / 3), (y - x, y, -z + 1 / 3), (x, x - y, -z)]
+    assert place("P 31 1 2", x, y, z) == {tuple(np.round(np.array(p) % 1, 6) % 1) for p in positions}
     w, d = g.nearest_images(np.array([[9.0, 0, 0]]), np.zeros((1, 3)), [10, 10, 10, 90, 90, 90], "P 1")
     assert np.allclose(w, [[-1, 0, 0]]) and np.isclose(d[0], 1)
     w, d = g.nearest_images(np.array([[9.0, 0, 0]]), np.zeros((1, 3)), [100, 100, 100, 90, 90, 90], "P 1")
