@@ -1,9 +1,12 @@
-"""Column functions: identifiers, metadata fields, labels. All are built-in expressions; a missing value is NULL."""
+"""Column functions: identifiers, metadata fields, labels. All but ``mantissa`` are built-in expressions; a missing
+value is NULL."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Component ids that are solvent, not ligands.
 WATER_IDS = ("HOH", "WAT", "DOD")
@@ -95,9 +98,36 @@ def stars(p) -> Column:
     return out.otherwise("ns")
 
 
+@F.pandas_udf(DoubleType())
+def _three_digits(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: None if pd.isna(x) else float(f"{x:.2e}"))
+
+
 def mantissa(p) -> Column:
-    """A number rounded to three significant digits."""
-    return F.format_string("%.2e", finite(p)).try_cast("double")
+    """A number rounded to three significant digits, by its exact binary value (Java's formats round its shortest decimal)."""
+    return _three_digits(finite(p))
+
+
+#: Names of the metrics as reports show them.
+METRIC_LABELS = {
+    "edia": "EDIA", "b_factor_zscore": "B-factor z-score", "b_factor": "B-factor", "occupancy": "occupancy", "resolution": "resolution (Å)",
+    "deposited_r_free": "deposited R-free", "deposited_r_work": "deposited R-work", "r_free": "R-free", "r_work": "R-work",
+    "num_water": "#water (clustered)", "num_water_deposited": "#water (deposited)", "unit_cell_volume": "unit-cell volume (Å³)",
+    "f1": "F1", "precision": "precision", "recall": "recall",
+}
+#: Metrics that are shares and shown in percent.
+SHARES = ("deposited_r_free", "deposited_r_work", "r_free", "r_work")
+
+
+def label(c, labels: dict[str, str] = METRIC_LABELS) -> Column:
+    """The name shown for each value; one without a name stays as it is."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[_c(c)], _c(c))
+
+
+def in_percent(metric, value) -> tuple[Column, Column]:
+    """(name, value) of a metric: shares are multiplied by 100, their names end in `` (%)``."""
+    share = _c(metric).isin(*SHARES)
+    return F.when(share, F.concat(label(metric), F.lit(" (%)"))).otherwise(label(metric)), F.when(share, _c(value) * 100).otherwise(_c(value))
 
 
 def rigid(rotation: list[float], shift: list[float], xyz: list) -> list[Column]:

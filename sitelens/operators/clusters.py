@@ -98,6 +98,33 @@ def rank_candidates(df: DataFrame, scores: list[str], position: str) -> DataFram
     return df.withColumn("recommended", F.row_number().over(order) == 1)
 
 
+def sweep_summary(points: DataFrame, clusters: DataFrame, key: str = "candidate", cluster: str = "cluster_id") -> DataFrame:
+    """Per candidate: clusters, share of noise, median and largest occupancy, clusters of at least 25, 50 and 75 %."""
+    noise = points.groupBy(key).agg(F.avg((F.col(cluster) == -1).cast("int")).alias("noise_frac"))
+    occ = clusters.groupBy(key).agg(
+        F.count("*").alias("n_clusters"), F.percentile("cluster_occupancy", 0.5).alias("median_occ"), F.max("cluster_occupancy").alias("max_occ"),
+        *[F.count_if(F.col("cluster_occupancy") >= x).alias(f"n_occ_ge_{str(x).replace('.', '_')}") for x in (0.25, 0.5, 0.75)],
+    )
+    out = noise.join(occ, key, "left")
+    return out.fillna(0, [c for c in occ.columns if c.startswith("n_")])
+
+
+def subset_noise(member_rows: DataFrame, clusters: DataFrame, occupancy: float, structure: str = "pdb_id") -> DataFrame:
+    """Counts of what is no consensus, here clusters strictly above the occupancy."""
+    good = clusters.where(F.col("cluster_occupancy") > occupancy).select("cluster_id", F.lit(True).alias("_good"))
+    hit = F.col("within_cutoff") & F.coalesce("_good", F.lit(False))
+    m = member_rows.join(good, "cluster_id", "left").agg(F.count_distinct(structure).alias("n_structures"), F.count("*").alias("n_points"), F.count_if(F.col("cluster_id") == -1).alias("n_noise"), F.count_if(~hit).alias("n_nonconsensus"))
+    c = clusters.agg(F.count("*").alias("n_clusters"), F.count_if(F.col("cluster_occupancy") <= occupancy).alias("n_nonconsensus_clusters"))
+    return m.join(F.broadcast(c)).withColumns({"cluster_share": F.try_divide("n_nonconsensus_clusters", "n_clusters"), "point_share": F.try_divide("n_nonconsensus", "n_points")})
+
+
+def scatter(pr: DataFrame, id_col: str) -> DataFrame:
+    """Precision and recall by structure with ``on_front`` and ``is_knee``, for a scatter plot."""
+    front = pareto_front(pr, "recall", "precision").select(id_col, F.lit(True).alias("on_front"))
+    best = knee(pr, id_col).select(id_col, F.lit(True).alias("is_knee"))
+    return pr.join(front, id_col, "left").join(F.broadcast(best), id_col, "left").fillna(False, ["on_front", "is_knee"])
+
+
 def summary(pr: DataFrame, clusters: DataFrame, member_rows: DataFrame, occupancy: float, id_col: str) -> DataFrame:
     """Counts and shares of one clustering, and the structure of the largest F1 (NULL fields without any)."""
     c = clusters.agg(F.count("*").alias("n_clusters"), F.count_if(F.col("cluster_occupancy") >= occupancy).alias("n_consensus"))

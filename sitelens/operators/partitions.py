@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import max_cell_diff
@@ -174,10 +174,97 @@ def linkage_labels(pairs: DataFrame, i: str, j: str, value: str, height: float,
     return pairs.groupBy(F.lit(0).alias("_g")).applyInPandas(run, schema)
 
 
-def off_diagonal(pairs: DataFrame, i: str, j: str, value: str) -> DataFrame:
-    return pairs.where(F.col(i) < F.col(j)).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("greatest"))
+def crystal_forms(pairs: DataFrame, i: str, j: str, value: str, members: DataFrame, height: float, member: str = "pdb_id", group: str = "space_group") -> DataFrame:
+    """(member, label): within each group a complete-linkage cut; labels ``group#k``, members alone in their group 1."""
+    m = members.select(F.col(member).alias("member"), F.coalesce(F.col(group).cast("string"), F.lit("?")).alias("_g"))
+    own = pairs.join(m.withColumnsRenamed({"member": i, "_g": "_gi"}), i).join(m.withColumnsRenamed({"member": j, "_g": "_gj"}), j)
+    own = own.where(F.col("_gi") == F.col("_gj")).select(F.col("_gi").alias("_g"), i, j, value)
+    labels = linkage_labels(own, i, j, value, height, ["_g"])
+    return m.join(labels, ["_g", "member"], "left").select("member", F.concat("_g", F.lit("#"), F.coalesce("label", F.lit(1)).cast("string")).alias("label"))
+
+
+def agreement_sweep(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(cut_a, cut_b, ari) of every two cuts; a and b: (cut, member, label). One pass: counts by both cuts, no loop."""
+    two = lambda x: x * (x - 1) / 2.0
+    a, b = a.select(F.col("cut").alias("cut_a"), "member", F.col("label").alias("la")), b.select(F.col("cut").alias("cut_b"), "member", F.col("label").alias("lb"))
+    side = lambda df, cut, label, name: df.groupBy(cut, label).agg(F.count("*").alias("k")).groupBy(cut).agg(F.sum(two(F.col("k"))).alias(name), F.sum("k").alias(f"n_{name}"))
+    cells = a.join(b, "member").groupBy("cut_a", "cut_b", "la", "lb").agg(F.count("*").alias("k")).groupBy("cut_a", "cut_b").agg(F.sum(two(F.col("k"))).alias("s"))
+    x = cells.join(side(a, "cut_a", "la", "sa"), "cut_a").join(side(b, "cut_b", "lb", "sb"), "cut_b")
+    expected, most = F.try_divide(F.col("sa") * F.col("sb"), two(F.col("n_sa"))), (F.col("sa") + F.col("sb")) / 2
+    return x.select("cut_a", "cut_b", F.coalesce(F.when(F.abs(most - expected) > 1e-12, (F.col("s") - expected) / (most - expected)), F.lit(1.0)).alias("ari"))
+
+
+def linkage_sweep(pairs: DataFrame, i: str, j: str, value: str, heights: list[float]) -> DataFrame:
+    """(cut, member, label) of one complete-linkage tree cut at several heights."""
+    kind = pairs.schema[i].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, d = _matrix(pdf, i, j, value)
+        tree = complete_linkage(d)
+        return pd.concat([pd.DataFrame({"cut": h, "member": names, "label": cut(tree, len(names), h)}) for h in heights])
+
+    return pairs.groupBy(F.lit(0).alias("_g")).applyInPandas(run, f"cut double, member {kind}, label int")
+
+
+def cophenetic_heights(pairs: DataFrame, i: str, j: str, value: str) -> DataFrame:
+    """(i, j, height) for i < j: the height at which two members first share a class."""
+    kind = pairs.schema[i].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, d = _matrix(pdf, i, j, value)
+        h = cophenetic(complete_linkage(d), len(names))
+        a, b = np.triu_indices(len(names), 1)
+        return pd.DataFrame({i: [names[k] for k in a], j: [names[k] for k in b], "height": h[a, b]})
+
+    return pairs.groupBy(F.lit(0).alias("_g")).applyInPandas(run, f"{i} {kind}, {j} {kind}, height double")
+
+
+def leaf_order(pairs: DataFrame, i: str, j: str, value: str) -> DataFrame:
+    """(member, place) along an average-linkage tree, for a clustered map."""
+    kind = pairs.schema[i].dataType.simpleString()
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, d = _matrix(pdf, i, j, value)
+        held = {k: [k] for k in range(len(names))}
+        while len(held) > 1:
+            keys = sorted(held)
+            _, a, b = min((float(np.mean(d[np.ix_(held[x], held[y])])), x, y) for n, x in enumerate(keys) for y in keys[n + 1 :])
+            held[a] += held.pop(b)
+        return pd.DataFrame({"member": [names[k] for k in next(iter(held.values()))], "place": range(len(names))})
 
-def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    return pairs.groupBy(F.lit(0).alias("_g")).applyInPandas(run, f"member {kind}, place int")
+
+
+def _matrix(pdf: pd.DataFrame, i: str, j: str, value: str) -> tuple[list, np.ndarray]:
+    """Names in order and the symmetric matrix; missing distances count as the largest."""
+    names = sorted(set(pdf[i]) | set(pdf[j]))
+    at = {v: k for k, v in enumerate(names)}
+    d = np.full((len(names), len(names)), np.nan)
+    d[[at[v] for v in pdf[i]], [at[v] for v in pdf[j]]] = pdf[value].to_numpy(float)
+    d = np.where(np.isnan(d), d.T, d)
+    np.fill_diagonal(d, 0.0)
+    return names, np.where(np.isnan(d), np.nanmax(d), d)
+
+
+def pivot_square(pairs: DataFrame, i: str, j: str, value: str, names: list) -> DataFrame:
+    """One row for each i, one column for each of the names (for display; names are few)."""
+    return pairs.groupBy(i).pivot(j, names).agg(F.first(value))
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), column)
+
+
+def positive_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, least, greatest) of the positive values of each column."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "_v").where("_v > 0 and not isnan(_v)")
+    return long.groupBy("column").agg(F.count("*").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("greatest"))
+
+
+def best_resolved(meta: DataFrame, n: int) -> DataFrame:
+    """The n structures of the best resolution, missing ones last."""
+    return meta.orderBy(F.col("resolution").asc_nulls_last(), "pdb_id").limit(n)
+
+
+def off_diagonal(pairs: DataFrame, i: str, j: str, value: str) -> DataFrame:
+    return pairs.where(F.col(i) < F.col(j)).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("greatest"))

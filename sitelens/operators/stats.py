@@ -74,17 +74,112 @@ def qq_fit(df: DataFrame, value: str, left: str, keys: list[str], n: int = 199)
     return q.groupBy(*keys, "n_left", "n_right").agg(F.round(F.regr_slope(y, x), 3).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), F.round(F.regr_r2(y, x), 4).alias("r2"))
 
 
+def qq_pairs(df: DataFrame, value: str, left: str, keys: list[str], n: int = 199) -> DataFrame:
+    """(keys, k, left, right): quantile pairs of both sides at probabilities (k + 0.5) / n."""
+    probs = F.array(*[F.lit((i + 0.5) / n) for i in range(n)])
+    d = df.select(*keys, finite(value).alias("_v"), F.col(left).alias("_l")).where("_v is not null and _l is not null")
+    a, b = F.when(F.col("_l"), F.col("_v")), F.when(~F.col("_l"), F.col("_v"))
+    q = d.groupBy(*keys).agg(F.percentile(a, probs).alias("left"), F.percentile(b, probs).alias("right")).where("left is not null and right is not null")
+    return q.select(*keys, F.posexplode(F.arrays_zip("left", "right")).alias("k", "q")).select(*keys, "k", "q.left", "q.right")
+
+
+def group_values(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """The finite values of each group, a row each; groups without any have none."""
+    return df.select(*keys, finite(value).alias("value")).where("value is not null")
+
+
+def rho_by_group(pairs: DataFrame, a: str, b: str, group_i: str, group_j: str) -> DataFrame:
+    """(pairs, n, rho): rank correlation over all pairs, those of one group and those across; NULL below three pairs."""
+    same = F.coalesce(F.col(group_i) == F.col(group_j), F.lit(False))
+    d = pairs.select(a, b, F.explode(F.array(F.lit("all"), F.when(same, "same").otherwise("different"))).alias("pairs"))
+    return spearman(d, a, b, ["pairs"])
+
+
+def p_values(df: DataFrame, value: str, left: str, keys: list[str]) -> DataFrame:
+    """(keys, n_left, n_right, u, p_mann_whitney, d, p_ks, t, p_welch), two-sided, from aggregates.
+
+    Mann-Whitney is exact for a side of up to 8 values without ties, Kolmogorov-Smirnov for up to ``EXACT`` pairs of values;
+    beyond, the limits. NULL where a side has no values (Welch: fewer than two, or no variance).
+    """
+    d = df.select(*keys, finite(value).alias("_v"), F.col(left).alias("_l")).where("_v is not null and _l is not null")
+    n = d.groupBy(*keys, "_v").agg(F.count("*").cast("double").alias("_n"))
+    ties = n.groupBy(*keys).agg(F.sum(F.col("_n") * F.col("_n") * F.col("_n") - F.col("_n")).alias("_ties"))
+    a, b = F.when(F.col("_l"), F.col("_v")), F.when(~F.col("_l"), F.col("_v"))
+    m = d.groupBy(*keys).agg(F.avg(a).alias("_ma"), F.avg(b).alias("_mb"), F.var_samp(a).alias("_va"), F.var_samp(b).alias("_vb"))
+    delta = cliffs_delta(d, "_v", "_l", keys)
+    x = delta.join(ks_distance(d, "_v", "_l", keys).select(*keys, "d"), keys).join(ties, keys).join(m, keys)
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for r in pdf.to_dict("records"):
+                n1, n2 = int(r["n_left"]), int(r["n_right"])
+                row = {k: r[k] for k in keys} | {"n_left": n1, "n_right": n2}
+                if n1 and n2:
+                    u = (r["r"] + 1) / 2 * n1 * n2
+                    exact = min(n1, n2) <= 8 and r["_ties"] == 0
+                    row |= {"u": u, "p_mann_whitney": mann_whitney_exact(u, n1, n2) if exact else mann_whitney_p(u, n1, n2, tie_sum=r["_ties"]), "d": r["d"]}
+                    row["p_ks"] = ks_exact(r["d"], n1, n2) if n1 * n2 <= EXACT else ks_p(r["d"], n1, n2)
+                    if min(n1, n2) > 1 and r["_va"] + r["_vb"] > 0:
+                        row["t"] = (r["_ma"] - r["_mb"]) / math.sqrt(r["_va"] / n1 + r["_vb"] / n2)
+                        row["p_welch"] = welch_p(r["_ma"], r["_va"], n1, r["_mb"], r["_vb"], n2)
+                out.append(row)
+            yield pd.DataFrame(out, columns=[*keys, "n_left", "n_right", "u", "p_mann_whitney", "d", "p_ks", "t", "p_welch"])
+
+    schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + ["n_left long, n_right long, u double, p_mann_whitney double, d double, p_ks double, t double, p_welch double"])
+    return x.mapInPandas(run, schema)
+
+
 # p-values in closed form
 
+#: Pairs of values up to which the Kolmogorov-Smirnov p-value is exact.
+EXACT = 250_000
+
+
+def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
+    """Two-sided, without ties: counts of the sums of ranks, one size of sample after the other."""
+    ways = np.zeros((n1 + 1, n1 * n2 + 1))
+    ways[0, 0] = 1
+    # the jth value of a sample of i lies above between 0 and n2 of the others
+    for top in range(n1 + n2):
+        for i in range(min(n1, top + 1), 0, -1):
+            above = top - (i - 1)
+            if above <= n2:
+                ways[i, above:] += ways[i - 1, : n1 * n2 + 1 - above]
+    share = ways[n1] / ways[n1].sum()
+    low = min(u, n1 * n2 - u)
+    return float(min(1.0, 2 * share[: int(math.floor(low + 1e-9)) + 1].sum()))
+
+
+def ks_exact(d: float, n1: int, n2: int) -> float:
+    """Two-sided: the share of orders of both samples whose largest gap reaches d."""
+    n1, n2 = max(n1, n2), min(n1, n2)
+    inside = np.zeros(n2 + 1)
+    inside[0] = 1.0
+    j = np.arange(n2 + 1)
+    # the share of paths to (i, j) that stay inside: each step's chance is that of drawing from a side
+    for i in range(n1 + 1):
+        ok = np.abs(i / n1 - j / n2) < d - 1e-10
+        if i:
+            inside = np.where(ok, inside * (i / (i + j)), 0.0)
+        else:
+            inside = np.where(ok, inside, 0.0)
+        for k in range(1, n2 + 1):
+            if ok[k]:
+                inside[k] += inside[k - 1] * (k / (i + k))
+            else:
+                inside[k] = 0.0
+    return float(min(1.0, max(0.0, 1.0 - inside[n2])))
+
 
 def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def mann_whitney_p(u: float, n1: int, n2: int, ties: list[int]) -> float:
+def mann_whitney_p(u: float, n1: int, n2: int, ties: list[int] = (), tie_sum: float | None = None) -> float:
     """Two-sided, by the normal limit with corrections for ties and continuity."""
     n = n1 + n2
-    var = n1 * n2 / 12 * (n + 1 - sum(t**3 - t for t in ties) / max(1, n * (n - 1)))
+    var = n1 * n2 / 12 * (n + 1 - (sum(t**3 - t for t in ties) if tie_sum is None else tie_sum) / max(1, n * (n - 1)))
     if var <= 0:
         return 1.0
     return min(1.0, 2 * normal_tail(max(0.0, abs(u - n1 * n2 / 2) - 0.5) / math.sqrt(var)))
@@ -163,7 +258,9 @@ def compare_halves(a: np.ndarray, b: np.ndarray, units_a=None, units_b=None, n_b
     if ua is None:
         boot = np.array([delta(rng.choice(a, len(a)), rng.choice(b, len(b))) for _ in range(n_boot)])
         _, ties = np.unique(np.concatenate([a, b]), return_counts=True)
-        p = mann_whitney_p((r + 1) / 2 * len(a) * len(b), len(a), len(b), ties.tolist())
+        u = (r + 1) / 2 * len(a) * len(b)
+        exact = min(len(a), len(b)) <= 8 and ties.max() == 1
+        p = mann_whitney_exact(u, len(a), len(b)) if exact else mann_whitney_p(u, len(a), len(b), ties.tolist())
     else:
         # sums of signs between units once, then each draw is a quadratic form in the units' multiplicities
         units = np.unique(np.concatenate([ua, ub]))

@@ -598,3 +598,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     pr = v_pr(spark, d)
     front = clusters.pareto_front(pr, "recall", "precision").select("pdb_id", F.lit(True).alias("on_front"))
     return pr.join(front, "pdb_id", "left").withColumn("on_front", F.coalesce("on_front", F.lit(False)))
+
+
+from . import structures  # noqa: E402, F401  registers its queries

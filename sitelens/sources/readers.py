@@ -151,23 +151,34 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.cif") -> DataFr
     return _files(spark, path, pattern)
 
 
-def read_atoms(spark: SparkSession, path: str, pattern: str = "*.cif") -> DataFrame:
-    """Atoms of all structure files below a path; the id is the file's name without ``_final``."""
+def atoms_from(texts: DataFrame) -> DataFrame:
+    """Atoms of (pdb_id, value) structure texts."""
 
     def run(it):
         for pdf in it:
             for p, v in zip(pdf["pdb_id"], pdf["value"], strict=True):
                 yield pd.DataFrame(atoms_of(parse_cif(v), p.lower()), columns=[c.split()[0] for c in schemas.ATOMS.split(", ")])
 
-    return _files(spark, path, pattern).mapInPandas(run, schemas.ATOMS)
+    return texts.select("pdb_id", "value").mapInPandas(run, schemas.ATOMS)
 
 
-def read_structures(spark: SparkSession, path: str, pattern: str = "*.cif") -> DataFrame:
+def structures_from(texts: DataFrame) -> DataFrame:
+    """Scalars of (pdb_id, value) structure texts."""
+
     def run(it):
         for pdf in it:
             yield pd.DataFrame([structure_of(parse_cif(v), p.lower()) for p, v in zip(pdf["pdb_id"], pdf["value"], strict=True)], columns=[c.split()[0] for c in schemas.STRUCTURES.split(", ")])
 
-    return _files(spark, path, pattern).mapInPandas(run, schemas.STRUCTURES)
+    return texts.select("pdb_id", "value").mapInPandas(run, schemas.STRUCTURES)
+
+
+def read_atoms(spark: SparkSession, path: str, pattern: str = "*.cif") -> DataFrame:
+    """Atoms of all structure files below a path; the id is the file's name without ``_final``."""
+    return atoms_from(read_texts(spark, path, pattern))
+
+
+def read_structures(spark: SparkSession, path: str, pattern: str = "*.cif") -> DataFrame:
+    return structures_from(read_texts(spark, path, pattern))
 
 
 _SCORE_JSON = "array<struct<compID:string,EDIAm:double,pdb:struct<strandID:string,seqNum:int,insCode:string>>>"
