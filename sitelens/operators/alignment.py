@@ -76,25 +76,33 @@ def pair_metrics(ref_w: np.ndarray, mob_w: np.ndarray, radius: float) -> tuple:
     return precision, recall, f1, m / len(mob_w), m / len(ref_w), float(d.min(1).mean() + d.min(0).mean())
 
 
-def pairwise(atoms: DataFrame, structures: DataFrame, radius: float) -> DataFrame:
-    """Metrics of every ordered pair, self pairs included: the mobile waters, superposed, against the reference's."""
+def pairwise(atoms: DataFrame, structures: DataFrame, radius: float, block: int = 32) -> DataFrame:
+    """Metrics of every ordered pair, self pairs included: the mobile waters, superposed, against the reference's.
+
+    Structures are dealt over blocks of some ``block``; a task gets two blocks and makes all pairs between them, so each
+    structure travels once for each block, not once for each structure.
+    """
     w = atoms.where(is_water_oxygen()).groupBy("pdb_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("atom_ord", "x", "y", "z"))), lambda s: F.array(s["x"], s["y"], s["z"]))).alias("w"))
     one = ca_trace(atoms).join(w, "pdb_id", "left").withColumn("w", F.coalesce("w", F.array().cast("array<double>")))
-    a = one.toDF("structure_ref", "_rs", "_rx", "_rw")
-    b = one.toDF("structure_mobile", "_ms", "_mx", "_mw")
-
-    def run(it):
-        for pdf in it:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                rw, mw = np.reshape(r[3], (-1, 3)), np.reshape(r[7], (-1, 3))
-                got = superpose(np.reshape(r[2], (-1, 3)), r[1], np.reshape(r[6], (-1, 3)), r[5])
+    blocks = max(1, -(-structures.count() // block))
+    own = F.pmod(F.xxhash64("pdb_id"), F.lit(blocks)).cast("int")
+    dealt = one.select("pdb_id", "seq", "xyz", "w", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+        held = [(r.own, r.pdb_id, r.seq, np.reshape(r.xyz, (-1, 3)), np.reshape(r.w, (-1, 3))) for r in pdf.sort_values("pdb_id").itertuples()]
+        rows = []
+        for b1, ref, rs, rx, rw in held:
+            for b2, mobile, ms, mx, mw in held:
+                if (b1, b2) not in ((low, high), (high, low)):
+                    continue
+                got = superpose(rx, rs, mx, ms)
                 m = pair_metrics(rw, mw @ got["rotation"].T + got["shift"], radius) if got else (None,) * 6
-                rows.append((r[0], r[4], len(rw), len(mw), got and got["n_common_ca"], got and got["rmsd_after"], *m))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR.split(", ")])
+                rows.append((ref, mobile, len(rw), len(mw), got and got["n_common_ca"], got and got["rmsd_after"], *m))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR.split(", ")])
 
-    # a stated grid of structures, not of atoms: ids times ids, the smaller relation broadcast
-    out = a.crossJoin(b).repartition(F.col("structure_ref"), F.col("structure_mobile")).mapInPandas(run, PAIR)
+    out = dealt.groupBy("low", "high").applyInPandas(run, PAIR)
     c1 = structures.select(F.col("pdb_id").alias("structure_ref"), *[F.col(c).alias(f"_r{c}") for c in CELL])
     c2 = structures.select(F.col("pdb_id").alias("structure_mobile"), *[F.col(c).alias(f"_m{c}") for c in CELL])
     out = out.join(c1, "structure_ref").join(c2, "structure_mobile").withColumn("max_cell_diff", max_cell_diff([f"_r{c}" for c in CELL], [f"_m{c}" for c in CELL]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from .stats import quantiles
 
 
 def uniform_edges(low: float, high: float, bins: int) -> list[float]:
@@ -36,8 +37,11 @@ def occupancy_histogram(clusters: DataFrame, sizes: DataFrame, n_noise: DataFram
 
 def quantile_edges(df: DataFrame, value: str, n: int, keys: list[str] = (), low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Distinct quantiles at n + 1 even probabilities within [low, high], rounded if all values are whole."""
-    probs = F.array(*[F.lit(low + (high - low) * k / n) for k in range(n + 1)])
-    q = df.select(*keys, finite(value).alias("_v")).where("_v is not null").groupBy(*keys).agg(F.percentile("_v", probs).alias("q"), F.bool_and(F.col("_v") == F.floor("_v")).alias("_whole"))
+    keys = list(keys)
+    d = df.select(*keys, finite(value).alias("_v")).where("_v is not null")
+    q = quantiles(d, "_v", [low + (high - low) * k / n for k in range(n + 1)], keys)
+    whole = d.groupBy(*keys).agg(F.bool_and(F.col("_v") == F.floor("_v")).alias("_whole"))
+    q = q.join(whole, keys) if keys else q.join(F.broadcast(whole))
     return q.select(*keys, F.array_distinct(F.when(F.col("_whole"), F.transform("q", F.rint)).otherwise(F.col("q"))).alias("edges"))
 
 
@@ -65,22 +69,31 @@ def density(df: DataFrame, value: str, edges: list[float], keys: list[str] = ())
 
 def limits(df: DataFrame, value: str, keys: list[str] = (), robust: bool = True) -> DataFrame:
     """Axis limits: 0 and 99.9 % quantiles (or all); one value gets 1 more above; none gives (0, 1)."""
-    v = finite(value)
-    q = F.percentile(v, F.array(F.lit(0.0), F.lit(0.999 if robust else 1.0)))
-    out = df.groupBy(*keys).agg(q.alias("_q"))
-    lo, hi = F.coalesce(F.get("_q", F.lit(0)), F.lit(0.0)), F.coalesce(F.get("_q", F.lit(1)), F.lit(1.0))
+    keys = list(keys)
+    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    q = quantiles(df, value, [0.0, 0.999 if robust else 1.0], keys)
+    out = groups.join(q, keys, "left") if keys else groups.join(q, F.lit(True), "left")
+    lo, hi = F.coalesce(F.get("q", F.lit(0)), F.lit(0.0)), F.coalesce(F.get("q", F.lit(1)), F.lit(1.0))
     return out.select(*keys, lo.alias("lo"), F.when(hi > lo, hi).otherwise(lo + 1).alias("hi"))
 
 
+def _with_quartiles(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, n, mean, q): count, mean and quartiles of the finite values; groups without any have no quartiles."""
+    keys = list(keys)
+    d = df.select(*keys, finite(value).alias("_v"))
+    n = d.groupBy(*keys).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"))
+    return n.join(quantiles(d, "_v", [0.25, 0.5, 0.75], keys).drop("n"), keys, "left")
+
+
 def median_iqr(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    q = df.select(*keys, finite(value).alias("_v")).groupBy(*keys).agg(F.count("_v").alias("n"), F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = _with_quartiles(df, value, keys)
     return q.select(*keys, "n", *[F.round(F.get("q", F.lit(k)), 2).alias(name) for k, name in enumerate(("q1", "median", "q3"))])
 
 
 def violin_marks(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Median, mean and quartiles of the values as they are."""
-    v = df.select(*keys, finite(value).alias("_v"))
-    return v.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.percentile("_v", 0.5).alias("median"), F.percentile("_v", 0.25).alias("q1"), F.percentile("_v", 0.75).alias("q3"))
+    q = _with_quartiles(df, value, keys)
+    return q.select(*keys, "mean", *[F.get("q", F.lit(k)).alias(name) for name, k in (("median", 1), ("q1", 0), ("q3", 2))])
 
 
 def hexbin_mean(df: DataFrame, x: str, y: str, value: str, size: float) -> DataFrame:
@@ -97,5 +110,5 @@ def hexbin_mean(df: DataFrame, x: str, y: str, value: str, size: float) -> DataF
 def good_poor(df: DataFrame, metric: str, cohort: str) -> DataFrame:
     """Rows with the metric, labelled by their cohort's median (four decimals): good from it on."""
     d = df.withColumn("_m", finite(metric)).where("_m is not null")
-    cut = d.groupBy(cohort).agg(F.round(F.percentile("_m", 0.5), 4).alias("split_cutoff"))
+    cut = quantiles(d, "_m", [0.5], [cohort]).select(cohort, F.round(F.get("q", F.lit(0)), 4).alias("split_cutoff"))
     return d.join(cut, cohort).withColumn("split", F.when(F.col("_m") >= F.col("split_cutoff"), "good").otherwise("poor")).drop("_m")

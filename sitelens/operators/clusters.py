@@ -69,12 +69,15 @@ def best_jaccard(labels: DataFrame, base: str, other: str) -> DataFrame:
 def pareto_front(df: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
     """Rows that no other dominates (at least as good in both, better in one); equal ones all stay.
 
-    Rows of one x keep only their best y, and must beat the best y of every greater x."""
-    by_x = df.groupBy(*keys, x).agg(F.max(y).alias("_y"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    above = F.max("_y").over(w.orderBy(F.col(x).desc()).rowsBetween(Window.unboundedPreceding, -1))
-    best = by_x.withColumn("_above", above).where(F.col("_above").isNull() | (F.col("_y") > F.col("_above"))).select(*keys, x, F.col("_y").alias(y))
-    return df.join(best, [*keys, x, y], "left_semi")
+    A row stays if of all rows with at least its x the best (y, then x) is its own. Without keys that is asked within
+    hashed parts first, so few rows are left for the last, single part. The table is read once.
+    """
+
+    def front(d: DataFrame, part: list) -> DataFrame:
+        best = F.max(F.struct(F.col(y).alias("y"), F.col(x).alias("x"))).over(Window.partitionBy(*part).orderBy(F.col(x).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return d.withColumn("_best", best).where((F.col("_best.y") == F.col(y)) & (F.col("_best.x") == F.col(x))).drop("_best")
+
+    return front(df, list(keys)) if keys else front(front(df, [F.pmod(F.xxhash64(x, y), F.lit(64))]), [F.lit(0)])
 
 
 def knee(df: DataFrame, id_col: str, keys: list[str] = ()) -> DataFrame:

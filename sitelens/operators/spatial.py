@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,21 +46,49 @@ def close_pairs(points: DataFrame, radius: float, key: str) -> DataFrame:
     return j.select(F.col(f"{key}_l").alias("a"), F.col(f"{key}_r").alias("b"), "distance").orderBy("distance", "a", "b")
 
 
+#: Points of one key up to which a task compares them directly; points common to all keys up to which they are broadcast.
+DIRECT, COMMON = 200_000, 200_000
+
+
+def least_distances(a: np.ndarray, b: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+    """Distance of each point of a to its nearest of b, in blocks of bounded size."""
+    out, step = np.full(len(a), np.inf), max(1, block // max(1, len(b)))
+    for k in range(0, len(a), step):
+        out[k : k + step] = np.sqrt(((a[k : k + step, None] - b[None]) ** 2).sum(2).min(1))
+    return out
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str] = (), id_col: str = "id", start: float = 2.0, rounds: int = 3) -> DataFrame:
     """For each left point the distance to its nearest right point of the same keys: (keys, id, distance).
 
-    Rings of doubling radius serve the points not served yet; what no ring reaches is compared with all points of its
-    keys (a row per left point and key, never more than one best per point leaves the join's aggregate).
+    Where every key has at most ``DIRECT`` points (counted first), both sides meet by key and are compared in blocks. Else,
+    and without keys, rings of doubling radius serve the points not served yet; what no ring reaches is compared with all
+    points of its keys (never more than one best per point leaves the join's aggregate).
     """
     keys = list(keys)
     lt, rt = left.select(*keys, id_col, *AXES), right.select(*keys, *AXES)
+    if keys:
+        most = lt.select(*keys).unionByName(rt.select(*keys)).groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+        if most <= DIRECT:
+            schema = ", ".join([f"{c} {lt.schema[c].dataType.simpleString()}" for c in (*keys, id_col)] + ["distance double"])
+
+            def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+                if not len(a) or not len(b):
+                    return pd.DataFrame({c: [] for c in (*keys, id_col, "distance")})
+                return a[[*keys, id_col]].assign(distance=least_distances(a[list(AXES)].to_numpy(float), b[other].to_numpy(float)))
+
+            # names of their own, as both sides may come from one table
+            other, own = [f"_{a}" for a in AXES], [f"_k{i}" for i in range(len(keys))]
+            rt = rt.select(*[F.col(c).alias(n) for c, n in zip((*keys, *AXES), (*own, *other), strict=True)])
+            return lt.groupBy(*keys).cogroup(rt.groupBy(*own)).applyInPandas(run, schema)
     found, rest, r = None, lt, start
     for _ in range(rounds):
         hit = radius_join(rest, rt.distinct(), r, keys).groupBy(*keys, F.col(f"{id_col}_l").alias(id_col)).agg(F.min("distance").alias("distance"))
         found = hit if found is None else found.unionByName(hit)
         rest = rest.join(hit.select(*keys, id_col), [*keys, id_col], "left_anti")
         r *= 2
-    far = rest.join(rt.toDF(*keys, *[f"{a}_r" for a in AXES]), keys) if keys else rest.join(F.broadcast(rt.toDF(*[f"{a}_r" for a in AXES])))
+    # the join's strategy is left to the optimizer: neither side has a proven size
+    far = rest.join(rt.toDF(*keys, *[f"{a}_r" for a in AXES]), keys) if keys else rest.join(rt.toDF(*[f"{a}_r" for a in AXES]))
     far = far.groupBy(*keys, id_col).agg(F.min(F.sqrt(distance2("", "_r"))).alias("distance"))
     return found.unionByName(far)
 
@@ -81,10 +110,26 @@ def coverage(points: DataFrame, centers: DataFrame, radius: float, keys: list[st
 
 
 def chamfer(points: DataFrame, centers: DataFrame, keys: list[str], point_id: str, center_id: str) -> DataFrame:
-    """Per keys: mean distance of points to the nearest center plus that of centers to the nearest point."""
+    """Per keys: mean distance of points to the nearest center plus that of centers to the nearest point.
+
+    Up to ``COMMON`` centers are broadcast (counted first) and each key is compared in one task, after a single shuffle; more
+    centers, or a key of over ``DIRECT`` points, go by ``nearest``.
+    """
+    few = centers.select(*AXES).limit(COMMON + 1).toPandas().to_numpy(float)
+    most = points.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if len(few) <= COMMON and most <= DIRECT:
+        shared = points.sparkSession.sparkContext.broadcast(few)
+        schema = ", ".join([f"{k} {points.schema[k].dataType.simpleString()}" for k in keys] + ["chamfer double"])
+
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            p, c = pdf[list(AXES)].to_numpy(float), shared.value
+            own = least_distances(p, c).mean() + least_distances(c, p).mean() if len(c) else None
+            return pd.DataFrame([[*key, own]], columns=[*keys, "chamfer"])
+
+        return points.select(*keys, *AXES).groupBy(*keys).applyInPandas(run, schema).where("chamfer is not null")
     groups = points.select(*keys).distinct()
     p = points.select(*keys, F.col(point_id).alias("_id"), *AXES)
-    c = groups.join(F.broadcast(centers.select(F.col(center_id).alias("_id"), *AXES)))
+    c = groups.join(centers.select(F.col(center_id).alias("_id"), *AXES))
     a = nearest(p, c, keys, "_id").groupBy(*keys).agg(F.avg("distance").alias("_a"))
     b = nearest(c, p, keys, "_id").groupBy(*keys).agg(F.avg("distance").alias("_b"))
     return a.join(b, keys).select(*keys, (F.col("_a") + F.col("_b")).alias("chamfer"))

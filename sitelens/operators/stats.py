@@ -12,35 +12,68 @@ from pyspark.sql import functions as F
 from ..functions.scalars import finite
 
 
-def average_ranks(df: DataFrame, value: str, out: str, keys: list[str]) -> DataFrame:
-    """Rank of each row within its keys, equal values sharing the mean.
+def _blocks(n: DataFrame, keys: list[str], value: str, sums: list[str], blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(n with ``_block`` and ``_before_<c>``; keys, ``_block``, ``_o_<c>`` (before it) and ``_s_<c>`` (in it))."""
+    probs = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    edges = n.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probs, 1000)).alias("_edges"))
+    d = (n.join(edges, keys) if keys else n.join(F.broadcast(edges))).withColumn("_block", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    per = d.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
+    up = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({f"_o_{c}": F.coalesce(F.sum(f"_s_{c}").over(up), F.lit(0)) for c in sums})
+    within = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(per.drop(*[f"_s_{c}" for c in sums]), [*keys, "_block"])
+    d = d.withColumns({f"_before_{c}": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums})
+    return d.drop(*[f"_o_{c}" for c in sums]), per
+
+
+def running(n: DataFrame, keys: list[str], value: str, sums: list[str], blocks: int = 64) -> DataFrame:
+    """The rows of n (one for each keys and value) with ``_before_<c>``: the sum of c over all smaller values of the keys.
+
+    Values are parted into blocks at approximate quantiles; sums run over the blocks, then inside each block, so one key
+    with very many values is dealt over tasks.
+    """
+    return _blocks(n, list(keys), value, sums, blocks)[0].drop("_block")
+
+
+def quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str] = ()) -> DataFrame:
+    """(keys, n, q): exact quantiles of the finite values, interpolated; no group is held in one buffer."""
+    keys = list(keys)
+    n = df.select(*keys, finite(value).alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    d, per = _blocks(n, keys, "_v", ["_n"], 64)
+    total = per.groupBy(*keys).agg(F.sum("_s__n").alias("n"))
+    # the two ranks beside each quantile, looked up in their blocks only
+    h = lambda p: p * (F.col("n") - 1)
+    at = F.transform(F.array(*[F.lit(float(x)) for x in probs]), lambda x, k: F.array(F.struct(k.alias("_k"), F.lit(0).alias("_side"), F.floor(h(x)).alias("_rank"), (h(x) - F.floor(h(x))).alias("_f")), F.struct(k.alias("_k"), F.lit(1).alias("_side"), F.ceil(h(x)).alias("_rank"), (h(x) - F.floor(h(x))).alias("_f"))))
+    ranks = total.select(*keys, "n", F.explode(F.flatten(at)).alias("p")).select(*keys, "n", "p.*")
+    inside = (F.col("_rank") >= F.col("_o__n")) & (F.col("_rank") < F.col("_o__n") + F.col("_s__n"))
+    ranks = (ranks.join(per, keys) if keys else ranks.join(F.broadcast(per))).where(inside).select(*keys, "_block", "n", "_k", "_side", "_rank", "_f")
+    held = (F.col("_rank") >= F.col("_before__n")) & (F.col("_rank") < F.col("_before__n") + F.col("_n"))
+    two = d.join(ranks, [*keys, "_block"]).where(held).groupBy(*keys, "n", "_k").agg(F.first("_f").alias("_f"), F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_lo"), F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_hi"))
+    two = two.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))
+    return two.groupBy(*keys, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_q"))), lambda x: x["_q"]).alias("q"))
 
-    Values are counted first and the window runs over distinct values only."""
-    n = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value) if keys else Window.partitionBy(F.lit(0)).orderBy(value)
-    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(n.select(*keys, value, (before + (F.col("_n") + 1) / 2.0).alias(out)), [*keys, value])
+
+def average_ranks(df: DataFrame, value: str, out: str, keys: list[str]) -> DataFrame:
+    """Rank of each row within its keys, equal values sharing the mean; values are counted first."""
+    n = running(df.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, value, ["_n"])
+    return df.join(n.select(*keys, value, (F.col("_before__n") + (F.col("_n") + 1) / 2.0).alias(out)), [*keys, value])
 
 
 def cliffs_delta(df: DataFrame, value: str, left: str, keys: list[str]) -> DataFrame:
     """2 U / (n1 n2) - 1 by keys; ``left`` is a boolean column. NULL where a side has no finite value."""
     d = df.select(*keys, finite(value).alias("_v"), F.col(left).alias("_l")).where("_v is not null and _l is not null")
-    n = d.groupBy(*keys, "_v").agg(F.count_if("_l").alias("a"), F.count_if(~F.col("_l")).alias("b"))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("_below", F.coalesce(F.sum("b").over(w), F.lit(0)))
-    u = n.groupBy(*keys).agg(F.sum(F.col("a") * (F.col("_below") + F.col("b") / 2.0)).alias("u"), F.sum("a").alias("n_left"), F.sum("b").alias("n_right"))
+    n = running(d.groupBy(*keys, "_v").agg(F.count_if("_l").alias("a"), F.count_if(~F.col("_l")).alias("b")), keys, "_v", ["b"])
+    u = n.groupBy(*keys).agg(F.sum(F.col("a") * (F.col("_before_b") + F.col("b") / 2.0)).alias("u"), F.sum("a").alias("n_left"), F.sum("b").alias("n_right"))
     return u.select(*keys, "n_left", "n_right", (F.try_divide(2 * F.col("u"), F.col("n_left") * F.col("n_right")) - 1).alias("r"))
 
 
 def ks_distance(df: DataFrame, value: str, left: str, keys: list[str]) -> DataFrame:
     """Largest difference of the two distribution functions, evaluated after ties."""
     d = df.select(*keys, finite(value).alias("_v"), F.col(left).alias("_l")).where("_v is not null and _l is not null")
-    n = d.groupBy(*keys, "_v").agg(F.count_if("_l").alias("a"), F.count_if(~F.col("_l")).alias("b"))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    n = n.withColumns({"_a": F.sum("a").over(w), "_b": F.sum("b").over(w)})
+    n = running(d.groupBy(*keys, "_v").agg(F.count_if("_l").alias("a"), F.count_if(~F.col("_l")).alias("b")), keys, "_v", ["a", "b"])
     total = n.groupBy(*keys).agg(F.sum("a").alias("n_left"), F.sum("b").alias("n_right"))
     n = n.join(total, keys)
-    gap = F.abs(F.try_divide("_a", "n_left") - F.try_divide("_b", "n_right"))
+    gap = F.abs(F.try_divide(F.col("_before_a") + F.col("a"), "n_left") - F.try_divide(F.col("_before_b") + F.col("b"), "n_right"))
     return n.groupBy(*keys).agg(F.first("n_left").alias("n_left"), F.first("n_right").alias("n_right"), F.max(gap).alias("d"))
 
 
@@ -63,24 +96,20 @@ def spearman(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     return c.select(*keys, "n", F.when(F.col("n") >= 3, F.try_divide("_c", F.col("_sa") * F.col("_sb"))).alias("rho"))
 
 
-def qq_fit(df: DataFrame, value: str, left: str, keys: list[str], n: int = 199) -> DataFrame:
-    """Line through the quantile pairs of both sides at probabilities (i + 0.5) / n, right against left."""
-    probs = F.array(*[F.lit((i + 0.5) / n) for i in range(n)])
-    d = df.select(*keys, finite(value).alias("_v"), F.col(left).alias("_l")).where("_v is not null and _l is not null")
-    a, b = F.when(F.col("_l"), F.col("_v")), F.when(~F.col("_l"), F.col("_v"))
-    q = d.groupBy(*keys).agg(F.count(a).alias("n_left"), F.count(b).alias("n_right"), F.percentile(a, probs).alias("qa"), F.percentile(b, probs).alias("qb"))
-    q = q.where("n_left > 0 and n_right > 0").select(*keys, "n_left", "n_right", F.explode(F.arrays_zip("qa", "qb")).alias("q"))
-    x, y = F.col("q.qa"), F.col("q.qb")
-    return q.groupBy(*keys, "n_left", "n_right").agg(F.round(F.regr_slope(y, x), 3).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), F.round(F.regr_r2(y, x), 4).alias("r2"))
+def qq_pairs(df: DataFrame, value: str, left: str, keys: list[str], n: int = 199) -> DataFrame:
+    """(keys, n_left, n_right, k, left, right): quantile pairs of both sides at probabilities (k + 0.5) / n."""
+    d = df.select(*keys, finite(value).alias("_v"), F.col(left).alias("_l")).where("_l is not null")
+    q = quantiles(d, "_v", [(i + 0.5) / n for i in range(n)], [*keys, "_l"])
+    both = q.groupBy(*keys).agg(*[F.max(F.when(side, F.col(c))).alias(f"{name}_{c}") for name, side in (("left", F.col("_l")), ("right", ~F.col("_l"))) for c in ("n", "q")])
+    both = both.where("left_q is not null and right_q is not null").select(*keys, F.col("left_n").alias("n_left"), F.col("right_n").alias("n_right"), F.posexplode(F.arrays_zip("left_q", "right_q")).alias("k", "q"))
+    return both.select(*keys, "n_left", "n_right", "k", F.col("q.left_q").alias("left"), F.col("q.right_q").alias("right"))
 
 
-def qq_pairs(df: DataFrame, value: str, left: str, keys: list[str], n: int = 199) -> DataFrame:
-    """(keys, k, left, right): quantile pairs of both sides at probabilities (k + 0.5) / n."""
-    probs = F.array(*[F.lit((i + 0.5) / n) for i in range(n)])
-    d = df.select(*keys, finite(value).alias("_v"), F.col(left).alias("_l")).where("_v is not null and _l is not null")
-    a, b = F.when(F.col("_l"), F.col("_v")), F.when(~F.col("_l"), F.col("_v"))
-    q = d.groupBy(*keys).agg(F.percentile(a, probs).alias("left"), F.percentile(b, probs).alias("right")).where("left is not null and right is not null")
-    return q.select(*keys, F.posexplode(F.arrays_zip("left", "right")).alias("k", "q")).select(*keys, "k", "q.left", "q.right")
+def qq_fit(df: DataFrame, value: str, left: str, keys: list[str], n: int = 199) -> DataFrame:
+    """Line through the quantile pairs, right against left."""
+    q = qq_pairs(df, value, left, keys, n)
+    x, y = F.col("left"), F.col("right")
+    return q.groupBy(*keys, "n_left", "n_right").agg(F.round(F.regr_slope(y, x), 3).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), F.round(F.regr_r2(y, x), 4).alias("r2"))
 
 
 def group_values(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -116,7 +145,7 @@ def p_values(df: DataFrame, value: str, left: str, keys: list[str]) -> DataFrame
                 n1, n2 = int(r["n_left"]), int(r["n_right"])
                 row = {k: r[k] for k in keys} | {"n_left": n1, "n_right": n2}
                 if n1 and n2:
-                    u = (r["r"] + 1) / 2 * n1 * n2
+                    u = round((r["r"] + 1) * n1 * n2) / 2
                     exact = min(n1, n2) <= 8 and r["_ties"] == 0
                     row |= {"u": u, "p_mann_whitney": mann_whitney_exact(u, n1, n2) if exact else mann_whitney_p(u, n1, n2, tie_sum=r["_ties"]), "d": r["d"]}
                     row["p_ks"] = ks_exact(r["d"], n1, n2) if n1 * n2 <= EXACT else ks_p(r["d"], n1, n2)
@@ -258,7 +287,7 @@ def compare_halves(a: np.ndarray, b: np.ndarray, units_a=None, units_b=None, n_b
     if ua is None:
         boot = np.array([delta(rng.choice(a, len(a)), rng.choice(b, len(b))) for _ in range(n_boot)])
         _, ties = np.unique(np.concatenate([a, b]), return_counts=True)
-        u = (r + 1) / 2 * len(a) * len(b)
+        u = round((r + 1) * len(a) * len(b)) / 2
         exact = min(len(a), len(b)) <= 8 and ties.max() == 1
         p = mann_whitney_exact(u, len(a), len(b)) if exact else mann_whitney_p(u, len(a), len(b), ties.tolist())
     else:

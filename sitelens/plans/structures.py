@@ -294,7 +294,7 @@ SELECT cohort, CAST(k AS INTEGER) AS k, round(a[k + 1], 6) AS "left", round(b[k
 """)
 def qq_pairs(spark, d):
     x = v_points(spark, d).select((F.col("id") % 2).alias("cohort"), "x", (F.col("cluster_id") >= 3).alias("lft"))
-    return rounded(stats.qq_pairs(x, "x", "lft", ["cohort"]), "left", "right")
+    return rounded(stats.qq_pairs(x, "x", "lft", ["cohort"]).select("cohort", "k", "left", "right"), "left", "right")
 
 
 @query("group_values", "SELECT l_returnflag, CAST(l_quantity AS DOUBLE) / l_linenumber AS value FROM lineitem WHERE l_linenumber <> 3")

@@ -83,6 +83,8 @@ def test_align_cluster_pairs(spark, folder):
     assert summary.count() == 1
     p = {(x["structure_ref"], x["structure_mobile"]): x for x in alignment.pairwise(atoms, st, 1.0).collect()}
     assert len(p) == 9 and p["1aaa", "1aaa"]["f1"] == 1 and p["1aaa", "1bbb"]["matched_recall"] == 1 and p["1aaa", "1ccc"]["chamfer"] < 0.02 and p["1aaa", "1bbb"]["max_cell_diff"] == 0
+    for block in (1, 2):
+        assert {(x["structure_ref"], x["structure_mobile"]): (x["f1"], x["rmsd_after"]) for x in alignment.pairwise(atoms, st, 1.0, block).collect()} == {k: (x["f1"], x["rmsd_after"]) for k, x in p.items()}
     few = alignment.align(alignment.ca_trace(atoms.where("res_id < 5")), alignment.ca_trace(atoms.where("pdb_id = '1aaa'")))
     assert few.where("warning is not null and rotation is null").count() == 3
 

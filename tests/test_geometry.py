@@ -139,3 +139,52 @@ def test_statistics():
     a = np.abs(np.subtract.outer(np.arange(6.0), np.arange(6.0)))
     r, p = stats.mantel(a, a, 99)
     assert np.isclose(r, 1) and p <= 0.2 and np.isnan(stats.mantel(a[:4, :4], a[:4, :4])[0])
+
+
+def test_exact_p_values_are_shares_of_orders(spark):
+    from itertools import combinations
+
+    r = np.random.default_rng(5)
+    for n1, n2 in ((3, 4), (2, 6), (5, 3), (1, 4)):
+        x = r.normal(size=n1 + n2)
+        u_of = lambda a, b: float((a[:, None] > b[None]).sum())
+        d_of = lambda a, b: max(abs((a <= v).mean() - (b <= v).mean()) for v in x)
+        parts = [(x[list(c)], np.delete(x, list(c))) for c in combinations(range(n1 + n2), n1)]
+        u, d = u_of(*parts[2]), d_of(*parts[2])
+        low = min(u, n1 * n2 - u)
+        assert np.isclose(stats.mann_whitney_exact(u, n1, n2), min(1, 2 * np.mean([u_of(*p) <= low for p in parts])))
+        assert np.isclose(stats.ks_exact(d, n1, n2), np.mean([d_of(*p) >= d - 1e-9 for p in parts]))
+    rows = [("a", True, float(v)) for v in (1, 2, 3, 4, 5.5)] + [("a", False, float(v)) for v in (3.5, 6, 7, 8)] + [("b", True, 1.0), ("c", False, None), ("c", True, float("nan"))]
+    got = {x["k"]: x for x in stats.p_values(spark.createDataFrame(rows, "k string, l boolean, v double"), "v", "l", ["k"]).collect()}
+    assert got["a"]["u"] == 2.0 and np.isclose(got["a"]["p_mann_whitney"], stats.mann_whitney_exact(2.0, 5, 4)) and got["b"]["p_ks"] is None and "c" not in got
+    # Welch's test by a permutation of many draws
+    a, b = np.array([1, 2, 3, 4, 5.5]), np.array([3.5, 6, 7, 8])
+    assert np.isclose(got["a"]["t"], (a.mean() - b.mean()) / np.sqrt(a.var(ddof=1) / 5 + b.var(ddof=1) / 4)) and 0.01 < got["a"]["p_welch"] < 0.06
+
+
+def test_quantiles_and_nearest_by_brute_force(spark):
+    from sitelens.operators import spatial
+
+    r = np.random.default_rng(6)
+    rows = [("a", float(v)) for v in np.round(r.normal(size=700), 2)] + [("b", 3.0)] * 40 + [("c", 1.5)] + [("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
+    got = {x["k"]: x["q"] for x in stats.quantiles(df, "v", probs, ["k"]).collect()}
+    for k in "abc":
+        assert np.allclose(got[k], np.quantile([v for n, v in rows if n == k], probs))
+    assert "d" not in got and np.allclose(stats.quantiles(df, "v", probs).first()["q"], np.quantile([v for _, v in rows if v is not None], probs))
+    p = [(k, i, *map(float, r.uniform(-20, 20, 3))) for i, k in enumerate("ab" * 60)]
+    left, right = (spark.createDataFrame(p[a:b], "k string, id int, x double, y double, z double") for a, b in ((0, 50), (50, 120)))
+    want = {x[1]: min(np.linalg.norm(np.array(x[2:]) - y[2:]) for y in p[50:] if y[0] == x[0]) for x in p[:50]}
+    every = {x[1]: min(np.linalg.norm(np.array(x[2:]) - y[2:]) for y in p[50:]) for x in p[:50]}
+    direct = spatial.DIRECT
+    for most in (direct, 10):
+        spatial.DIRECT = most
+        got = {x["id"]: x["distance"] for x in spatial.nearest(left, right, ["k"]).collect()}
+        assert got.keys() == want.keys() and all(np.isclose(got[i], want[i]) for i in want)
+        c = {x["k"]: x["chamfer"] for x in spatial.chamfer(left, right, ["k"], "id", "id").collect()}
+        back = {k: np.mean([min(np.linalg.norm(np.array(x[2:]) - y[2:]) for x in p[:50] if x[0] == k) for y in p[50:]]) for k in "ab"}
+        assert all(np.isclose(c[k], np.mean([every[x[1]] for x in p[:50] if x[0] == k]) + back[k]) for k in "ab")
+    spatial.DIRECT = direct
+    got = {x["id"]: x["distance"] for x in spatial.nearest(left, right).collect()}
+    assert all(np.isclose(got[i], every[i]) for i in every)
