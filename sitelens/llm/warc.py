@@ -7,7 +7,8 @@ response, others are revisits of it. The reader loads the dictionary, decodes fr
 line, headers, lengths and digests; a damaged archive raises ValueError.
 
 Defined cases: null html is an empty payload; a null url has no target line; a null page_id is never the response of
-others; rows that repeat the largest page_id are all responses; repeated rows are records each; no rows give no archives.
+others; rows that repeat the largest page_id are all responses; repeated rows are records each; very long pages are records like
+others; no rows give no archives.
 """
 
 from __future__ import annotations
@@ -18,16 +19,21 @@ import struct
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, tidied
+from .common import broadcast, slices, table, tidied
 
 #: Magic number of the skippable frame that holds a dictionary.
 MAGIC = 0x184D2A5D
+#: How a compressed frame begins.
+FRAME = b"\x28\xb5\x2f\xfd"
+#: Bytes of each row that a bitmap travels in.
+PART = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -40,13 +46,17 @@ def record_id(page_id) -> str:
     return f"<urn:page:{page_id}>"
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if refers_to is not None else http + payload
+def record(page_id, url: str | None, payload: bytes | None, refers_to=None, size: int = 0, sha: str = "") -> bytes:
+    """A response with its payload, or a revisit from the payload's size and SHA-1 alone."""
+    if refers_to is None:
+        size, mark = len(payload), digest(payload)
+    else:
+        payload, mark = b"", base64.b32encode(bytes.fromhex(sha)).decode()
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size + payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + quote(url, safe="%/:=&?~#+!$,;'@()*[]._-"))
-    lines += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}"]
+    lines += [f"WARC-Payload-Digest: sha1:{mark}", f"WARC-Block-Digest: sha1:{digest(block)}"]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -81,6 +91,11 @@ def read_archive(data: bytes) -> Iterator[bytes]:
     if magic != MAGIC or len(data) < 8 + size:
         raise ValueError("no dictionary frame")
     raw, view, at = bytes(data[8 : 8 + size]), memoryview(data), 8 + size
+    if raw[:4] == FRAME:  # the format allows a compressed dictionary
+        try:
+            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+        except zstandard.ZstdError as e:
+            raise ValueError(f"the dictionary is damaged: {e}") from e
     d = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
     while at < len(data):
         out, o = [], d.decompressobj()
@@ -135,13 +150,13 @@ def _write(most: int) -> callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, c, parts, held = None, None, [], 0
         for b in slices(batches, 256):
-            ids, urls, html, refs = (b.column(k).to_pylist() for k in range(4))
+            ids, urls, html, refs, sizes, shas = (b.column(k).to_pylist() for k in range(6))
             payloads = [(x or "").encode() for x in html]
             if raw is None:
                 raw = dictionary(payloads)
                 c = _compressor(raw)
-            for p, u, x, r in zip(ids, urls, payloads, refs, strict=True):
-                parts.append(c.compress(record(p, u, x, r)))
+            for p, u, x, r, n, s in zip(ids, urls, payloads, refs, sizes, shas, strict=True):
+                parts.append(c.compress(record(p, u, x, r, n, s)))
                 held += len(parts[-1])
                 if held >= most:
                     yield pa.record_batch([pa.array([b"".join([struct.pack("<II", MAGIC, len(raw)), raw, *parts])], pa.binary()), pa.array([len(parts)], pa.int64())], names=["archive", "records"])
@@ -152,13 +167,81 @@ def _write(most: int) -> callable:
     return run
 
 
+def _marks(shared, columns: int) -> callable:
+    """For mapInArrow over rows whose last column is a hash: those that pass the bitmap."""
+
+    @tidied
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, n_bits = shared.value
+        for b in slices(batches):
+            at = _bit(b.column(columns).to_numpy(zero_copy_only=False), n_bits)
+            hit = ((raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+            yield pa.record_batch([*b.columns[:columns], pa.array(hit)], names=[*b.schema.names[:columns], "hit"])
+
+    return run
+
+
+def _bit(h: np.ndarray, n_bits: int) -> np.ndarray:
+    return (h.astype(np.int64).view(np.uint64) & np.uint64(n_bits - 1)).astype(np.int64)
+
+
+def _bits(n_bits: int) -> callable:
+    @tidied
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(n_bits, bool)
+        for b in batches:
+            bits[_bit(b.column(0).to_numpy(zero_copy_only=False), n_bits)] = True
+        raw = np.packbits(bits)
+        parts = [p for p in range(0, len(raw), PART) if raw[p : p + PART].any()]
+        yield pa.record_batch([pa.array([p // PART for p in parts], pa.int32()), pa.array([raw[p : p + PART].tobytes() for p in parts], pa.binary())], names=["part", "bits"])
+
+    return run
+
+
+def _or(t: pa.Table) -> pa.Table:
+    return pa.table({"part": t.column("part")[:1], "bits": pa.array([np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()]).tobytes()], pa.binary())})
+
+
+def _bitmap(hashes: DataFrame, count: int):
+    """A broadcast bitmap (at most 32 MB) of a column of hashes; it passes all of them and few others."""
+    n_bits = 1 << min(28, max(17, int(count * 16).bit_length()))
+    raw = np.zeros(n_bits // 8, np.uint8)
+    for r in hashes.mapInArrow(_bits(n_bits), "part int, bits binary").groupBy("part").applyInArrow(_or, "part int, bits binary").collect():
+        raw[r["part"] * PART : r["part"] * PART + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return broadcast(hashes.sparkSession, (raw, n_bits))
+
+
 def write_archives(pages: DataFrame, revisit_from: int = 0, most: int = 1 << 20) -> DataFrame:
-    """A table of archives (archive, records) in the shared folder; equal payloads of fewer bytes are all responses."""
-    p = pages.select("page_id", "url", "html").withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    size = F.octet_length(F.coalesce("html", F.lit("")))
-    best = p.where(size >= revisit_from).groupBy(F.col("sha").alias("s")).agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").select("s", "best")
-    p = p.join(best, p["sha"] == best["s"], "left")
-    p = p.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")).alias("refers_to"))
+    """A table of archives (archive, records) in the shared folder; equal payloads of fewer bytes are all responses.
+
+    Payloads stay where they are read. Who is a revisit is found on (page_id, SHA-1, size) alone, and its record needs no
+    payload. A row whose digest surely doesn't repeat is written at once; of the others only those travel, by page_id, that
+    a bitmap takes for responses.
+    """
+    kind = pages.schema["page_id"].dataType.simpleString()
+    raw = F.coalesce("html", F.lit("")).cast("binary")
+    sha, key = F.sha1(raw), F.xxhash64("page_id", "sha")
+    light, _ = table(pages.select("page_id", "url", sha.alias("sha"), F.octet_length(raw).alias("size")), "digests")
+    best = light.where(F.col("size") >= revisit_from).groupBy("sha").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").select("sha", "best")
+    best, _ = table(best, "repeated")
+    # equal digests are many: the join's hot keys are light rows, which adaptive execution splits
+    typed, _ = table(light.join(best, "sha").withColumn("again", F.coalesce(~F.col("page_id").eqNullSafe(F.col("best")) & F.col("best").isNotNull(), F.lit(False))), "typed")
+    revisits = typed.where("again").select("page_id", "url", F.lit(None).cast("string").alias("html"), F.col("best").alias("refers_to"), "size", "sha")
+    n = best.count()
+    often = _bitmap(best.select(F.xxhash64("sha")), n)
+    own = pages.select("page_id", "url", "html", sha.alias("sha"))
+    own = own.select("*", F.xxhash64("sha").alias("h")).mapInArrow(_marks(often, 4), f"page_id {kind}, url string, html string, sha string, hit boolean")
+    at_once = own.where("not hit")
+    # rows that the bitmap passes by chance are responses too, so they are in the list
+    there = light.select("page_id", "sha", F.xxhash64("sha").alias("h")).mapInArrow(_marks(often, 2), f"page_id {kind}, sha string, hit boolean").where("hit")
+    there = there.join(best, "sha", "left").where(F.col("best").isNull() | F.col("page_id").eqNullSafe(F.col("best"))).select("page_id", "sha").distinct()
+    there, _ = table(there, "responses")
+    first = _bitmap(there.select(key), there.count())
+    maybe = own.where("hit").select("page_id", "url", "html", "sha", key.alias("h")).mapInArrow(_marks(first, 4), f"page_id {kind}, url string, html string, sha string, hit boolean").where("hit")
+    b = there.toDF("p2", "s2")
+    maybe = maybe.join(b, (F.col("sha") == F.col("s2")) & F.col("page_id").eqNullSafe(F.col("p2")), "left_semi")
+    full = lambda df: df.select("page_id", "url", "html", F.lit(None).cast(kind).alias("refers_to"), F.lit(0).alias("size"), "sha")
+    p = full(at_once).unionByName(full(maybe)).unionByName(revisits)
     return table(p.mapInArrow(_write(most), "archive binary, records long"), "warc")[0]
 
 

@@ -1,12 +1,15 @@
 import hashlib
+import random
+import struct
 
 import pytest
+import zstandard
 
 from sitelens.llm import warc
 
 
 def test_archive_round_trip_and_damage():
-    records = [warc.record(1, "http://a/\r\nx: y", b"<p>" * 40), warc.record(2, None, b""), warc.record(3, "http://b", b"<p>" * 40, 7)]
+    records = [warc.record(1, "http://a/\r\nx: y", b"<p>" * 40), warc.record(2, None, b""), warc.record(3, "http://b", None, 7, 120, hashlib.sha1(b"<p>" * 40).hexdigest())]
     for raw in (b"", warc.dictionary(records), warc.dictionary([b"page %d " % k * 50 for k in range(40)])):
         data = warc.archive(records, raw)
         assert list(warc.read_archive(data)) == records
@@ -17,7 +20,12 @@ def test_archive_round_trip_and_damage():
         flipped[-6] ^= 255
         with pytest.raises(ValueError):
             [warc.parse(r) for r in warc.read_archive(bytes(flipped))]
+    raw = warc.dictionary([b"page %d " % k * 50 for k in range(40)])
+    packed = zstandard.compress(raw)
+    frames = warc.archive(records, raw)[8 + len(raw) :]
+    assert list(warc.read_archive(struct.pack("<II", warc.MAGIC, len(packed)) + packed + frames)) == records
     p = warc.parse(records[2])
+    assert p["payload_digest"] == warc.digest(b"<p>" * 40)
     assert (p["record_type"], p["refers_to"], p["payload_bytes"], p["payload"]) == ("revisit", "7", 120, b"")
     for bad in (records[0].replace(b"WARC/1.1", b"WARC/0.9"), records[0] + b"x", records[0].replace(b"<p>", b"<q>", 1), records[0].replace(b"WARC-Date", b"WARC-Type")):
         with pytest.raises(ValueError):
@@ -36,3 +44,16 @@ def test_frames(spark, tmp_path):
     files = list(tmp_path.glob("*.warc.zst"))
     assert len(files) == archives.count() and all(hashlib.sha1(f.read_bytes()).hexdigest() in f.name for f in files)
     assert warc.read_archives(warc.write_archives(df.limit(0))).collect() == []
+
+
+def test_many_copies_and_a_very_long_page(spark):
+    r = random.Random(3)
+    rows = [(k, f"http://h/{k}", r.choice(["", "copied everywhere", "twice", f"own {k}"])) for k in range(2000)]
+    rows += [(9000, "http://long", "x" * 3_000_000), (9001, "http://long", "x" * 3_000_000), (None, "http://n", "twice"), (None, "http://n", "alone"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    best = {}
+    for k, _, html in rows:
+        best[html or ""] = max(best.get(html or "", -1), -1 if k is None else k)
+    want = sorted((str(k), len(html or ""), "response" if (best[html or ""] in (k, -1)) else "revisit", None if best[html or ""] in (k, -1) else str(best[html or ""])) for k, _, html in rows)
+    got = [(x["page_id"], x["payload_bytes"], x["record_type"], x["refers_to"]) for x in warc.read_archives(warc.write_archives(df)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
