@@ -7,7 +7,8 @@ lie inside the document around that position) and every word are verified.
 
 Items are broadcast in blocks of a bounded number of words; more blocks are more passes over the documents.
 
-Defined cases: null or wordless text has no words and no hits; null or wordless items have no windows; repeated rows are
+Defined cases: null or wordless text has no words and no hits; very long texts are scanned whole; of tokens that are
+equally rare a window takes the one of least hash; null or wordless items have no windows; repeated rows are
 rows of the result each; items of the same text are counted each; null item_ids are ignored; no documents give no rows;
 no items give no hits; other columns are ignored.
 """

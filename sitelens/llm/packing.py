@@ -11,7 +11,8 @@ Tokens: the vocabulary's pieces (words, digits, runs of marks) are encoded once
 with characters beyond 255, special tokens' openings or separators 28 to 31 go to the tokenizer whole.
 
 Defined cases: null text counts as empty and gives one piece, the end token alone; repeated rows and repeated or null
-doc_ids are documents each; no rows give no rows; other columns are ignored.
+doc_ids are documents each; very long texts are encoded whole; of equally long pieces the one that came last is taken
+first; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,8 +16,10 @@ Recall: equal paragraphs always meet; others of similarity 0.8 with the banding'
 span of 30 words or more that is equal in two documents, windows cover all but 10 words at each end or fewer, hence 31
 of 51 words, which is a run.
 
-Defined cases: null, empty and short texts have no paragraphs; repeated rows of one doc_id are one document; documents
-with a null doc_id take no part; no rows give no rows; other columns are ignored.
+Defined cases: null, empty and short texts have no paragraphs; very long texts are read whole; repeated rows of one doc_id
+and text count once, and of one doc_id with several texts each has rows of its own (what repeats only among them is no
+repeat across documents); of equal candidates the lowest doc_id keeps, ties of place go by class; documents with a null
+doc_id take no part; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -217,11 +219,12 @@ def _places(shared) -> callable:
     @tidied
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = batch.column(0)
+            ids, which = batch.column(0), batch.column(2)
             for i, u in _units(batch, 1):
                 for x, size in ((u, u.stop - u.first), (w := u.windows(), np.full(len(w.node), WINDOW))):
                     own = _pass(shared, x.node)
-                    yield pa.record_batch([ids.take(pa.array(i + x.text[own])), pa.array(x.at[own]), pa.array((x.at + size)[own]), pa.array(x.node[own])], names=["doc_id", "start", "stop", "node"])
+                    rows = pa.array(i + x.text[own])
+                    yield pa.record_batch([ids.take(rows), which.take(rows), pa.array(x.at[own]), pa.array((x.at + size)[own]), pa.array(x.node[own])], names=["doc_id", "which", "start", "stop", "node"])
 
     return run
 
@@ -294,21 +297,22 @@ def repeated_runs(docs: DataFrame, num: int = 80, den: int = 100, min_words: int
     rep = near.select("node", "component").join(near_cls, "component").select("node", F.col("component").alias("class_id"), F.col("lo").alias("kept_by"))
     same = counts.where("lo <> hi").join(cls, "node", "left_anti").select("node", F.col("node").alias("class_id"), F.col("lo").alias("kept_by"))
     rep, _ = table(rep.union(same), "repeats")
-    places = docs.mapInArrow(_places(_filter(rep, "node", rep.count())), f"doc_id {kind}, start long, stop long, node long").join(rep, "node").select("doc_id", "start", "stop", "class_id", "kept_by").distinct()
-    runs = _runs(places.withColumn("removed", F.col("kept_by") != F.col("doc_id")), ["doc_id"], "run", gap)
+    which = docs.withColumn("which", F.xxhash64("text"))
+    places = which.mapInArrow(_places(_filter(rep, "node", rep.count())), f"doc_id {kind}, which long, start long, stop long, node long").join(rep, "node").select("doc_id", "which", "start", "stop", "class_id", "kept_by").distinct()
+    runs = _runs(places.withColumn("removed", F.col("kept_by") != F.col("doc_id")), ["doc_id", "which"], "run", gap)
     # words of units that are kept elsewhere go, also where units that are kept here reach over them
-    w = Window.partitionBy("doc_id").orderBy("start", "stop", "class_id")
+    w = Window.partitionBy("doc_id", "which").orderBy("start", "stop", "class_id")
     end = F.max(F.when(F.col("removed"), F.col("stop"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     begin = F.min(F.when(F.col("removed"), F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing))
     runs = runs.withColumns({"end": end, "begin": begin})
     runs = runs.withColumns({"start": F.when(F.col("removed"), F.col("start")).otherwise(F.greatest("start", "end")), "stop": F.when(F.col("removed"), F.col("stop")).otherwise(F.least("stop", "begin"))}).where("start < stop")
-    parts = _runs(runs.drop("own"), ["doc_id", "run", "removed"], "part", gap)
+    parts = _runs(runs.drop("own"), ["doc_id", "which", "run", "removed"], "part", gap)
     one = lambda of: [F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum(of).alias("n_words"), F.min("class_id").alias("class_id"), F.min("kept_by").alias("kept_by")]
-    parts = parts.groupBy("doc_id", "run", "removed", "part").agg(*one("own"))
-    parts = parts.withColumn("most", F.max("n_words").over(Window.partitionBy("doc_id", "run")))
+    parts = parts.groupBy("doc_id", "which", "run", "removed", "part").agg(*one("own"))
+    parts = parts.withColumn("most", F.max("n_words").over(Window.partitionBy("doc_id", "which", "run")))
     whole = F.col("most") < min_words
     parts = parts.withColumns({"part": F.when(whole, -1).otherwise(F.col("part")), "side": ~whole & F.col("removed")})
-    out = parts.groupBy("doc_id", "run", "side", "part").agg(*one("n_words"), F.min("removed").alias("removed"))
+    out = parts.groupBy("doc_id", "which", "run", "side", "part").agg(*one("n_words"), F.min("removed").alias("removed"))
     tidy()
     return out.where(F.col("n_words") >= min_words).select("doc_id", "start", "stop", "n_words", "class_id", "kept_by", "removed")
 

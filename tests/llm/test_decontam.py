@@ -1,3 +1,4 @@
+import random
 import re
 
 from sitelens.llm import decontam
@@ -44,3 +45,14 @@ def test_against_brute_force(spark):
     assert decontam.find_contamination(d.limit(0), i).collect() == []
     none = decontam.find_contamination(d, i.limit(0)).collect()
     assert len(none) == len(docs) and not any(r["items"] or r["spans"] for r in none)
+
+
+def test_very_long_text(spark):
+    r = random.Random(8)
+    words = [str(r.randrange(10**6)) for _ in range(300_000)]
+    item = [f"item{k}" for k in range(12)]
+    text = " ".join(words[:250_000] + item + words[250_000:])
+    assert len(text) > 1 << 20
+    docs = spark.createDataFrame([(1, text), (2, " ".join(words))], "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_words"], [tuple(s) for s in x["spans"]], list(x["items"])) for x in decontam.find_contamination(docs, spark.createDataFrame([("i", " ".join(item))], "item_id string, text string")).collect()}
+    assert got == {1: (300_012, [(250_000, 250_012)], ["i"]), 2: (300_000, [], [])}

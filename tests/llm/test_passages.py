@@ -139,3 +139,18 @@ def test_short_sentences_join(spark):
     assert (u.stop - u.first).sum() > 0.8 * 160 * len(docs) and (u.stop - u.first >= 5).all()
     got = {x["doc_id"] for x in passages.repeated_runs(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
     assert len(got) > 0.5 * len(docs)
+
+
+def test_very_long_texts_and_ids_of_several_texts(spark):
+    r = random.Random(21)
+    long, span = prose(r, 220_000), prose(r, 70)
+    assert len(" ".join(long)) > 1 << 20
+    docs = [(1, " ".join(long[:150_000] + span + long[150_000:])), (2, " ".join(prose(r, 40) + span + prose(r, 40)))]
+    # one doc_id with two texts: places of one are no places of the other
+    one, two = prose(r, 60), prose(r, 60)
+    docs += [(3, " ".join(one + prose(r, 60))), (3, " ".join(prose(r, 60) + two)), (4, " ".join(one)), (5, " ".join(two)), (6, " ".join(prose(r, 90))), (6, " ".join(prose(r, 90)))]
+    got = [(x["doc_id"], x["start"], x["stop"], x["kept_by"]) for x in passages.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    by = {d: sorted(x[1:] for x in got if x[0] == d) for d in range(1, 7)}
+    assert len(by[1]) == 1 and abs(by[1][0][0] - 150_000) <= 10 and abs(by[1][0][1] - 150_070) <= 10 and by[1][0][2] == 1
+    assert len(by[2]) == 1 and by[2][0][2] == 1 and not by[6]
+    assert len(by[3]) == 2 and by[3][0][0] <= 10 and by[3][1][0] >= 50 and len(by[4]) == len(by[5]) == 1
