@@ -53,6 +53,13 @@ _NUMBER = re.compile(r"[A-Za-z0-9](?:[ .-]?[A-Za-z0-9])+")
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
 
+def folded(text: str) -> str:
+    """Lower case of the same length, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_FOLD)
+
+
+
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for c in "0123456789":
@@ -123,7 +130,7 @@ def spans_of(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int
     email_end, last_at, ip_end, card_end = 0, -1, 0, 0
     url_end = 0
     n = len(text)
-    for end, (what, size) in automaton.iter(text.translate(_FOLD)):
+    for end, (what, size) in automaton.iter(folded(text)):
         p = end - size + 1
         if what == "d":
             if p >= ip_end:
