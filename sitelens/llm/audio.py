@@ -9,7 +9,8 @@ with its time span; tensors travel as Arrow IPC with the fixed-shape tensor type
 Each text is worked on alone, in blocks of fixed length, so equal texts give equal values wherever they lie and a very
 long one takes bounded memory. Values are rounded to 1/16.
 
-Defined cases: null and empty texts are 64 zero bytes (silence, no segments); repeated rows are rows each; damaged media
+Defined cases: null and empty texts are 64 zero bytes (silence, no segments); very long texts are taken whole; repeated rows
+are rows each; of frames as loud as a threshold the upper one starts a segment, the lower one doesn't end it; damaged media
 raise ValueError; no rows give no rows; other columns are ignored.
 """
 
@@ -203,6 +204,11 @@ def features(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, segments long, tensors binary")
 
 
+def store_features(media: DataFrame) -> DataFrame:
+    """The features as a table of the shared folder; ``tensors`` holds the fixed-shape tensors of each row with their time spans."""
+    return table(features(media), "features")[0]
+
+
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as samples, read back, with a digest of their features."""
     f = features(store(documents(spark, sf_dir)))

@@ -51,3 +51,39 @@ def test_round_trip(spark, sf_dir):
     by = {}
     for r in q:
         assert by.setdefault(r["payload_sha256"], r["feature"]) == r["feature"]
+
+
+def test_features_by_brute_force(spark):
+    r = np.random.default_rng(5)
+    tone = np.sin(np.arange(6000) * 0.3) * np.repeat([1, 60, 2, 90, 1, 40], 1000)
+    x = np.clip(128 + tone + r.normal(size=6000), 0, 255).astype(np.uint8)
+    # frames by a plain sum over the filtered samples, energies by a plain Fourier sum
+    y = audio.resample((x.astype(np.float32) - 128) / 128).astype(float)
+    n = max(1, -(-(len(y) - audio.WIN) // audio.HOP) + 1)
+    y = np.concatenate([y, np.zeros((n - 1) * audio.HOP + audio.WIN - len(y))])
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(audio.WIN // 2 + 1), np.arange(audio.WIN)) / audio.WIN)
+    window = np.array([0.5 - 0.5 * np.cos(2 * np.pi * k / audio.WIN) for k in range(audio.WIN)])
+    m = np.array([np.log10((np.abs(turn @ (y[k * audio.HOP : k * audio.HOP + audio.WIN] * window)) ** 2) @ audio._MEL + 1e-6) for k in range(n)])
+    got = audio.log_mel(x)
+    assert got.shape == m.shape and np.abs(got - m).max() < 0.5 / 16 + 1e-3
+    # segments by a state that turns on and off
+    loud, on, want, start = got.mean(1), False, [], 0
+    low, high = loud.min(), loud.max()
+    for k, v in enumerate(loud):
+        if not on and v >= low + audio.HIGH * (high - low):
+            on, start = True, k
+        elif on and v < low + audio.LOW * (high - low):
+            on = False
+            want.append((start, k))
+    want += [(start, len(loud))] if on else []
+    assert len(want) >= 2 and audio.segments(loud) == want
+    spans, t, frames = audio.tensors(x)
+    assert frames == n and t.shape == (len(want), audio.SLICES, audio.MELS)
+    for (a, b), own in zip(want, t):
+        for k in range(audio.SLICES):
+            lo = a + (b - a) * k // audio.SLICES
+            hi = max(lo + 1, a + (b - a) * (k + 1) // audio.SLICES)
+            assert np.abs(own[k] - got[lo:hi].mean(0)).max() <= 0.5 / 16 + 1e-4
+    table = audio.store_features(audio.store(spark.createDataFrame([(1, "ab" * 9000 + "z" * 9000)], "doc_id long, text string")))
+    row = table.first()
+    assert audio.from_ipc(bytes(row["tensors"])).num_rows == row["segments"] and "file" in table.inputFiles()[0]
