@@ -71,7 +71,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     atoms, structures, scores = stages.load(spark, source)
     if a.cohort:
         ids = readers.read_cohorts(spark, a.cohort)
-        atoms, structures = (df.join(F.broadcast(ids.select("pdb_id")), "pdb_id", "left_semi") for df in (atoms, structures))
+        atoms, structures = (df.join(ids.select("pdb_id"), "pdb_id", "left_semi") for df in (atoms, structures))
     atoms = atoms.persist()
     try:
         if a.stage == "metadata":
@@ -94,7 +94,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             rows, table = stages.cluster_stage(atoms, c, n, scores)
             rows.write.mode("overwrite").parquet(f"{a.output}/cluster_members")
             rows = spark.read.parquet(f"{a.output}/cluster_members")
-            writers.write_csv(rows, f"{a.output}/cluster_members.csv")
+            writers.write_csv(rows, f"{a.output}/cluster_members.csv", one_file=False)
             if a.write_cif:
                 noise = rows.where("cluster_id = -1") if a.include_noise else None
                 writers.write_cluster_cif(writers.cluster_sites(table, noise, n), f"{address(a.output)}/clusters.cif")
@@ -108,7 +108,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         elif a.stage == "zscore":
             from . import schemas
 
-            writers.write_csv(stages.add_zscore(readers.read_csv(spark, a.input, schemas.MEMBERS), atoms, c.bfactor_population), f"{a.output}/cluster_members.csv")
+            writers.write_csv(stages.add_zscore(readers.read_csv(spark, a.input, schemas.MEMBERS), atoms, c.bfactor_population), f"{a.output}/cluster_members.csv", one_file=False)
     finally:
         atoms.unpersist()
 

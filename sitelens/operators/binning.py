@@ -48,7 +48,7 @@ def quantile_edges(df: DataFrame, value: str, n: int, keys: list[str] = (), low:
 def quantile_means(df: DataFrame, by: str, value: str, edges: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Count and mean of the value in right-closed bins of ``by``, the outer ones open to both sides."""
     d = df.select(*keys, finite(by).alias("_b"), finite(value).alias("_v")).where("_b is not null and _v is not null")
-    d = d.join(F.broadcast(edges), list(keys)) if keys else d.join(F.broadcast(edges))
+    d = d.join(edges, list(keys)) if keys else d.join(F.broadcast(edges))
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     d = d.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("_b"))))
     return d.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))

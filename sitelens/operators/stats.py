@@ -96,6 +96,19 @@ def spearman(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     return c.select(*keys, "n", F.when(F.col("n") >= 3, F.try_divide("_c", F.col("_sa") * F.col("_sb"))).alias("rho"))
 
 
+def spearman_test(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+    """``spearman`` with its two-sided p-value, by the t distribution; NULL without rho."""
+    out = spearman(df, a, b, keys)
+
+    def run(it):
+        for pdf in it:
+            p = [None if pd.isna(r) else spearman_p(r, n) for r, n in zip(pdf["rho"], pdf["n"], strict=True)]
+            yield pdf.assign(p=pd.Series(p, index=pdf.index, dtype=float))
+
+    schema = ", ".join([f"{c} {out.schema[c].dataType.simpleString()}" for c in out.columns] + ["p double"])
+    return out.mapInPandas(run, schema)
+
+
 def qq_pairs(df: DataFrame, value: str, left: str, keys: list[str], n: int = 199) -> DataFrame:
     """(keys, n_left, n_right, k, left, right): quantile pairs of both sides at probabilities (k + 0.5) / n."""
     d = df.select(*keys, finite(value).alias("_v"), F.col(left).alias("_l")).where("_l is not null")

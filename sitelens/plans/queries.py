@@ -548,7 +548,7 @@ def agreement(spark, d):
 def _pairs(spark, d):
     c = v_clusters(spark, d).select("cluster_id", "center_x", "center_y", "center_z")
     a, b = c.toDF("i", "xi", "yi", "zi"), c.toDF("j", "xj", "yj", "zj")
-    return a.crossJoin(F.broadcast(b)).select("i", "j", (F.abs(F.col("xi") - F.col("xj")) + 2 * F.greatest(F.col("yi") - F.col("yj"), F.lit(0.0)) + F.abs(F.col("zi") - F.col("zj"))).alias("v"))
+    return a.crossJoin(b).select("i", "j", (F.abs(F.col("xi") - F.col("xj")) + 2 * F.greatest(F.col("yi") - F.col("yj"), F.lit(0.0)) + F.abs(F.col("zi") - F.col("zj"))).alias("v"))
 
 
 _PAIRS_SQL = "p AS (SELECT a.cluster_id AS i, b.cluster_id AS j, abs(a.center_x - b.center_x) + 2 * greatest(a.center_y - b.center_y, 0) + abs(a.center_z - b.center_z) AS v FROM v_clusters a, v_clusters b)"

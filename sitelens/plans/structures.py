@@ -352,7 +352,7 @@ def _levels(spark, d):
     a, b = n.toDF("i", "ri"), n.toDF("j", "rj")
     i, j = F.col("i"), F.col("j")
     # 25 nations: every pair is the operators' input
-    pairs = a.join(F.broadcast(b), i != j)
+    pairs = a.join(b, i != j)
     return pairs.select("i", "j", "ri", "rj", F.when(i % 4 == j % 4, 1.0).when(i % 2 == j % 2, 3.0).otherwise(6.0).alias("u"), F.when(F.col("ri") == F.col("rj"), 1.0).otherwise(5.0).alias("v"))
 
 

@@ -162,6 +162,14 @@ def test_exact_p_values_are_shares_of_orders(spark):
     assert np.isclose(got["a"]["t"], (a.mean() - b.mean()) / np.sqrt(a.var(ddof=1) / 5 + b.var(ddof=1) / 4)) and 0.01 < got["a"]["p_welch"] < 0.06
 
 
+def test_spearman_p(spark):
+    # t = rho sqrt((n - 2) / (1 - rho^2)) of 2 degrees of freedom has p = 1 - |t| / sqrt(2 + t^2)
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 3.0), ("a", 3.0, 2.0), ("a", 4.0, 4.0), ("b", 1.0, 2.0), ("b", 2.0, 1.0)], "k string, x double, y double")
+    got = {r["k"]: r for r in stats.spearman_test(df, "x", "y", ["k"]).collect()}
+    t = 0.8 * np.sqrt(2 / (1 - 0.64))
+    assert np.isclose(got["a"]["rho"], 0.8) and np.isclose(got["a"]["p"], 1 - t / np.sqrt(2 + t * t)) and got["b"]["p"] is None
+
+
 def test_quantiles_and_nearest_by_brute_force(spark):
     from sitelens.operators import spatial
 
