@@ -96,11 +96,12 @@ class WordTable:
         """Token ids of each text, as the tokenizer gives them for the whole text."""
         words = [_PIECE.findall(t.lower()) if _plain(t) else None for t in texts]
         place = self.place
-        new = {w for own in words if own for w in own if w not in place}
+        every = set().union(*(own for own in words if own))
+        new = every.difference(place)
         if len(place) + len(new) > WORDS and place:
             self.clear()
             place = self.place
-            new = {w for own in words if own for w in own}
+            new = every
         if new:
             self.add(list(new))
         out = []
@@ -229,7 +230,7 @@ def _pack(path: str, end: int, capacity: int) -> callable:
             a = 0
             while a < len(ids):
                 own, size = [], 0
-                while a + len(own) < len(ids) and size < 400_000:
+                while a + len(own) < len(ids) and size < 100_000:
                     own.append(texts[a + len(own)].as_py() or "")
                     size += len(own[-1])
                 for d, x in zip(ids[a : a + len(own)], table.encode(own), strict=True):
