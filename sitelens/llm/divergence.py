@@ -32,7 +32,7 @@ from .common import chunks, documents, scratch, slices, table, tidied, utf8
 #: Rows of counts that a task gathers before it sends them on.
 GATHER = 400_000
 #: Postings of a block at least, at most, and sources of a strip.
-LEAST, MOST, STRIP = 100_000, 2_000_000, 256
+LEAST, MOST, STRIP = 8_000, 2_000_000, 256
 #: Buckets of counts for each doubling.
 FINE = 8
 
