@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
-from .stats import quantiles
+from .ranks import quantiles
 
 
 def uniform_edges(low: float, high: float, bins: int) -> list[float]:

@@ -10,71 +10,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..shared import kept
+from .ranks import Ordered, counted, joined, quantiles
 
 
-def _blocks(n: DataFrame, keys: list[str], value: str, sums: list[str], blocks: int) -> tuple[DataFrame, DataFrame]:
-    """(n with ``_block`` and ``_before_<c>``; keys, ``_block``, ``_o_<c>`` (before it) and ``_s_<c>`` (in it))."""
-    probs = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    edges = n.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probs, 1000)).alias("_edges"))
-    d = (n.join(edges, keys) if keys else n.join(F.broadcast(edges))).withColumn("_block", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
-    per = d.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
-    up = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumns({f"_o_{c}": F.coalesce(F.sum(f"_s_{c}").over(up), F.lit(0)) for c in sums})
-    within = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(per.drop(*[f"_s_{c}" for c in sums]), [*keys, "_block"])
-    d = d.withColumns({f"_before_{c}": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums})
-    return d.drop(*[f"_o_{c}" for c in sums]), per
-
-
-def running(n: DataFrame, keys: list[str], value: str, sums: list[str], blocks: int = 64) -> DataFrame:
-    """The rows of n (one for each keys and value) with ``_before_<c>``: the sum of c over all smaller values of the keys.
-
-    Values are parted into blocks at approximate quantiles; sums run over the blocks, then inside each block, so one key
-    with very many values is dealt over tasks.
-    """
-    return _blocks(n, list(keys), value, sums, blocks)[0].drop("_block")
-
-
-def quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str] = ()) -> DataFrame:
-    """(keys, n, q): exact quantiles of the finite values, interpolated; no group is held in one buffer."""
-    keys = list(keys)
-    n = df.select(*keys, finite(value).alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    d, per = _blocks(n, keys, "_v", ["_n"], 64)
-    total = per.groupBy(*keys).agg(F.sum("_s__n").alias("n"))
-    # the two ranks beside each quantile, looked up in their blocks only
-    h = lambda p: p * (F.col("n") - 1)
-    at = F.transform(F.array(*[F.lit(float(x)) for x in probs]), lambda x, k: F.array(F.struct(k.alias("_k"), F.lit(0).alias("_side"), F.floor(h(x)).alias("_rank"), (h(x) - F.floor(h(x))).alias("_f")), F.struct(k.alias("_k"), F.lit(1).alias("_side"), F.ceil(h(x)).alias("_rank"), (h(x) - F.floor(h(x))).alias("_f"))))
-    ranks = total.select(*keys, "n", F.explode(F.flatten(at)).alias("p")).select(*keys, "n", "p.*")
-    inside = (F.col("_rank") >= F.col("_o__n")) & (F.col("_rank") < F.col("_o__n") + F.col("_s__n"))
-    ranks = (ranks.join(per, keys) if keys else ranks.join(F.broadcast(per))).where(inside).select(*keys, "_block", "n", "_k", "_side", "_rank", "_f")
-    held = (F.col("_rank") >= F.col("_before__n")) & (F.col("_rank") < F.col("_before__n") + F.col("_n"))
-    two = d.join(ranks, [*keys, "_block"]).where(held).groupBy(*keys, "n", "_k").agg(F.first("_f").alias("_f"), F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_lo"), F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_hi"))
-    two = two.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))
-    return two.groupBy(*keys, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_q"))), lambda x: x["_q"]).alias("q"))
-
-
-def average_ranks(df: DataFrame, value: str, out: str, keys: list[str]) -> DataFrame:
-    """Rank of each row within its keys, equal values sharing the mean; values are counted first."""
-    n = running(df.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, value, ["_n"])
-    return df.join(n.select(*keys, value, (F.col("_before__n") + (F.col("_n") + 1) / 2.0).alias(out)), [*keys, value])
+def _sides(df: DataFrame, value: str, left: str, keys: list[str]) -> tuple[DataFrame, int]:
+    """Every finite value of the keys with the rows of both sides at it (a, b), below it and in all; and the parts' number."""
+    o = Ordered(counted(df, list(keys), value, left), list(keys), "_v", ["a", "b"])
+    return joined(o.rows, o.totals.withColumnsRenamed({"a": "n_left", "b": "n_right"}), list(keys), o.parts), o.parts
 
 
 def cliffs_delta(df: DataFrame, value: str, left: str, keys: list[str]) -> DataFrame:
     """2 U / (n1 n2) - 1 by keys; ``left`` is a boolean column. NULL where a side has no finite value."""
-    d = df.select(*keys, finite(value).alias("_v"), F.col(left).alias("_l")).where("_v is not null and _l is not null")
-    n = running(d.groupBy(*keys, "_v").agg(F.count_if("_l").alias("a"), F.count_if(~F.col("_l")).alias("b")), keys, "_v", ["b"])
-    u = n.groupBy(*keys).agg(F.sum(F.col("a") * (F.col("_before_b") + F.col("b") / 2.0)).alias("u"), F.sum("a").alias("n_left"), F.sum("b").alias("n_right"))
+    u = _sides(df, value, left, keys)[0].groupBy(*keys, "n_left", "n_right").agg(F.sum(F.col("a") * (F.col("_before_b") + F.col("b") / 2.0)).alias("u"))
     return u.select(*keys, "n_left", "n_right", (F.try_divide(2 * F.col("u"), F.col("n_left") * F.col("n_right")) - 1).alias("r"))
 
 
+def _gap() -> F.Column:
+    return F.abs(F.try_divide(F.col("_before_a") + F.col("a"), "n_left") - F.try_divide(F.col("_before_b") + F.col("b"), "n_right"))
+
+
 def ks_distance(df: DataFrame, value: str, left: str, keys: list[str]) -> DataFrame:
     """Largest difference of the two distribution functions, evaluated after ties."""
-    d = df.select(*keys, finite(value).alias("_v"), F.col(left).alias("_l")).where("_v is not null and _l is not null")
-    n = running(d.groupBy(*keys, "_v").agg(F.count_if("_l").alias("a"), F.count_if(~F.col("_l")).alias("b")), keys, "_v", ["a", "b"])
-    total = n.groupBy(*keys).agg(F.sum("a").alias("n_left"), F.sum("b").alias("n_right"))
-    n = n.join(total, keys)
-    gap = F.abs(F.try_divide(F.col("_before_a") + F.col("a"), "n_left") - F.try_divide(F.col("_before_b") + F.col("b"), "n_right"))
-    return n.groupBy(*keys).agg(F.first("n_left").alias("n_left"), F.first("n_right").alias("n_right"), F.max(gap).alias("d"))
+    return _sides(df, value, left, keys)[0].groupBy(*keys, "n_left", "n_right").agg(F.max(_gap()).alias("d"))
 
 
 def cohens_d(df: DataFrame, value: str, left: str, keys: list[str]) -> DataFrame:
@@ -90,10 +48,18 @@ def spearman(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """Rank correlation of complete pairs by keys; NULL below three pairs or of a column with itself."""
     if a == b:
         return df.groupBy(*keys).agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("rho"))
+    keys = list(keys)
+    # equal pairs are counted first, then each side's values are put in order
     d = df.select(*keys, finite(a).alias("_a"), finite(b).alias("_b")).where("_a is not null and _b is not null")
-    d = average_ranks(average_ranks(d, "_a", "_ra", keys), "_b", "_rb", keys)
-    c = d.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop("_ra").alias("_sa"), F.stddev_pop("_rb").alias("_sb"), F.covar_pop("_ra", "_rb").alias("_c"))
-    return c.select(*keys, "n", F.when(F.col("n") >= 3, F.try_divide("_c", F.col("_sa") * F.col("_sb"))).alias("rho"))
+    d = kept(d.groupBy(*keys, "_a", "_b").agg(F.count("*").alias("n")))
+    for c in ("_a", "_b"):
+        o = Ordered(d.groupBy(*keys, c).agg(F.sum("n").alias("n")), keys, c, ["n"])
+        # the rank less the mean of all ranks
+        r = joined(o.rows, o.totals.withColumnRenamed("n", "_total"), keys, o.parts)
+        d = d.join(r.select(*keys, c, (F.col("_before_n") + (F.col("n") - F.col("_total")) / 2.0).alias(f"_r{c}")), [*keys, c])
+    n = F.col("n")
+    c = d.groupBy(*keys).agg(F.sum(n).alias("n"), *[F.sum(n * F.col(x) * F.col(y)).alias(x + y) for x, y in (("_r_a", "_r_a"), ("_r_b", "_r_b"), ("_r_a", "_r_b"))])
+    return c.select(*keys, "n", F.when(n >= 3, F.try_divide("_r_a_r_b", F.sqrt(F.col("_r_a_r_a")) * F.sqrt(F.col("_r_b_r_b")))).alias("rho"))
 
 
 def spearman_test(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
@@ -140,16 +106,16 @@ def rho_by_group(pairs: DataFrame, a: str, b: str, group_i: str, group_j: str) -
 def p_values(df: DataFrame, value: str, left: str, keys: list[str]) -> DataFrame:
     """(keys, n_left, n_right, u, p_mann_whitney, d, p_ks, t, p_welch), two-sided, from aggregates.
 
-    Mann-Whitney is exact for a side of up to 8 values without ties, Kolmogorov-Smirnov for up to ``EXACT`` pairs of values;
-    beyond, the limits. NULL where a side has no values (Welch: fewer than two, or no variance).
+    Mann-Whitney is exact for a side of up to 8 values without ties, Kolmogorov-Smirnov for up to ``EXACT`` values on each
+    side; beyond, the limits. NULL where a side has no values (Welch: fewer than two, or no variance).
     """
+    n, parts = _sides(df, value, left, keys)
+    both = (F.col("a") + F.col("b")).cast("double")
+    x = n.groupBy(*keys, "n_left", "n_right").agg(F.sum(F.col("a") * (F.col("_before_b") + F.col("b") / 2.0)).alias("u"), F.max(_gap()).alias("d"), F.sum(both * both * both - both).alias("_ties"))
     d = df.select(*keys, finite(value).alias("_v"), F.col(left).alias("_l")).where("_v is not null and _l is not null")
-    n = d.groupBy(*keys, "_v").agg(F.count("*").cast("double").alias("_n"))
-    ties = n.groupBy(*keys).agg(F.sum(F.col("_n") * F.col("_n") * F.col("_n") - F.col("_n")).alias("_ties"))
     a, b = F.when(F.col("_l"), F.col("_v")), F.when(~F.col("_l"), F.col("_v"))
     m = d.groupBy(*keys).agg(F.avg(a).alias("_ma"), F.avg(b).alias("_mb"), F.var_samp(a).alias("_va"), F.var_samp(b).alias("_vb"))
-    delta = cliffs_delta(d, "_v", "_l", keys)
-    x = delta.join(ks_distance(d, "_v", "_l", keys).select(*keys, "d"), keys).join(ties, keys).join(m, keys)
+    x = joined(m, x, list(keys), parts)
 
     def run(it):
         for pdf in it:
@@ -158,10 +124,10 @@ def p_values(df: DataFrame, value: str, left: str, keys: list[str]) -> DataFrame
                 n1, n2 = int(r["n_left"]), int(r["n_right"])
                 row = {k: r[k] for k in keys} | {"n_left": n1, "n_right": n2}
                 if n1 and n2:
-                    u = round((r["r"] + 1) * n1 * n2) / 2
+                    u = r["u"]
                     exact = min(n1, n2) <= 8 and r["_ties"] == 0
                     row |= {"u": u, "p_mann_whitney": mann_whitney_exact(u, n1, n2) if exact else mann_whitney_p(u, n1, n2, tie_sum=r["_ties"]), "d": r["d"]}
-                    row["p_ks"] = ks_exact(r["d"], n1, n2) if n1 * n2 <= EXACT else ks_p(r["d"], n1, n2)
+                    row["p_ks"] = ks_exact(r["d"], n1, n2) if max(n1, n2) <= EXACT else ks_p(r["d"], n1, n2)
                     if min(n1, n2) > 1 and r["_va"] + r["_vb"] > 0:
                         row["t"] = (r["_ma"] - r["_mb"]) / math.sqrt(r["_va"] / n1 + r["_vb"] / n2)
                         row["p_welch"] = welch_p(r["_ma"], r["_va"], n1, r["_mb"], r["_vb"], n2)
@@ -174,8 +140,8 @@ def p_values(df: DataFrame, value: str, left: str, keys: list[str]) -> DataFrame
 
 # p-values in closed form
 
-#: Pairs of values up to which the Kolmogorov-Smirnov p-value is exact.
-EXACT = 250_000
+#: Fixed value: numbers on the larger side up to which the Kolmogorov-Smirnov p-value is exact.
+EXACT = 10_000
 
 
 def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
@@ -194,24 +160,28 @@ def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
 
 
 def ks_exact(d: float, n1: int, n2: int) -> float:
-    """Two-sided: the share of orders of both samples whose largest gap reaches d."""
-    n1, n2 = max(n1, n2), min(n1, n2)
-    inside = np.zeros(n2 + 1)
-    inside[0] = 1.0
-    j = np.arange(n2 + 1)
-    # the share of paths to (i, j) that stay inside: each step's chance is that of drawing from a side
-    for i in range(n1 + 1):
-        ok = np.abs(i / n1 - j / n2) < d - 1e-10
-        if i:
-            inside = np.where(ok, inside * (i / (i + j)), 0.0)
-        else:
-            inside = np.where(ok, inside, 0.0)
-        for k in range(1, n2 + 1):
-            if ok[k]:
-                inside[k] += inside[k - 1] * (k / (i + k))
-            else:
-                inside[k] = 0.0
-    return float(min(1.0, max(0.0, 1.0 - inside[n2])))
+    """Two-sided: the share of orders of both samples whose largest gap reaches d, counted in the band where it doesn't.
+
+    ``out[i]`` is the share of the orders of i values of one and s - i of the other sample that have left the band so far;
+    s grows by one, so a step costs the band's width.
+    """
+    n1, n2 = int(n1), int(n2)
+    n, h = n1 + n2, round(d * n1 * n2)
+    if h < 1:
+        return 1.0
+    out, low = np.ones(n1 + 1), 0
+    out[0] = 0.0
+    for s in range(1, n + 1):
+        lo, hi = max(-((h - 1 - s * n1) // n), 0, s - n2), min((s * n1 + h - 1) // n, s, n1)
+        if lo > hi:
+            return 1.0
+        i = np.arange(lo, hi + 1)
+        step = (s - i) * out[lo : hi + 1]
+        step[int(lo == 0) :] += i[int(lo == 0) :] * out[max(lo - 1, 0) : hi]
+        out[low:lo] = 1.0
+        out[lo : hi + 1] = step / s
+        low = lo
+    return float(min(1.0, out[n1]))
 
 
 def normal_tail(z: float) -> float:
@@ -271,94 +241,3 @@ def spearman_p(rho: float, n: int) -> float:
     if n < 3 or rho is None:
         return float("nan")
     return 0.0 if abs(rho) >= 1 else t_p(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
-
-
-# resampling
-
-
-def compare_halves(a: np.ndarray, b: np.ndarray, units_a=None, units_b=None, n_boot: int = 2000, seed: int = 0) -> dict:
-    """Cliff's delta with a 95 % percentile interval; with units, whole units are drawn, once for both sides.
-
-    The p-value of the unit bootstrap is twice the smaller share beyond 0, within [1 / n_boot, 1]; without units it is
-    the Mann-Whitney one. Fewer than two finite values on a side give NaN.
-    """
-    a, b = np.asarray(a, float), np.asarray(b, float)
-    ka, kb = np.isfinite(a), np.isfinite(b)
-    ua, ub = (None, None) if units_a is None else (np.asarray(units_a)[ka], np.asarray(units_b)[kb])
-    a, b = a[ka], b[kb]
-    nan = float("nan")
-    if min(len(a), len(b)) < 2:
-        return {"r": nan, "lo": nan, "hi": nan, "p": nan, "n_left": len(a), "n_right": len(b)}
-    rng = np.random.default_rng(seed)
-
-    def delta(x: np.ndarray, y: np.ndarray) -> float:
-        s = np.sort(y)
-        u = (np.searchsorted(s, x, "left") + np.searchsorted(s, x, "right")).sum() / 2
-        return float(2 * u / (len(x) * len(y)) - 1)
-
-    r = delta(a, b)
-    if ua is None:
-        boot = np.array([delta(rng.choice(a, len(a)), rng.choice(b, len(b))) for _ in range(n_boot)])
-        _, ties = np.unique(np.concatenate([a, b]), return_counts=True)
-        u = round((r + 1) * len(a) * len(b)) / 2
-        exact = min(len(a), len(b)) <= 8 and ties.max() == 1
-        p = mann_whitney_exact(u, len(a), len(b)) if exact else mann_whitney_p(u, len(a), len(b), ties.tolist())
-    else:
-        # sums of signs between units once, then each draw is a quadratic form in the units' multiplicities
-        units = np.unique(np.concatenate([ua, ub]))
-        ia, ib = np.searchsorted(units, ua), np.searchsorted(units, ub)
-        sign = np.zeros((len(units), len(units)))
-        ob = np.argsort(ib, kind="stable")
-        cuts = np.searchsorted(ib[ob], np.arange(len(units) + 1))
-        for v in range(len(units)):
-            s = np.sort(b[ob[cuts[v] : cuts[v + 1]]])
-            above = np.searchsorted(s, a, "left") - (len(s) - np.searchsorted(s, a, "right"))
-            sign[:, v] = np.bincount(ia, above, len(units))
-        na, nb = np.bincount(ia, minlength=len(units)), np.bincount(ib, minlength=len(units))
-        boot = []
-        for _ in range(n_boot):
-            m = np.bincount(rng.integers(0, len(units), len(units)), minlength=len(units))
-            n = (m @ na) * (m @ nb)
-            if n:
-                boot.append(m @ sign @ m / n)
-        boot = np.array(boot)
-        p = float(np.clip(2 * min((boot <= 0).mean(), (boot >= 0).mean()), 1 / n_boot, 1))
-    lo, hi = np.percentile(boot, [2.5, 97.5])
-    return {"r": r, "lo": float(lo), "hi": float(hi), "p": p, "n_left": len(a), "n_right": len(b)}
-
-
-def bootstrap(df: DataFrame, value: str, left: str, keys: list[str], unit: str | None = None, n_boot: int = 2000, seed: int = 0) -> DataFrame:
-    """``compare_halves`` by keys, each group in a task (groups are metrics of a cohort)."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(pdf.columns))
-        a, b = pdf[pdf["_l"]], pdf[~pdf["_l"]]
-        out = compare_halves(a["_v"], b["_v"], a["_u"] if unit else None, b["_u"] if unit else None, n_boot, seed)
-        return pd.DataFrame([{**dict(zip(keys, key, strict=True)), **{k: None if isinstance(v, float) and math.isnan(v) else v for k, v in out.items()}}])
-
-    d = df.select(*keys, F.col(value).cast("double").alias("_v"), F.col(left).alias("_l"), (F.col(unit) if unit else F.lit(0)).alias("_u")).where("_l is not null")
-    schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + ["r double, lo double, hi double, p double, n_left long, n_right long"])
-    return d.groupBy(*keys).applyInPandas(run, schema)
-
-
-def mantel(a: np.ndarray, b: np.ndarray, permutations: int = 999, seed: int = 0) -> tuple[float, float]:
-    """Rank correlation of two symmetric matrices' upper halves and its permutation p; NaN below five members."""
-    n = len(a)
-    if n < 5:
-        return float("nan"), float("nan")
-    i, j = np.triu_indices(n, 1)
-
-    def ranks(x: np.ndarray) -> np.ndarray:
-        _, inv, k = np.unique(x, return_inverse=True, return_counts=True)
-        r = (np.cumsum(k) - (k - 1) / 2)[inv]
-        r = r - r.mean()
-        return r / (np.sqrt((r * r).sum()) or 1)
-
-    ra, rb = ranks(a[i, j]), ranks(b[i, j])
-    square = np.zeros((n, n))
-    square[i, j] = square[j, i] = ra
-    seen, rng, count = float(ra @ rb), np.random.default_rng(seed), 1
-    for _ in range(permutations):
-        o = rng.permutation(n)
-        count += abs(float(square[np.ix_(o, o)][i, j] @ rb)) >= abs(seen) - 1e-12
-    return seen, count / (permutations + 1)

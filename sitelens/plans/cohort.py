@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import Config
-from ..operators import alignment, binning, clusters, density, filters, spatial, stats
+from ..operators import alignment, binning, clusters, density, filters, resampling, spatial
 from ..sources import readers
 
 
@@ -83,14 +83,14 @@ def load_cohorts(spark: SparkSession, folder: str, cohorts: list[str], c: Config
     return out
 
 
-def comparison_table(df: DataFrame, metrics: list[str], left: str, cohort: str = "cohort", unit: str | None = None, n_boot: int = 2000) -> DataFrame:
+def comparison_table(df: DataFrame, metrics: list[str], left: str, cohort: str = "cohort", unit: str | None = None, n_boot: int = 2000, test: str = "mannwhitney") -> DataFrame:
     """Per metric and cohort: medians and quartiles of both sides, effect with interval, p and its mark."""
     from ..functions.scalars import stars
 
     long = df.select(cohort, left, *([unit] if unit else []), *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([cohort, left, *([unit] if unit else [])], metrics, "metric", "value")
     iqr = binning.median_iqr(long.where(F.col(left).isNotNull()), "value", ["metric", cohort, left])
     sides = [iqr.where(F.col(left) == v).select("metric", cohort, *[F.col(c).alias(f"{c}_{name}") for c in ("n", "median", "q1", "q3")]) for v, name in ((True, "left"), (False, "right"))]
-    boot = stats.bootstrap(long, "value", left, ["metric", cohort], unit, n_boot).select("metric", cohort, "r", F.struct("lo", "hi").alias("ci"), "p").withColumn("sig", stars("p"))
+    boot = resampling.bootstrap(long, "value", left, ["metric", cohort], unit, n_boot, test=test).select("metric", cohort, "r", F.struct("lo", "hi").alias("ci"), "p").withColumn("sig", stars("p"))
     return sides[0].join(sides[1], ["metric", cohort], "full").join(boot, ["metric", cohort], "left")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import binning, clusters, density, filters, partitions, spatial, stats
+from ..operators import binning, clusters, density, filters, partitions, resampling, spatial, stats
 from ..sources import readers
 
 QUERIES: dict = {}
@@ -501,10 +501,26 @@ def comparison_effects(spark, d):
     return rounded(stats.cliffs_delta(x, "v", "lft", ["metric", "cohort"]), "r")
 
 
-@query("bootstrap_ci")
+def _mix_sql(x: str, out: str) -> str:
+    """Columns that end in ``out``: the bits of x spread as in ``resampling``."""
+    return f"CAST({x} AS UBIGINT) AS {out}0, xor({out}0, {out}0 >> 16) AS {out}1, ({out}1 * 2246822507) % 4294967296 AS {out}2, xor({out}2, {out}2 >> 13) AS {out}3, ({out}3 * 3266489909) % 4294967296 AS {out}4, xor({out}4, {out}4 >> 16) AS {out}"
+
+
+@query("bootstrap_ci", f"""
+WITH u AS (SELECT cohort, unit, row_number() OVER (PARTITION BY cohort ORDER BY unit) - 1 AS idx, count(*) OVER (PARTITION BY cohort) AS n FROM (SELECT DISTINCT cohort, unit FROM v_split)),
+b AS (SELECT draw, {_mix_sql("draw + 1", "h")} FROM range(2000) r(draw)), k AS (SELECT cohort, draw, n, {_mix_sql("(h + idx * 2654435769) % 4294967296", "x")} FROM u, b),
+m AS (SELECT cohort, draw, CAST((x * n) >> 32 AS BIGINT) AS idx, count(*) AS k FROM k GROUP BY ALL),
+w AS (SELECT cohort, draw, price, coalesce(sum(k) FILTER (lft), 0) AS a, coalesce(sum(k) FILTER (NOT lft), 0) AS b FROM v_split JOIN u USING (cohort, unit) JOIN m USING (cohort, idx) GROUP BY ALL
+  UNION ALL SELECT cohort, -1, price, count(*) FILTER (lft), count(*) FILTER (NOT lft) FROM v_split GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY cohort, draw ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w),
+e AS (SELECT cohort, draw, sum(a) AS n_left, sum(b) AS n_right, CASE WHEN sum(a) * sum(b) > 0 THEN 2 * sum(a * (below + b / 2)) / (sum(a) * sum(b)) - 1 END AS r FROM c GROUP BY ALL),
+s AS (SELECT cohort, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi, least(1.0, greatest(0.0005, 2 * least(avg(CAST(r <= 0 AS INTEGER)), avg(CAST(r >= 0 AS INTEGER))))) AS p FROM e WHERE draw >= 0 AND r IS NOT NULL GROUP BY 1)
+SELECT cohort, CASE WHEN ok THEN round(r, 6) END AS r, CASE WHEN ok THEN round(lo, 6) END AS lo, CASE WHEN ok THEN round(hi, 6) END AS hi, CASE WHEN ok THEN round(p, 6) END AS p, n_left, n_right
+FROM (SELECT cohort, r, CAST(n_left AS BIGINT) AS n_left, CAST(n_right AS BIGINT) AS n_right, n_left > 1 AND n_right > 1 AS ok FROM e WHERE draw = -1) LEFT JOIN s USING (cohort)
+""")
 def bootstrap_ci(spark, d):
     x = v_split(spark, d)
-    return rounded(stats.bootstrap(x, "price", "lft", ["cohort"], "unit"), "r", "lo", "hi", "p")
+    return rounded(resampling.bootstrap(x, "price", "lft", ["cohort"], "unit"), "r", "lo", "hi", "p")
 
 
 # partitions
@@ -569,17 +585,20 @@ def linkage(spark, d):
     return partitions.linkage_labels(partitions.symmetrise(_pairs(spark, d), "i", "j", "v"), "i", "j", "v", 3.0)
 
 
-@query("mantel")
+@query("mantel", f"""
+WITH {_PAIRS_SQL}, q AS (SELECT p.i, p.j, (p.v + q.v) / 2 AS a, round((p.v + q.v) / 2) AS b FROM p JOIN p q ON p.i = q.j AND p.j = q.i WHERE p.i < p.j),
+m AS (SELECT cluster_id AS m, row_number() OVER (ORDER BY cluster_id) - 1 AS idx FROM v_clusters),
+r AS (SELECT x.idx AS i, y.idx AS j, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM q JOIN m x ON x.m = q.i JOIN m y ON y.m = q.j),
+z AS (SELECT i, j, ra - avg(ra) OVER () AS a, rb - avg(rb) OVER () AS b FROM r), s AS (SELECT i, j, a FROM z UNION ALL SELECT j, i, a FROM z),
+h AS (SELECT draw, {_mix_sql("draw + 1", "h")} FROM range(999) t(draw)), k AS (SELECT draw, idx, {_mix_sql("(h + idx * 2654435769) % 4294967296", "x")} FROM m, h),
+o AS (SELECT draw, idx, row_number() OVER (PARTITION BY draw ORDER BY x, idx) - 1 AS place FROM k),
+t AS (SELECT oi.draw, sum(s.a * z.b) AS v FROM z JOIN o oi ON oi.place = z.i JOIN o oj ON oj.place = z.j AND oj.draw = oi.draw JOIN s ON s.i = oi.idx AND s.j = oj.idx GROUP BY 1),
+n AS (SELECT sum(a * b) AS v, sqrt(sum(a * a)) * sqrt(sum(b * b)) AS size FROM z)
+SELECT (SELECT count(*) FROM m) AS n, round(n.v / n.size, 6) AS rho, round((1 + count(*) FILTER (abs(t.v / n.size) >= abs(n.v / n.size) - 1e-12)) / 1000, 6) AS p FROM t, n GROUP BY n.v, n.size
+""")
 def mantel(spark, d):
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf.pivot(index="i", columns="j", values="v").to_numpy()
-        r, p = stats.mantel(a, np.round(a))
-        return pd.DataFrame({"rho": [round(r, 6)], "p": [round(p, 6)]})
-
-    return partitions.symmetrise(_pairs(spark, d), "i", "j", "v").groupBy(F.lit(1).alias("_g")).applyInPandas(run, "rho double, p double")
+    p = partitions.symmetrise(_pairs(spark, d), "i", "j", "v").withColumn("whole", F.round("v"))
+    return rounded(resampling.mantel(p, "i", "j", "v", "whole"), "rho", "p")
 
 
 @query("hdbscan")

@@ -41,8 +41,8 @@ def test_flagship(spark, sf_dir):
 
 def test_queries_do_the_whole_job(spark, sf_dir, monkeypatch):
     draws = []
-    boot = q.stats.bootstrap
-    monkeypatch.setattr(q.stats, "bootstrap", lambda *a, **k: draws.append((a[5:], k)) or boot(*a, **k))
+    boot = q.resampling.bootstrap
+    monkeypatch.setattr(q.resampling, "bootstrap", lambda *a, **k: draws.append((a[5:], k)) or boot(*a, **k))
     q.bootstrap_ci(spark, sf_dir)
     assert draws == [((), {})] and boot.__defaults__[1] == 2000
     monkeypatch.undo()
