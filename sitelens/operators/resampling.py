@@ -261,8 +261,8 @@ def _permuted(permutations: int, shares: int, seed: int) -> callable:
 def mantel(pairs: DataFrame, i: str, j: str, a: str, b: str, permutations: int = 999, seed: int = 0) -> DataFrame:
     """(n, rho, p): rank correlation of two distances of the same pairs, and the share of permutations that reach it.
 
-    A pair may come once or both ways (distances are averaged); members that lack a distance to another are left out;
-    with fewer than five left rho and p are NULL. A task has a share of the permutations and the table of one distance,
+    A pair may come once or both ways (distances are averaged); members that lack a distance to any other, of all
+    that occur, are left out; with fewer than five left rho and p are NULL. A task has a share of the permutations and the table of one distance,
     8 bytes for each two members.
     """
     p = pairs.where(F.col(i) != F.col(j)).select(F.least(i, j).alias("x"), F.greatest(i, j).alias("y"), finite(a).alias("a"), finite(b).alias("b"))
