@@ -94,19 +94,19 @@ def counted(df: DataFrame, keys: list[str], value: str, left: str | None = None)
 def quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str] = ()) -> DataFrame:
     """(keys, n, q): exact quantiles of the finite values, interpolated; no group is held in one buffer."""
     keys = list(keys)
-    o = Ordered(counted(df, keys, value), keys, "_v", ["n"])
+    o = Ordered(counted(df, keys, value).withColumnRenamed("n", "_n"), keys, "_v", ["_n"])
     width = F.greatest(F.lit(1), F.floor(F.col("_total") / CELLS))
-    total = o.totals.withColumnRenamed("n", "_total")
+    total = o.totals.withColumnRenamed("_n", "_total")
     # the two ranks beside each quantile, looked up in their cells only
-    h, at = F.col("p") * (F.col("_total") - 1), lambda side, f: F.struct(F.lit(side).alias("side"), f(h).cast("long").alias("rank"))
-    ranks = total.select(*keys, "_total", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("k", "p"))
-    ranks = ranks.select(*keys, "_total", "k", (h - F.floor(h)).alias("f"), F.explode(F.array(at(0, F.floor), at(1, F.ceil))).alias("at"))
-    ranks = ranks.select(*keys, "_total", "k", "f", "at.*").withColumn("_cell", F.floor(F.col("rank") / width))
+    h, at = F.col("_p") * (F.col("_total") - 1), lambda side, f: F.struct(F.lit(side).alias("_side"), f(h).cast("long").alias("_rank"))
+    ranks = total.select(*keys, "_total", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_k", "_p"))
+    ranks = ranks.select(*keys, "_total", "_k", (h - F.floor(h)).alias("_f"), F.explode(F.array(at(0, F.floor), at(1, F.ceil))).alias("_at"))
+    ranks = ranks.select(*keys, "_total", "_k", "_f", "_at.*").withColumn("_cell", F.floor(F.col("_rank") / width))
     r = joined(o.rows, total, keys, o.parts)
-    r = r.select(*keys, "_v", "n", "_before_n", F.explode(F.sequence(F.floor(F.col("_before_n") / width), F.floor((F.col("_before_n") + F.col("n") - 1) / width))).alias("_cell"))
-    held = (F.col("rank") >= F.col("_before_n")) & (F.col("rank") < F.col("_before_n") + F.col("n"))
+    r = r.select(*keys, "_v", "_n", "_before__n", F.explode(F.sequence(F.floor(F.col("_before__n") / width), F.floor((F.col("_before__n") + F.col("_n") - 1) / width))).alias("_cell"))
+    held = (F.col("_rank") >= F.col("_before__n")) & (F.col("_rank") < F.col("_before__n") + F.col("_n"))
     two = r.join(sent(ranks, o.parts * 2 * len(probs)), [*keys, "_cell"]).where(held)
-    lo, hi = F.max(F.when(F.col("side") == 0, F.col("_v"))), F.max(F.when(F.col("side") == 1, F.col("_v")))
-    two = two.groupBy(*keys, F.col("_total").alias("n"), "k").agg(F.first("f").alias("f"), lo.alias("lo"), hi.alias("hi"))
-    two = two.withColumn("_q", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f"))
-    return two.groupBy(*keys, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "_q"))), lambda x: x["_q"]).alias("q"))
+    lo, hi = F.max(F.when(F.col("_side") == 0, F.col("_v"))), F.max(F.when(F.col("_side") == 1, F.col("_v")))
+    two = two.groupBy(*keys, F.col("_total").alias("n"), "_k").agg(F.first("_f").alias("_f"), lo.alias("_lo"), hi.alias("_hi"))
+    two = two.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))
+    return two.groupBy(*keys, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_q"))), lambda x: x["_q"]).alias("q"))
