@@ -2,12 +2,16 @@
 
 ``format_windows`` returns a row per window: conv_id, window (tokens of the conversation before it), formatted,
 loss_spans, n_tokens. Prefix sums of turn tokens come block by block of turn numbers, so that one endless conversation is
-dealt over many tasks; within a block each window takes turns as long as they fit the budget. Every later window begins
-with the leading system turn and with as many last turns of the one before as fit ``history`` tokens and the budget.
+dealt over many tasks. Each window takes turns as long as they fit the budget, across blocks: a block states, for each of
+its turns that can be the first without room in the window it meets, where the window then open at its end starts (some
+hundred entries at most, as a turn has four tokens at least); these tables are composed in block order. So windows depend
+on the order of the turns only, not on their numbers. Every later window begins with the leading system turn and with as
+many last turns of the one before as fit ``history`` tokens and the budget.
 Repeats are marked ``<|again|>`` and never under the loss mask, so each assistant text is a target once.
 
 Defined cases: null role or text counts as empty; a null conv_id is a conversation of its own; turns are ordered by
-(turn, role, text), null turn first, and equal rows are turns of their own; a window exceeds the budget only if a single
+(turn, role, text), null turn first, and equal rows are turns of their own; turns whose numbers share a block, as all null
+ones do, are put in order in one task; a window exceeds the budget only if a single
 turn, with the system turn, does, as turns are never cut (however long); no rows give no rows; other columns are ignored.
 """
 
@@ -20,7 +24,7 @@ TURN, AGAIN, SAYS, END = "<|turn|>", "<|again|>", "<|says|>", "<|end|>"
 #: Where a backslash goes: before a backslash, and after the first character of a control string.
 _CONTROL = r"\\|(?<=<)(?=\||/?s>|</?SYS>>|/?SYS>>)|(?<=\[)(?=/?INST\])"
 #: Turns whose numbers share this quotient are summed together first.
-_BLOCK = 256
+_BLOCK = 4096
 
 
 def escape(c: Column) -> Column:
@@ -57,16 +61,31 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 128) ->
     )
     has_system = F.col("head.role") == "system"
     again_tok = F.when(has_system, F.col("head.tok")).otherwise(0)
-    # where windows start in the block: a turn that the open window has no room for begins the next one
-    room = F.when(F.col("base") > 0, F.lit(0)).otherwise(F.lit(budget))
     later = F.greatest(F.lit(1), budget - history - again_tok)
+    starts = lambda x: x["to"] - x["tok"]
+    # the open window of a conversation's first turns has the whole budget
+    room = lambda first: F.when(first, F.greatest(F.lit(budget), later)).otherwise(later)
+    cut_at = lambda base: lambda o, x: F.when((starts(x) > o) & (x["to"] - o > room(base + o == 0)), starts(x)).otherwise(o)
+    met = F.filter("toks", lambda x: (F.col("base") > 0) & (starts(x) <= budget))
+    leaves = F.transform(met, lambda c: F.struct(c["to"].alias("to"), F.aggregate(F.filter("toks", lambda x: x["to"] > c["to"]), starts(c), cut_at(F.lit(1))).alias("open")))
+    by_blk = by_blk.withColumns({"leaves": leaves, "alone": F.when(F.col("base") == 0, F.aggregate("toks", zero, cut_at(zero))), "later": later})
+
+    def through(a: Column, x: Column) -> Column:
+        limit = F.when(a["open"] == 0, F.greatest(F.lit(budget), x["later"])).otherwise(x["later"])
+        hit = F.get(F.filter(x["leaves"], lambda y: x["base"] + y["to"] - a["open"] > limit), F.lit(0))
+        out = F.when(x["base"] == 0, x["alone"]).when(hit.isNotNull(), x["base"] + hit["open"]).otherwise(a["open"])
+        return F.struct(out.alias("open"), F.concat(a["met"], F.array(F.struct(x["b"].alias("b"), a["open"].alias("open")))).alias("met"))
+
+    none = F.struct(zero.alias("open"), F.array().cast("array<struct<b:bigint,open:bigint>>").alias("met"))
+    opened = by_blk.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("b", "base", "alone", "leaves", "later"))).alias("x"))
+    opened = opened.select("c", F.explode(F.aggregate("x", none, through, lambda a: a["met"])).alias("m")).select("c", "m.b", "m.open")
+    by_blk = by_blk.alias("l").join(opened.alias("r"), F.col("l.c").eqNullSafe(F.col("r.c")) & (F.col("l.b") == F.col("r.b"))).select("l.*", (F.col("r.open") - F.col("l.base")).alias("open"))
 
     def step(a: Column, x: Column) -> Column:
-        fits = (x["to"] - x["tok"] == a["open"]) | (x["to"] - a["open"] <= F.when(a["open"] == 0, F.greatest(room, later)).otherwise(later))
-        open_ = F.when(fits, a["open"]).otherwise(x["to"] - x["tok"])
-        return F.struct(open_.alias("open"), F.when(fits, a["cuts"]).otherwise(F.concat(a["cuts"], F.array(x["to"] - x["tok"]))).alias("cuts"))
+        open_ = cut_at(F.col("base"))(a["open"], x)
+        return F.struct(open_.alias("open"), F.when(open_ == a["open"], a["cuts"]).otherwise(F.concat(a["cuts"], F.array(open_))).alias("cuts"))
 
-    cuts = F.aggregate("toks", F.struct(zero.alias("open"), F.array(zero).alias("cuts")), step, lambda a: a["cuts"])
+    cuts = F.aggregate("toks", F.struct(F.col("open").alias("open"), F.array("open").alias("cuts")), step, lambda a: a["cuts"])
     by_blk = by_blk.select("c", "b", "base", "head", "total", cuts.alias("cuts"))
     t = t.join(by_blk, t["conv_id"].eqNullSafe(by_blk["c"]) & (t["blk"] == by_blk["b"]))
     t = t.withColumn("stop", F.col("base") + F.col("to")).withColumn("start", F.col("stop") - F.col("tok"))
@@ -171,14 +190,13 @@ WITH RECURSIVE t AS (
 ), s AS MATERIALIZED (
   SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY n) AS stop,
     sum(tok) OVER (PARTITION BY conv_id) AS total,
-    lag(turn // 256) OVER (PARTITION BY conv_id ORDER BY n) IS DISTINCT FROM turn // 256 AS fresh,
     max(CASE WHEN n = 1 AND role = 'system' THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) AS sys,
     max(CASE WHEN n = 1 AND role = 'system' THEN chars + 6 ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_chars
   FROM k
 ), r AS (
   SELECT conv_id, n, CAST(0 AS HUGEINT) AS win FROM s WHERE n = 1
   UNION ALL
-  SELECT s.conv_id, s.n, CASE WHEN s.fresh OR s.stop - r.win > CASE WHEN r.win = 0 THEN 1024 ELSE greatest(1, 1024 - 128 - sys) END THEN s.stop - s.tok ELSE r.win END
+  SELECT s.conv_id, s.n, CASE WHEN s.stop - r.win > CASE WHEN r.win = 0 THEN 1024 ELSE greatest(1, 1024 - 128 - sys) END THEN s.stop - s.tok ELSE r.win END
   FROM r JOIN s ON s.conv_id = r.conv_id AND s.n = r.n + 1
 ), e AS (
   SELECT s.*, win, max(stop) OVER (PARTITION BY s.conv_id, win) AS ends, sum(tok) OVER (PARTITION BY s.conv_id, win) AS held,

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from sitelens.llm import chat
 
 
@@ -35,7 +37,9 @@ def test_query_digests(spark, sf_dir):
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
-def test_windows_keep_the_budget(spark):
+@pytest.mark.parametrize("block", [4, 4096])
+def test_windows_keep_the_budget(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "_BLOCK", block)
     r = random.Random(7)
     rows = []
     for c in range(60):
@@ -55,7 +59,7 @@ def test_windows_keep_the_budget(spark):
         want, at, open_, first = [0], 0, 0, True
         for x in own:
             room = 1024 if open_ == 0 else 1024 - 128 - head
-            if at > open_ and (at + tok(x) - open_ > room or x[1] % 256 == 0):
+            if at > open_ and (at + tok(x) - open_ > room):
                 open_ = at
                 want.append(at)
             at += tok(x)
@@ -66,3 +70,20 @@ def test_windows_keep_the_budget(spark):
             assert n <= 1024 or (single and end - w + head > 1024)
             over += n > 1024
     assert over and len(got) == 60
+
+
+def test_turn_numbers_only_order(spark):
+    """Sparse numbers, and ten thousand turns, give the windows that counting from 0 does."""
+    turns = [(k % 7 * 13 + k % 3) for k in range(10_000)]
+    rows = [(c, k * (1, 4096, 100_000)[c], "user" if k % 2 else "assistant", "w " * n) for c in range(3) for k, n in enumerate(turns[: (10_000, 300, 300)[c]])]
+    rows += [(3, k, *r[2:]) for k, r in enumerate(x for x in rows if x[0] == 1)]
+    got = {}
+    for x in chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("conv_id", "window", "n_tokens").collect():
+        got.setdefault(x["conv_id"], set()).add((x["window"], x["n_tokens"]))
+    assert got[1] == got[2] == got[3] and max(n for _, n in got[0]) <= 1024
+    at, want = 0, [0]
+    for n in turns:
+        if at + n + 4 - want[-1] > (1024 if want[-1] == 0 else 896):
+            want.append(at)
+        at += n + 4
+    assert sorted(w for w, _ in got[0]) == want
