@@ -274,14 +274,15 @@ def repeated_runs(docs: DataFrame, num: int = 80, den: int = 100, min_words: int
     size = met.groupBy("component").agg(F.count("*").alias("nodes"))
     met = met.join(size, "component")
     sets = docs.select("text").mapInArrow(_sets_of(_filter(met, "node", met.count())), "node long, set binary").join(met, "node")
-    sets, _ = table(sets, "sets")
+    # every task that holds a paragraph has sent its set: one stays
+    sets, _ = table(sets.dropDuplicates(["node"]), "sets")
     total = sets.agg(F.coalesce(F.sum(F.length("set")), F.lit(0)).alias("s"), F.coalesce(F.avg(F.length("set")), F.lit(64.0)).alias("m")).first()
     most = max(2, int(group_bytes // max(total["m"], 6)))
     share = F.ceil(F.col("nodes") / most)
     groups = max(24, int(total["s"] * 3 // group_bytes) + 1)
     grp = F.when(share <= 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.xxhash64("component", F.pmod(F.xxhash64("node"), share)))
     links, _ = table(sets.select("component", "node", "set", grp.alias("grp")).groupBy("grp").applyInArrow(_exact(num, den), "u long, v long"), "links")
-    large = sets.where(share > 1).dropDuplicates(["node"]).select("component", "node", "set")
+    large = sets.where(share > 1).select("component", "node", "set")
     if size.where(F.col("nodes") > most).limit(1).count():
         # first the edges, then whatever is still apart
         large, _ = table(large, "large")

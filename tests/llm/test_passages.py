@@ -154,3 +154,20 @@ def test_very_long_texts_and_ids_of_several_texts(spark):
     assert len(by[1]) == 1 and abs(by[1][0][0] - 150_000) <= 10 and abs(by[1][0][1] - 150_070) <= 10 and by[1][0][2] == 1
     assert len(by[2]) == 1 and by[2][0][2] == 1 and not by[6]
     assert len(by[3]) == 2 and by[3][0][0] <= 10 and by[3][1][0] >= 50 and len(by[4]) == len(by[5]) == 1
+
+
+def test_groups_hold_each_paragraph_once(spark, monkeypatch):
+    """A paragraph that a hundred tasks hold is one row of its group."""
+    seen, table = {}, passages.table
+
+    def watched(df, name):
+        out = table(df, name)
+        seen[name] = out[0]
+        return out
+
+    monkeypatch.setattr(passages, "table", watched)
+    one, two = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    df = spark.createDataFrame([(k, f"{one}\n{two} {k % 2}") for k in range(400)], "doc_id long, text string").repartition(100)
+    assert passages.repeated_runs(df).count() == 400
+    sets = seen["sets"]
+    assert sets.count() == sets.select("node").distinct().count() <= 40
