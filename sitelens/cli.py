@@ -23,9 +23,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-q", "--quiet", action="store_true")
     p.add_argument("-j", "--jobs", type=int, help="local threads; on a cluster the master decides")
     sub = p.add_subparsers(dest="stage", required=True)
-    for name in ("metadata", "filter", "align", "cluster", "search", "pairwise", "zscore"):
+    for name in ("metadata", "filter", "align", "cluster", "search", "pairwise", "zscore", "frames"):
         s = sub.add_parser(name)
-        s.add_argument("input", help="folder of structures (for zscore: the members table)")
+        s.add_argument("input", help="folder of structures (for zscore: the members table; for frames: the folder of finished cohorts)")
         s.add_argument("output", help="folder of results")
         s.add_argument("--cohort", help="list file; all structures without it")
         if name in ("align",):
@@ -45,8 +45,11 @@ def parser() -> argparse.ArgumentParser:
         if name == "cluster":
             s.add_argument("--write-cif", action="store_true")
             s.add_argument("--include-noise", action="store_true")
-        if name == "pairwise":
+        if name in ("pairwise", "frames"):
             s.add_argument("--match-radius", type=float)
+        if name == "frames":
+            s.add_argument("--cohorts", nargs="+", required=True, help="subfolders with cluster_members.csv and clusters.csv")
+            s.add_argument("--consensus-cutoff", type=float)
         if name == "metadata":
             s.add_argument("--entries", help="folder of archive entries as JSON")
         if name == "zscore":
@@ -62,11 +65,15 @@ def address(path: str) -> str:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.ERROR if a.quiet else logging.INFO)
-    names = ("distance_cutoff", "edia_cutoff", "bfactor_cutoff", "bfactor_mode", "bfactor_population", "cluster_radius", "match_radius", "min_cluster_size", "min_samples")
+    names = ("consensus_cutoff", "distance_cutoff", "edia_cutoff", "bfactor_cutoff", "bfactor_mode", "bfactor_population", "cluster_radius", "match_radius", "min_cluster_size", "min_samples")
     c = Config.load(a.config, **{n: getattr(a, n, None) for n in names})
     if spark is None:
         b = SparkSession.builder.appName("sitelens")
         spark = (b.master(f"local[{a.jobs}]") if a.jobs else b).getOrCreate()
+    if a.stage == "frames":
+        for name, df in zip(("waters", "structures", "summary"), stages.load_cohorts(spark, a.input, a.cohorts, c), strict=True):
+            writers.write_csv(df, f"{a.output}/{name}.csv", one_file=name != "waters")
+        return
     source = a.structures if a.stage == "zscore" else a.input
     atoms, structures, scores = stages.load(spark, source)
     if a.cohort:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import max_cell_diff
+from ..shared import kept
 
 CELL = ("cell_a", "cell_b", "cell_c", "cell_alpha", "cell_beta", "cell_gamma")
 
@@ -152,9 +153,86 @@ def cophenetic(merges: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Members up to which a group's tree is made in one task.
+IN_TASK = 3000
+
+
+def linkage_merges(pairs: DataFrame, i: str, j: str, value: str, group: list[str] = ()) -> DataFrame:
+    """(group, lo, hi, height): the merges of complete linkage, named by their classes' least members, for groups of any size.
+
+    In a round all classes that are each other's nearest merge (by distance, then names), and distances become the larger
+    of both, as one aggregate; missing distances count as the largest of the group.
+    """
+    group = list(group)
+    both = [(i, j), (j, i)]
+    d = pairs.where(F.col(i) != F.col(j)).select(*group, F.explode(F.array(*[F.struct(F.col(a).alias("i"), F.col(b).alias("j")) for a, b in both])).alias("x"), F.col(value).cast("double").alias("d"))
+    d = d.select(*group, "x.i", "x.j", F.nanvl("d", F.lit(None).cast("double")).alias("d")).groupBy(*group, "i", "j").agg(F.max("d").alias("d"))
+    d = kept(d)
+    of = lambda c: d.select(*group, F.col("i").alias(c)).distinct()
+    every = of("i").join(of("j"), group) if group else of("i").join(of("j"), F.lit(True))
+    most = d.groupBy(*group).agg(F.coalesce(F.max("d"), F.lit(0.0)).alias("_most"))
+    d = every.where("i <> j").join(d, [*group, "i", "j"], "left")
+    d = d.join(most, group) if group else d.join(F.broadcast(most))
+    d = kept(d.select(*group, "i", "j", F.coalesce("d", "_most").alias("d")))
+    out = None
+    while True:
+        near = d.groupBy(*group, "i").agg(F.min(F.struct("d", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))).alias("n"))
+        met = kept(near.groupBy(*group, F.col("n.lo").alias("lo"), F.col("n.hi").alias("hi"), F.col("n.d").alias("height")).agg(F.count("*").alias("_k")).where("_k = 2").drop("_k"))
+        if not met.limit(1).count():
+            return met if out is None else out
+        out = met if out is None else out.unionByName(met)
+        for c in ("i", "j"):
+            to = met.select(*group, F.col("hi").alias(c), F.col("lo").alias("_to"))
+            d = d.join(to, [*group, c], "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        d = kept(d.where("i <> j").groupBy(*group, "i", "j").agg(F.max("d").alias("d")))
+
+
+def _cut_merges(names: list, lo: list, hi: list, height: np.ndarray, at: float) -> list[int]:
+    """Labels from 1, by first member, of the classes that merges up to this height make."""
+    where = {v: k for k, v in enumerate(names)}
+    root = list(range(len(names)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for a, b, h in zip(lo, hi, height, strict=True):
+        if h <= at:
+            root[find(where[b])] = find(where[a])
+    seen: dict[int, int] = {}
+    return [seen.setdefault(find(k), len(seen) + 1) for k in range(len(names))]
+
+
+def _labels_by_rounds(pairs: DataFrame, i: str, j: str, value: str, heights: list[float], group: list[str]) -> DataFrame:
+    """(cut, group, member, label) from ``linkage_merges``; a task has a group's members and merges."""
+    kind = pairs.schema[i].dataType.simpleString()
+    merges = linkage_merges(pairs, i, j, value, group).withColumnRenamed("lo", "member")
+    rows = pairs.select(*group, F.explode(F.array(i, j)).alias("member")).distinct().withColumns({"hi": F.lit(None).cast(kind), "height": F.lit(None).cast("double")}).unionByName(merges)
+    schema = ", ".join(["cut double", *[f"{g} {pairs.schema[g].dataType.simpleString()}" for g in group], f"member {kind}", "label int"])
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        merged = pdf["height"].notna()
+        names, m = sorted(pdf.loc[~merged, "member"]), pdf[merged]
+        out = pd.concat([pd.DataFrame({"cut": h, "member": names, "label": _cut_merges(names, m["member"].tolist(), m["hi"].tolist(), m["height"].to_numpy(), h)}) for h in heights])
+        for g, v in zip(group, key, strict=False):
+            out[g] = v
+        return out[["cut", *group, "member", "label"]]
+
+    return rows.groupBy(*(group or [F.lit(0).alias("_g")])).applyInPandas(run, schema)
+
+
+def _largest(pairs: DataFrame, i: str, j: str, group: list[str]) -> int:
+    members = pairs.select(*group, F.explode(F.array(i, j)).alias("m")).distinct()
+    return (members.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]) or 0
+
+
 def linkage_labels(pairs: DataFrame, i: str, j: str, value: str, height: float, group: list[str] = ()) -> DataFrame:
-    """Complete-linkage labels of each group's members, a group in a task (some thousand members at most)."""
+    """Complete-linkage labels of each group's members: a group in a task, or by rounds where one has over ``IN_TASK`` members."""
     group = list(group)
+    if _largest(pairs, i, j, group) > IN_TASK:
+        return _labels_by_rounds(pairs, i, j, value, [height], group).drop("cut")
     schema = ", ".join([f"{g} {pairs.schema[g].dataType.simpleString()}" for g in group] + [f"member {pairs.schema[i].dataType.simpleString()}", "label int"])
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,6 +274,8 @@ def agreement_sweep(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def linkage_sweep(pairs: DataFrame, i: str, j: str, value: str, heights: list[float]) -> DataFrame:
     """(cut, member, label) of one complete-linkage tree cut at several heights."""
+    if _largest(pairs, i, j, []) > IN_TASK:
+        return _labels_by_rounds(pairs, i, j, value, heights, [])
     kind = pairs.schema[i].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -225,11 +305,26 @@ def leaf_order(pairs: DataFrame, i: str, j: str, value: str) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, d = _matrix(pdf, i, j, value)
-        held = {k: [k] for k in range(len(names))}
-        while len(held) > 1:
-            keys = sorted(held)
-            _, a, b = min((float(np.mean(d[np.ix_(held[x], held[y])])), x, y) for n, x in enumerate(keys) for y in keys[n + 1 :])
+        n = len(names)
+        held, size = {k: [k] for k in range(n)}, np.ones(n)
+        # the mean distance of two merged classes is the mean of theirs, weighted by their sizes
+        d = d.copy()
+        np.fill_diagonal(d, np.inf)
+        best = d.min(1) if n else d
+        for _ in range(n - 1):
+            a = int(best.argmin())
+            b = int(d[a].argmin())
+            a, b = min(a, b), max(a, b)
+            mean = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+            mean[a] = np.inf
+            stale = np.flatnonzero((best == d[:, a]) | (best == d[:, b]))
+            d[a], d[:, a] = mean, mean
+            d[b], d[:, b] = np.inf, np.inf
+            size[a] += size[b]
             held[a] += held.pop(b)
+            best = np.minimum(best, d[:, a])
+            best[stale] = d[stale].min(1)
+            best[a], best[b] = d[a].min(), np.inf
         return pd.DataFrame({"member": [names[k] for k in next(iter(held.values()))], "place": range(len(names))})
 
     return pairs.groupBy(F.lit(0).alias("_g")).applyInPandas(run, f"member {kind}, place int")

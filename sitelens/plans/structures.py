@@ -8,7 +8,7 @@ from ..functions import scalars as s
 from ..operators import alignment, binning, clusters, density, filters, partitions, spatial, stats
 from ..sources import readers, writers
 from . import cohort as stages
-from .queries import query, rounded, t, v_clusters, v_members, v_meta, v_points, v_pr
+from .queries import _mix_sql, query, rounded, t, v_clusters, v_members, v_meta, v_points, v_pr
 
 # texts of structures
 
@@ -318,29 +318,66 @@ _LONG = """m AS (SELECT 'c' || (id % 2) AS cohort, cluster_id >= 3 AS lft, 'x' A
 n AS (SELECT metric, cohort, v, count(*) FILTER (lft) AS a, count(*) FILTER (NOT lft) AS b FROM m GROUP BY ALL), w AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY metric, cohort ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM n)"""
 
 
+#: Areas by midpoints: of the normal density within z, and of cos^(df - 1), whose share beyond an angle is Student's p.
+_NORMAL_P = "1 - 2 * (SELECT sum(exp(0 - ((k + 0.5) / 20000 * z) ** 2 / 2)) FROM range(20000) r(k)) * z / 20000 / sqrt(2 * pi())"
+_T_P = "1 - (SELECT sum(cos((k + 0.5) / 20000 * th) ** (df - 1)) * th / sum(cos((k + 0.5) / 20000 * pi() / 2) ** (df - 1)) / (pi() / 2) FROM range(20000) r(k))"
+_U = """ties AS (SELECT metric, cohort, sum((a + b) ** 3 - (a + b)) AS ts FROM n GROUP BY ALL),
+u AS (SELECT metric, cohort, CAST(sum(a) AS BIGINT) AS n_left, CAST(sum(b) AS BIGINT) AS n_right, sum(a * (below + b / 2)) AS u FROM w GROUP BY ALL),
+z AS (SELECT *, greatest(0, abs(u - n_left * n_right / 2) - 0.5) / sqrt(n_left * n_right / 12 * (n_left + n_right + 1 - ts / ((n_left + n_right) * (n_left + n_right - 1)))) AS z FROM u JOIN ties USING (metric, cohort)),
+pu AS (SELECT metric, cohort, n_left, n_right, u, """ + _NORMAL_P + """ AS p FROM z)"""
+
+
+def _long_split(spark, d):
+    return v_points(spark, d).select(F.concat(F.lit("c"), (F.col("id") % 2).cast("string")).alias("cohort"), (F.col("cluster_id") >= 3).alias("lft"), "x", "b_factor")
+
+
 @query("comparison_table", f"""
-WITH {_LONG}, r AS (SELECT metric, cohort, 2 * sum(a * (below + b / 2)) / (sum(a) * sum(b)) - 1 AS r FROM w GROUP BY ALL),
-q AS (SELECT metric, cohort, count(*) FILTER (lft) AS n_left, median(v) FILTER (lft) AS median_left, quantile_cont(v, 0.25) FILTER (lft) AS q1_left, count(*) FILTER (NOT lft) AS n_right, median(v) FILTER (NOT lft) AS median_right, quantile_cont(v, 0.75) FILTER (NOT lft) AS q3_right FROM m GROUP BY ALL)
-SELECT metric, cohort, n_left, round(median_left, 2) AS median_left, round(q1_left, 2) AS q1_left, n_right, round(median_right, 2) AS median_right, round(q3_right, 2) AS q3_right, round(r, 6) AS r FROM q JOIN r USING (metric, cohort)
+WITH {_LONG}, {_U},
+sd AS (SELECT metric, cohort, lft, v, row_number() OVER (PARTITION BY metric, cohort, lft ORDER BY v) - 1 AS idx, count(*) OVER (PARTITION BY metric, cohort, lft) AS n FROM m),
+hb AS (SELECT draw, st, {_mix_sql("(st * 2654435769 + draw + 1) % 4294967296", "h")} FROM range(2000) r(draw), range(2) s(st)),
+kk AS (SELECT metric, cohort, lft, draw, n, {_mix_sql("(h + idx * 2654435769) % 4294967296", "x")} FROM sd JOIN hb ON hb.st = CASE WHEN lft THEN 0 ELSE 1 END),
+mm AS (SELECT metric, cohort, lft, draw, CAST((x * n) >> 32 AS BIGINT) AS idx, count(*) AS k FROM kk GROUP BY ALL),
+ww AS (SELECT metric, cohort, draw, v, coalesce(sum(k) FILTER (lft), 0) AS a, coalesce(sum(k) FILTER (NOT lft), 0) AS b FROM sd JOIN mm USING (metric, cohort, lft, idx) GROUP BY ALL),
+cc AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY metric, cohort, draw ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ww),
+ee AS (SELECT metric, cohort, draw, 2 * sum(a * (below + b / 2)) / (sum(a) * sum(b)) - 1 AS r FROM cc GROUP BY ALL),
+ci AS (SELECT metric, cohort, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM ee GROUP BY ALL),
+q AS (SELECT metric, cohort, median(v) FILTER (lft) AS median_left, quantile_cont(v, 0.25) FILTER (lft) AS q1_left, quantile_cont(v, 0.75) FILTER (lft) AS q3_left, median(v) FILTER (NOT lft) AS median_right, quantile_cont(v, 0.25) FILTER (NOT lft) AS q1_right, quantile_cont(v, 0.75) FILTER (NOT lft) AS q3_right FROM m GROUP BY ALL)
+SELECT metric, cohort, n_left, round(median_left, 2) AS median_left, round(q1_left, 2) AS q1_left, round(q3_left, 2) AS q3_left, n_right, round(median_right, 2) AS median_right, round(q1_right, 2) AS q1_right, round(q3_right, 2) AS q3_right,
+  round(2 * u / (n_left * n_right) - 1, 6) AS r, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 5) AS p, CASE WHEN p < 1e-4 THEN '****' WHEN p < 1e-3 THEN '***' WHEN p < 1e-2 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS sig
+FROM q JOIN pu USING (metric, cohort) JOIN ci USING (metric, cohort)
 """)
 def comparison_table(spark, d):
-    x = v_points(spark, d).select(F.concat(F.lit("c"), (F.col("id") % 2).cast("string")).alias("cohort"), (F.col("cluster_id") >= 3).alias("lft"), "x", "b_factor")
-    out = stages.comparison_table(x, ["x", "b_factor"], "lft")
-    return rounded(out.select("metric", "cohort", "n_left", "median_left", "q1_left", "n_right", "median_right", "q3_right", "r"), "median_left", "q1_left", "median_right", "q3_right", "r")
+    out = stages.comparison_table(_long_split(spark, d), ["x", "b_factor"], "lft").withColumns({"lo": F.col("ci.lo"), "hi": F.col("ci.hi"), "p": F.round("p", 5)}).drop("ci")
+    return rounded(out, "median_left", "q1_left", "q3_left", "median_right", "q1_right", "q3_right", "r", "lo", "hi")
 
 
 @query("two_sample_tests", f"""
-WITH {_LONG}, u AS (SELECT metric, cohort, CAST(sum(a) AS BIGINT) AS n_left, CAST(sum(b) AS BIGINT) AS n_right, sum(a * (below + b / 2)) AS u FROM w GROUP BY ALL),
+WITH RECURSIVE {_LONG}, {_U},
 c AS (SELECT *, sum(a) OVER k / sum(a) OVER p AS fa, sum(b) OVER k / sum(b) OVER p AS fb FROM n WINDOW k AS (PARTITION BY metric, cohort ORDER BY v), p AS (PARTITION BY metric, cohort)), d AS (SELECT metric, cohort, max(abs(fa - fb)) AS d FROM c GROUP BY ALL),
-t AS (SELECT metric, cohort, (avg(v) FILTER (lft) - avg(v) FILTER (NOT lft)) / sqrt(var_samp(v) FILTER (lft) / count(*) FILTER (lft) + var_samp(v) FILTER (NOT lft) / count(*) FILTER (NOT lft)) AS t FROM m GROUP BY ALL)
-SELECT metric, cohort, n_left, n_right, round(u, 4) AS u, round(d, 6) AS d, round(t, 6) AS t, true AS p_fits FROM u JOIN d USING (metric, cohort) JOIN t USING (metric, cohort)
+s AS (SELECT metric, cohort, avg(v) FILTER (lft) - avg(v) FILTER (NOT lft) AS gap, var_samp(v) FILTER (lft) / count(*) FILTER (lft) AS va, var_samp(v) FILTER (NOT lft) / count(*) FILTER (NOT lft) AS vb, count(*) FILTER (lft) - 1 AS da, count(*) FILTER (NOT lft) - 1 AS db FROM m GROUP BY ALL),
+t AS (SELECT metric, cohort, gap / sqrt(va + vb) AS t, (va + vb) ** 2 / (va ** 2 / da + vb ** 2 / db) AS df, atan(abs(gap) / sqrt(va + vb) / sqrt((va + vb) ** 2 / (va ** 2 / da + vb ** 2 / db))) AS th FROM s),
+pt AS (SELECT metric, cohort, t, {_T_P} AS p FROM t),
+k AS (SELECT metric, cohort, n_left AS n1, n_right AS n2, CAST(round(d * n_left * n_right) AS BIGINT) AS h, 0 AS s, [CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE 1.0 END FOR i IN range(0, n_left + 1)] AS g FROM u JOIN d USING (metric, cohort)
+  UNION ALL SELECT metric, cohort, n1, n2, h, s + 1, [CASE WHEN i > s + 1 OR s + 1 - i > n2 OR abs(i * n2 - (s + 1 - i) * n1) >= h THEN 1.0::DOUBLE ELSE (CASE WHEN i > 0 THEN i * g[i] ELSE 0 END + CASE WHEN s + 1 - i > 0 THEN (s + 1 - i) * g[i + 1] ELSE 0 END) / (s + 1) END FOR i IN range(0, n1 + 1)] FROM k WHERE s < n1 + n2),
+pk AS (SELECT metric, cohort, g[n1 + 1] AS p FROM k WHERE s = n1 + n2)
+SELECT metric, cohort, n_left, n_right, round(u, 4) AS u, round(d, 6) AS d, round(t, 6) AS t, round(pu.p, 5) AS p_mann_whitney, round(pk.p, 5) AS p_ks, round(pt.p, 5) AS p_welch
+FROM pu JOIN d USING (metric, cohort) JOIN pt USING (metric, cohort) JOIN pk USING (metric, cohort)
 """)
 def two_sample_tests(spark, d):
-    """Statistics with their p-values; for samples of this size both Mann-Whitney's and Welch's follow the normal curve."""
-    x = v_points(spark, d).select(F.concat(F.lit("c"), (F.col("id") % 2).cast("string")).alias("cohort"), (F.col("cluster_id") >= 3).alias("lft"), "x", "b_factor").unpivot(["cohort", "lft"], ["x", "b_factor"], "metric", "v")
+    """Statistics with their p-values: areas under the curves, and Kolmogorov-Smirnov's by counting lattice paths."""
+    x = _long_split(spark, d).unpivot(["cohort", "lft"], ["x", "b_factor"], "metric", "v")
     p = stats.p_values(x, "v", "lft", ["metric", "cohort"])
-    fits = F.col("p_mann_whitney").between(0, 1) & F.col("p_ks").between(0, 1) & F.col("p_welch").between(0, 1)
-    return p.select("metric", "cohort", "n_left", "n_right", F.round("u", 4).alias("u"), F.round("d", 6).alias("d"), F.round("t", 6).alias("t"), fits.alias("p_fits"))
+    return p.select("metric", "cohort", "n_left", "n_right", F.round("u", 4).alias("u"), F.round("d", 6).alias("d"), F.round("t", 6).alias("t"), *[F.round(c, 5).alias(c) for c in ("p_mann_whitney", "p_ks", "p_welch")])
+
+
+@query("spearman_test", f"""
+WITH m AS (SELECT 'c' || (id % 2) AS cohort, x, b_factor AS y FROM v_points), k AS (SELECT cohort, rank() OVER (PARTITION BY cohort ORDER BY x) + (count(*) OVER (PARTITION BY cohort, x) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY cohort ORDER BY y) + (count(*) OVER (PARTITION BY cohort, y) - 1) / 2.0 AS rb FROM m),
+r AS (SELECT cohort, count(*) AS n, corr(ra, rb) AS rho FROM k GROUP BY 1), t AS (SELECT *, n - 2 AS df, atan(abs(rho) / sqrt(1 - rho * rho)) AS th FROM r)
+SELECT cohort, n, round(rho, 6) AS rho, round({_T_P}, 5) AS p FROM t
+""")
+def spearman_test(spark, d):
+    x = _long_split(spark, d)
+    return stats.spearman_test(x, "x", "b_factor", ["cohort"]).select("cohort", "n", F.round("rho", 6).alias("rho"), F.round("p", 5).alias("p"))
 
 
 # partitions of structures whose distances come in levels, so that classes are known
@@ -396,12 +433,10 @@ def cophenetic(spark, d):
     return rounded(stats.spearman(both.withColumn("_k", F.lit(1)), "a", "b", ["_k"]).select("n", "rho"), "rho")
 
 
-@query("leaf_order", "SELECT n_nationkey AS member, n_nationkey % 2 AS half FROM nation")
+@query("leaf_order", "SELECT n_nationkey AS member, CAST(row_number() OVER (ORDER BY n_nationkey % 2, n_nationkey % 4, n_nationkey) - 1 AS INTEGER) AS place FROM nation")
 def leaf_order(spark, d):
-    """Along the tree the halves follow one another."""
-    o = partitions.leaf_order(_levels(spark, d), "i", "j", "u")
-    n = t(spark, d, "nation").where("n_nationkey % 2 = 0").count()
-    return o.select("member", F.when(F.col("place") < n, 0).otherwise(1).cast("long").alias("half"))
+    """Equal distances merge by least members, so classes, and the halves of classes, follow one another."""
+    return partitions.leaf_order(_levels(spark, d), "i", "j", "u")
 
 
 @query("rho_by_group", f"""

@@ -144,6 +144,33 @@ def test_command_line(spark, folder, tmp_path):
     assert "A" in cells["_atom_site.auth_asym_id"]
 
 
+def test_frames_of_finished_cohorts(spark, tmp_path):
+    """Consensus, agreement and summary of two cohorts, one without metadata, by hand."""
+    members = "cluster_id,within_cutoff,pdb_id,chain_id,res_id,altloc,x,y,z,b_factor,occupancy,edia\n"
+    head = "cluster_id,center_x,center_y,center_z,std_x,std_y,std_z,cluster_occupancy,n_radius_rejected\n"
+    for name, far in (("one_iso", 9.0), ("two", 0.2)):
+        d = tmp_path / name
+        d.mkdir()
+        rows = ["0,true,1aaa,A,1,,0.0,0.0,0.0,10.0,1.0,0.9", "0,true,2bbb,A,1,,0.1,0.0,0.0,12.0,1.0,", f"-1,false,2bbb,A,2,,{far},0.0,0.0,30.0,1.0,", "1,true,1aaa,A,3,,50.0,0.0,0.0,20.0,1.0,"]
+        (d / "cluster_members.csv").write_text(members + "\n".join(rows) + "\n")
+        (d / "clusters.csv").write_text(head + "0,0.05,0.0,0.0,0.05,0.0,0.0,1.0,0\n1,50.0,0.0,0.0,0.0,0.0,0.0,0.5,0\n")
+    (tmp_path / "one").mkdir()
+    names = [c.split()[0] for c in schemas.METADATA.split(", ")]
+    line = lambda **own: ",".join(str(own.get(c, "<missing>")) for c in names)
+    (tmp_path / "one" / "metadata.csv").write_text("\n".join([",".join(names), line(pdb_id="1aaa", resolution=1.5, num_water=7), line(pdb_id="2bbb", num_water=8)]) + "\n")
+    cli.main(["frames", str(tmp_path), str(tmp_path / "out"), "--cohorts", "one_iso", "two", "--consensus-cutoff", "0.8", "--match-radius", "1.0"], spark)
+    read = lambda n: spark.read.csv(str(tmp_path / "out" / f"{n}.csv"), header=True, inferSchema=True)
+    waters = read("waters").groupBy("cohort", "group").count().collect()
+    assert {(r["cohort"], r["group"]): r["count"] for r in waters} == {(c, g): 2 for c in ("one_iso", "two") for g in ("consensus", "nonconsensus")}
+    st = {(r["cohort"], r["pdb_id"]): r for r in read("structures").collect()}
+    assert len(st) == 4 and all(r["recall"] == 1 for r in st.values())
+    assert st["one_iso", "2bbb"]["precision"] == 0.5 and st["two", "2bbb"]["precision"] == 1 and st["one_iso", "1aaa"]["precision"] == 0.5
+    of = lambda k, c: str(st[k][c])
+    assert of(("one_iso", "1aaa"), "resolution") == "1.5" and float(of(("one_iso", "1aaa"), "num_water_deposited")) == 7
+    assert of(("one_iso", "2bbb"), "resolution") == of(("two", "1aaa"), "resolution") == "<missing>"
+    assert read("summary").count() == 2
+
+
 def test_one_structure_fails_alone(spark):
     rows = []
     for p in ("bad", "none", "nocell", "dry", "far"):

@@ -122,6 +122,37 @@ def test_linkage():
     assert np.allclose(partitions.complete_linkage(d)[:, 2], heights)
 
 
+def test_linkage_by_rounds(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = []
+    for g in "ab":
+        p = r.normal(size=(17, 2))
+        rows += [(g, i, j, float(np.linalg.norm(p[i] - p[j]))) for i in range(17) for j in range(i) if (i, j) != (5, 2)]
+    df = spark.createDataFrame(rows, "g string, i int, j int, d double")
+    labels = lambda: {(x["g"], x["member"]): x["label"] for x in partitions.linkage_labels(df, "i", "j", "d", 1.4, ["g"]).collect()}
+    sweep = lambda: sorted(map(tuple, partitions.linkage_sweep(df.where("g = 'a'"), "i", "j", "d", [0.5, 1.4]).collect()))
+    alone = labels(), sweep()
+    monkeypatch.setattr(partitions, "IN_TASK", 0)
+    assert (labels(), sweep()) == alone and len(set(alone[0].values())) > 3
+    heights = sorted(x["height"] for x in partitions.linkage_merges(df.where("g = 'b'"), "i", "j", "d").collect())
+    _, d = partitions._matrix(df.where("g = 'b'").toPandas(), "i", "j", "d")
+    assert np.allclose(heights, partitions.complete_linkage(d)[:, 2])
+
+
+def test_leaf_order_by_plain_means(spark):
+    r = np.random.default_rng(4)
+    n = 40
+    p = r.normal(size=(n, 3))
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    held = {k: [k] for k in range(n)}
+    while len(held) > 1:
+        _, a, b = min((float(np.mean(d[np.ix_(held[x], held[y])])), x, y) for x in held for y in held if x < y)
+        held[a] += held.pop(b)
+    rows = [(i, j, float(d[i, j])) for i in range(n) for j in range(n) if i != j]
+    got = partitions.leaf_order(spark.createDataFrame(rows, "i int, j int, d double"), "i", "j", "d").orderBy("place").collect()
+    assert [x["member"] for x in got] == held[0]
+
+
 def test_statistics():
     assert abs(stats.t_p(2.0, 10) - 0.07338803) < 1e-7
     assert abs(stats.beta_tail(2, 3, 0.5) - 0.6875) < 1e-12
