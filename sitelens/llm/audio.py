@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, table, tidied
+from .common import documents, scratch, slices, table, tidied
 
 RATE, UP, DOWN = 16_000, 1, 2
 WIN, HOP, MELS, SLICES = 256, 128, 24, 8
@@ -204,14 +204,18 @@ def features(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, segments long, tensors binary")
 
 
-def store_features(media: DataFrame) -> DataFrame:
+def store_features(media: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The features as a table of the shared folder; ``tensors`` holds the fixed-shape tensors of each row with their time spans."""
-    return table(features(media), "features")[0]
+    out, path = table(features(media), "features")
+    if keep is not None:
+        keep.append(path)
+    return out
 
 
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents stored as samples, read back, with a digest of their features."""
-    f = features(store(documents(spark, sf_dir)))
+    """All documents stored as samples and read back; a digest of their features as the table of features has them."""
+    with scratch(spark) as keep:
+        f = store_features(store(documents(spark, sf_dir)), keep)
     feature = F.concat_ws(":", "frames", "segments", F.sha2("tensors", 256))
     return f.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
