@@ -6,9 +6,11 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import kept
+
 AXES = ("x", "y", "z")
 
 
@@ -58,15 +60,47 @@ def least_distances(a: np.ndarray, b: np.ndarray, block: int = 1 << 22) -> np.nd
     return out
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str] = (), id_col: str = "id", start: float = 2.0, rounds: int = 3) -> DataFrame:
+def _placed(df: DataFrame) -> DataFrame:
+    """The rows with finite coordinates."""
+    for c in AXES:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")))
+    return df
+
+
+def _ring(rest: DataFrame, right: DataFrame, keys: list[str], id_col: str, r: float) -> DataFrame:
+    """(keys, id, distance) of the points that have one within r; right has its fine cells of a quarter of r.
+
+    Occupied fine cells come first: a cell whose near side lies beyond another's far side, or beyond r, is left out, and
+    only the others' points are compared.
+    """
+    side, fine = r / 4, [f"_f{a}" for a in AXES]
+    right = right.withColumns({f: F.floor(F.col(a) / side).cast("long") for f, a in zip(fine, AXES, strict=True)})
+    cells = right.select(*keys, *fine).distinct()
+    cells = cells.withColumns({f"_{a}": F.floor(F.col(f) / 4).cast("long") for f, a in zip(fine, AXES, strict=True)})
+    near = rest.select("*", *_cell(r))
+    for a in AXES:
+        near = near.withColumn("_n", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"_{a}", F.col(f"_{a}") + F.col("_n")).drop("_n")
+    c = near.join(cells, [*keys, *[f"_{a}" for a in AXES]])
+    low, high = F.lit(0.0), F.lit(0.0)
+    for f, a in zip(fine, AXES, strict=True):
+        before, behind = F.col(f) * side - F.col(a), F.col(a) - (F.col(f) + 1) * side
+        gap, far = F.greatest(before, behind, F.lit(0.0)), F.greatest(-before, -behind)
+        low, high = low + gap * gap, high + far * far
+    c = c.withColumns({"_low": low, "_high": F.min(high).over(Window.partitionBy(*keys, id_col))})
+    c = c.where(F.col("_low") <= F.least("_high", F.lit(r * r)) * (1 + 1e-9)).select(*keys, id_col, *AXES, *fine)
+    p = c.join(right.select(*keys, *fine, *[F.col(a).alias(f"{a}_r") for a in AXES]), [*keys, *fine])
+    return p.groupBy(*keys, id_col).agg(F.sqrt(F.min(distance2("", "_r"))).alias("distance")).where(F.col("distance") <= r)
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str] = (), id_col: str = "id", start: float = 2.0) -> DataFrame:
     """For each left point the distance to its nearest right point of the same keys: (keys, id, distance).
 
     Where every key has at most ``DIRECT`` points (counted first), both sides meet by key and are compared in blocks. Else,
-    and without keys, rings of doubling radius serve the points not served yet; what no ring reaches is compared with all
-    points of its keys (never more than one best per point leaves the join's aggregate).
+    and without keys, rings of doubling radius serve the points not served yet, until none is left: a point ends by the
+    bound of its ring. Points without finite coordinates, or without a right point, have no row.
     """
     keys = list(keys)
-    lt, rt = left.select(*keys, id_col, *AXES), right.select(*keys, *AXES)
+    lt, rt = _placed(left.select(*keys, id_col, *AXES)), _placed(right.select(*keys, *AXES))
     if keys:
         most = lt.select(*keys).unionByName(rt.select(*keys)).groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
         if most <= DIRECT:
@@ -81,16 +115,18 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str] = (), id_col: str
             other, own = [f"_{a}" for a in AXES], [f"_k{i}" for i in range(len(keys))]
             rt = rt.select(*[F.col(c).alias(n) for c, n in zip((*keys, *AXES), (*own, *other), strict=True)])
             return lt.groupBy(*keys).cogroup(rt.groupBy(*own)).applyInPandas(run, schema)
-    found, rest, r = None, lt, start
-    for _ in range(rounds):
-        hit = radius_join(rest, rt.distinct(), r, keys).groupBy(*keys, F.col(f"{id_col}_l").alias(id_col)).agg(F.min("distance").alias("distance"))
+    rt = kept(rt.distinct())
+    rest = lt.join(rt.select(*keys).distinct(), keys, "left_semi") if keys else lt if rt.limit(1).count() else lt.limit(0)
+    found, rest, r, step = None, kept(rest), start, 2.0
+    while n := rest.count():
+        hit = radius_join(rest, rt, r, keys).groupBy(*keys, F.col(f"{id_col}_l").alias(id_col)).agg(F.min("distance").alias("distance")) if found is None else _ring(rest, rt, keys, id_col, r)
+        hit = kept(hit)
         found = hit if found is None else found.unionByName(hit)
-        rest = rest.join(hit.select(*keys, id_col), [*keys, id_col], "left_anti")
-        r *= 2
-    # the join's strategy is left to the optimizer: neither side has a proven size
-    far = rest.join(rt.toDF(*keys, *[f"{a}_r" for a in AXES]), keys) if keys else rest.join(rt.toDF(*[f"{a}_r" for a in AXES]))
-    far = far.groupBy(*keys, id_col).agg(F.min(F.sqrt(distance2("", "_r"))).alias("distance"))
-    return found.unionByName(far)
+        rest = kept(rest.join(hit.select(*keys, id_col), [*keys, id_col], "left_anti"))
+        # where nothing is near, the rings grow faster
+        step = 2.0 if rest.count() < n else 2 * step
+        r *= step
+    return lt.select(*keys, id_col).limit(0).withColumn("distance", F.lit(0.0)) if found is None else found
 
 
 def coverage(points: DataFrame, centers: DataFrame, radius: float, keys: list[str], point_id: str, center_id: str) -> DataFrame:
@@ -179,8 +215,31 @@ def maximum_matching(edges: list[tuple[int, int]]) -> int:
                         path.pop()
 
 
+#: Edges of one key up to which a task matches them all.
+MATCH = 200_000
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of edges (u, v): the least node reachable. Labels spread to neighbours and along labels in rounds."""
+    e = edges.select("u", "v").distinct()
+    both = kept(e.union(e.select("v", "u")))
+    labels, total = kept(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label"))), None
+    while True:
+        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("_m"))
+        new = labels.join(near, F.col("node") == F.col("u")).select("node", F.least("label", "_m").alias("label"))
+        on = new.select(F.col("node").alias("_at"), F.col("label").alias("_to"))
+        labels = kept(new.join(on, F.col("label") == F.col("_at")).select("node", F.least("label", "_to").alias("label")))
+        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if now == total:
+            return labels
+        total = now
+
+
 def matched_coverage(points: DataFrame, centers: DataFrame, radius: float, keys: list[str], point_id: str, center_id: str) -> DataFrame:
-    """Per keys: size of the largest one-to-one matching within the radius, and it over points and over centers."""
+    """Per keys: size of the largest one-to-one matching within the radius, and it over points and over centers.
+
+    Where a key has over ``MATCH`` edges they are dealt out by connected components, which are local, and matched apart.
+    """
     hits = radius_join(points.select(*keys, point_id, *AXES), centers.select(center_id, *AXES), radius)
     ks = [F.col(f"{k}_l").alias(k) for k in keys]
     pairs = hits.select(*ks, F.col(f"{point_id}_l").cast("long").alias("p"), F.col(f"{center_id}_r").cast("long").alias("c"))
@@ -189,7 +248,15 @@ def matched_coverage(points: DataFrame, centers: DataFrame, radius: float, keys:
     def match(key, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[*key, maximum_matching(list(zip(pdf["p"], pdf["c"], strict=True)))]], columns=[*keys, "matched"])
 
-    got = pairs.groupBy(*keys).applyInPandas(match, schema)
+    pairs = kept(pairs)
+    most = pairs.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    if (most[0] or 0) > MATCH:
+        pairs = pairs.withColumns({"u": F.xxhash64(F.lit("p"), *keys, "p"), "v": F.xxhash64(F.lit("c"), *keys, "c")})
+        part = F.pmod(F.xxhash64("label"), F.lit(-(-4 * most[1] // MATCH)))
+        pairs = pairs.join(components(pairs).withColumnRenamed("node", "u"), "u").withColumn("_part", part)
+        got = pairs.groupBy(*keys, "_part").applyInPandas(lambda key, pdf: match(key[:-1], pdf), schema).groupBy(*keys).agg(F.sum("matched").alias("matched"))
+    else:
+        got = pairs.groupBy(*keys).applyInPandas(match, schema)
     total = centers.agg(F.count_distinct(center_id).alias("_n"))
     out = points.groupBy(*keys).agg(F.count_distinct(point_id).alias("num_water")).join(got, keys, "left").join(F.broadcast(total))
     m = F.coalesce("matched", F.lit(0))

@@ -224,3 +224,29 @@ def test_quantiles_and_nearest_by_brute_force(spark):
     spatial.DIRECT = direct
     got = {x["id"]: x["distance"] for x in spatial.nearest(left, right).collect()}
     assert all(np.isclose(got[i], every[i]) for i in every)
+
+
+def test_scattered_points_end_by_a_bound(spark):
+    """Points far from all others, on dense spots, and without coordinates; no join of all points."""
+    from sitelens.operators import spatial
+
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(0, 0.05, (300, 3)), r.uniform(-500, 500, (60, 3)), [[1e5, 0, 0], [0, -3e4, 7]]])
+    y = np.concatenate([r.normal(40, 0.05, (400, 3)), r.uniform(-300, 300, (30, 3))])
+    frame = lambda p, more=(): spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)] + list(more), "id int, x double, y double, z double")
+    got = {a["id"]: a["distance"] for a in spatial.nearest(frame(x, [(-1, None, 0.0, 0.0), (-2, float("nan"), 0.0, 0.0)]), frame(y)).collect()}
+    want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)).min(1)
+    assert got.keys() == set(range(len(x))) and np.allclose([got[k] for k in range(len(x))], want)
+    assert spatial.nearest(frame(x), frame(y).limit(0)).collect() == []
+
+
+def test_matching_by_components(spark, monkeypatch):
+    from sitelens.operators import spatial
+
+    r = np.random.default_rng(9)
+    frame = lambda p, i: spark.createDataFrame([("k" + str(n % 2), n, *map(float, v)) for n, v in enumerate(p)], f"k string, {i} int, x double, y double, z double")
+    p, c = frame(r.uniform(0, 12, (160, 3)), "id"), frame(r.uniform(0, 12, (90, 3)), "c").drop("k")
+    rows = lambda: sorted(map(tuple, spatial.matched_coverage(p, c, 1.6, ["k"], "id", "c").collect()))
+    alone = rows()
+    monkeypatch.setattr(spatial, "MATCH", 40)
+    assert rows() == alone and all(0 < x[1] < 80 for x in alone)
