@@ -167,6 +167,65 @@ def filter_whole(spark, d):
     return filters.filter_waters(atoms, st, 2.5, b_cutoff=0.5)[2]
 
 
+_SITES = """w AS (SELECT * FROM v_points WHERE cluster_id % 2 = 0 AND id % 5 <> 0), p AS (SELECT * FROM v_points WHERE cluster_id % 2 <> 0), s AS (
+  SELECT w.id, w.pdb_id, w.x, w.y, w.z, round_even((w.x - p.x) / 10, 0) AS i, round_even((w.y - p.y) / 12, 0) AS j, round_even((w.z - p.z) / 14, 0) AS k, w.x - p.x AS dx, w.y - p.y AS dy, w.z - p.z AS dz FROM w JOIN p USING (pdb_id)
+), n AS (SELECT *, sqrt((dx - 10 * i) ** 2 + (dy - 12 * j) ** 2 + (dz - 14 * k) ** 2) AS dist FROM s),
+m AS (SELECT id, pdb_id, min(dist) AS dist, arg_min(x - 10 * i, dist) AS nx, arg_min(y - 12 * j, dist) AS ny, arg_min(z - 14 * k, dist) AS nz, arg_min(abs(i) + abs(j) + abs(k), dist) > 0 AS moved FROM n GROUP BY ALL)"""
+
+
+def _sites(spark, d):
+    """(atoms, structures): points of even clusters as waters, every fifth of them a water hydrogen, all others as protein."""
+    p = v_points(spark, d)
+    water, hydrogen = F.col("cluster_id") % 2 == 0, F.col("id") % 5 == 0
+    pick = lambda a, b: F.when(water, a).otherwise(b)
+    atoms = p.select(
+        "pdb_id", F.col("id").cast("int").alias("atom_ord"), pick("HETATM", "ATOM").alias("group_pdb"), F.when(water & hydrogen, "H").otherwise(pick("O", "C")).alias("element"), pick("HOH", "ALA").alias("res_name"),
+        F.lit("A").alias("chain_id"), F.floor(F.col("id") / 25 % 4).cast("int").alias("res_id"), F.lit("").alias("ins_code"), "x", "y", "z", "b_factor",
+    )
+    return atoms, p.select("pdb_id").distinct().select("pdb_id", F.lit(None).cast("string").alias("space_group"), *[F.lit(v).alias(c) for v, c in zip((10.0, 12.0, 14.0, 90.0, 90.0, 90.0), filters.CELL, strict=True)])
+
+
+@query("filter_kept", f"""
+WITH {_SITES} SELECT pdb_id, CAST(id AS INTEGER) AS atom_ord, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM p UNION ALL SELECT pdb_id, CAST(id AS INTEGER), round(nx, 4), round(ny, 4), round(nz, 4) FROM m WHERE dist <= 2.5
+""")
+def filter_kept(spark, d):
+    """The atoms themselves: water hydrogens go, all that isn't water stays, waters stand where they were near."""
+    atoms, st = _sites(spark, d)
+    return filters.filter_waters(atoms, st, 2.5)[0].select("pdb_id", "atom_ord", *[F.round(c, 4).alias(c) for c in "xyz"])
+
+
+@query("filter_scores", f"""
+WITH {_SITES}, a AS (SELECT m.*, (id // 25) % 4 AS res, row_number() OVER (PARTITION BY pdb_id, (id // 25) % 4 ORDER BY id) AS nth FROM m),
+c AS (SELECT pdb_id, (id // 25) % 4 AS res, b_factor AS score, row_number() OVER (PARTITION BY pdb_id, (id // 25) % 4 ORDER BY id) AS nth FROM v_points WHERE id % 25 < 15 AND id % 3 <> 0),
+h AS (SELECT DISTINCT pdb_id FROM c), g AS (SELECT pdb_id, drop_missing, pdb_id IN (SELECT pdb_id FROM h) OR drop_missing AS edia_applied FROM (SELECT DISTINCT pdb_id FROM v_points), (VALUES (true), (false)) f(drop_missing)),
+e AS (SELECT g.pdb_id, drop_missing, edia_applied, a.id, moved, CASE WHEN dist > 2.5 THEN 'd' WHEN edia_applied AND NOT coalesce(score >= 0.1, false) THEN 'e' END AS gone FROM g LEFT JOIN a USING (pdb_id) LEFT JOIN c ON c.pdb_id = a.pdb_id AND c.res = a.res AND c.nth = a.nth)
+SELECT pdb_id, drop_missing, count(id) AS n_waters_before, count(id) FILTER (moved) AS n_waters_moved, count(id) FILTER (gone = 'd') AS n_waters_removed_by_distance, count(id) FILTER (gone = 'e') AS n_waters_removed_edia, count(id) FILTER (gone IS NULL) AS n_waters_remaining, edia_applied
+FROM e GROUP BY ALL
+""")
+def filter_scores(spark, d):
+    """Scores paired in order, with structures that have none: kept, or dropped on demand."""
+    atoms, st = _sites(spark, d)
+    p = v_points(spark, d).where("id % 25 < 15 and id % 3 <> 0")
+    scores = p.select("pdb_id", F.lit("A").alias("chain_id"), F.floor(F.col("id") / 25 % 4).cast("int").alias("res_id"), F.lit("").alias("ins_code"), F.col("id").cast("int").alias("pos"), F.col("b_factor").alias("score"))
+    arms = [filters.filter_waters(atoms, st, 2.5, scores, 0.1, drop_without_scores=v)[2].withColumn("drop_missing", F.lit(v)) for v in (True, False)]
+    return arms[0].unionByName(arms[1]).drop("error")
+
+
+@query("best_altlocs", """
+WITH a AS (SELECT pdb_id, id, x, 0.3 + (id % 5) / 10.0 AS oa FROM v_points WHERE id % 11 <> 0), f AS (SELECT pdb_id, min(id) + 9 AS off FROM a GROUP BY 1)
+SELECT pdb_id, CAST(id + 10 - off AS INTEGER) AS res_id, CASE WHEN oa >= 0.5 THEN 'A' ELSE 'B' END AS altloc, round(CASE WHEN oa >= 0.5 THEN x ELSE x + 1 END, 4) AS x, CAST(off AS INTEGER) AS "offset" FROM a JOIN f USING (pdb_id)
+""")
+def best_altlocs(spark, d):
+    """Each point as a residue at two alternative locations, the first kept on ties; others than amino acids go; the first residue is 1."""
+    p = v_points(spark, d)
+    k, first = F.col("id").cast("int"), F.col("alt") == "A"
+    atoms = p.withColumn("alt", F.explode(F.array(F.lit("A"), F.lit("B")))).select(
+        "pdb_id", (2 * k + F.when(first, 0).otherwise(1)).alias("atom_ord"), F.when(k % 11 == 0, "UNK").otherwise("GLY").alias("res_name"), F.lit("A").alias("chain_id"), (k + 10).alias("res_id"), F.lit("").alias("ins_code"),
+        F.col("alt").alias("altloc"), F.when(first, 3 + k % 5).otherwise(7 - k % 5).cast("double").alias("occupancy"), F.when(first, F.col("x")).otherwise(F.col("x") + 1).alias("x"),
+    )
+    return readers.renumbered(alignment.best_altlocs(atoms)).select("pdb_id", "res_id", "altloc", F.round("x", 4).alias("x"), F.col("offset").cast("int").alias("offset"))
+
+
 # superposition
 
 
