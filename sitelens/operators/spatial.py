@@ -49,7 +49,7 @@ def close_pairs(points: DataFrame, radius: float, key: str) -> DataFrame:
 
 
 #: Points of one key up to which a task compares them directly; points common to all keys up to which they are broadcast.
-DIRECT, COMMON = 200_000, 200_000
+DIRECT, COMMON = 20_000, 20_000
 
 
 def least_distances(a: np.ndarray, b: np.ndarray, block: int = 1 << 22) -> np.ndarray:

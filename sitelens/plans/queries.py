@@ -580,7 +580,17 @@ def off_diagonal(spark, d):
     return rounded(partitions.off_diagonal(_pairs(spark, d), "i", "j", "v"), "least", "median", "greatest")
 
 
-@query("linkage")
+@query("linkage", f"""
+WITH RECURSIVE {_PAIRS_SQL}, q AS (SELECT p.i, p.j, (p.v + q.v) / 2 AS v FROM p JOIN p q ON p.i = q.j AND p.j = q.i WHERE p.i < p.j),
+st AS (SELECT 0 AS step, i AS member, i AS label FROM (SELECT cluster_id AS i FROM v_clusters)
+  UNION ALL (
+    WITH g AS (SELECT least(x.label, y.label) AS a, greatest(x.label, y.label) AS b, max(v) AS h FROM q JOIN st x ON x.member = q.i JOIN st y ON y.member = q.j WHERE x.label <> y.label GROUP BY ALL),
+    m AS (SELECT a, b FROM g WHERE h <= 3.0 ORDER BY h, a, b LIMIT 1)
+    SELECT step + 1, member, CASE WHEN label = m.b THEN m.a ELSE label END FROM st, m
+  )),
+f AS (SELECT member, label FROM st WHERE step = (SELECT max(step) FROM st))
+SELECT member, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS label FROM f
+""")
 def linkage(spark, d):
     return partitions.linkage_labels(partitions.symmetrise(_pairs(spark, d), "i", "j", "v"), "i", "j", "v", 3.0)
 
