@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import binning, clusters, density, filters, partitions, resampling, spatial, stats
+from ..shared import kept
 from ..sources import readers
 
 QUERIES: dict = {}
@@ -367,7 +368,11 @@ SELECT c.*, m.*, round(n_noise / n_points, 6) AS noise_share, round(n_within / n
 (SELECT pdb_id AS knee_id, round(f1, 6) AS knee_f1, round(sqrt((1 - recall) ** 2 + (1 - "precision") ** 2), 6) AS knee_distance FROM v_pr ORDER BY v_pr.f1 DESC, pdb_id LIMIT 1) k
 """)
 def summary(spark, d):
-    out = clusters.summary(v_pr(spark, d), v_clusters(spark, d), v_members(spark, d), 0.3, "pdb_id")
+    # points and clusters are made once for all that is read from them
+    m = kept(v_members(spark, d))
+    c = kept(clusters.table(m, 25))
+    pr = spatial.coverage(m, clusters.consensus_centers(c, 0.3), 2.0, ["pdb_id"], "id", "cluster_id")
+    out = clusters.summary(kept(pr), c, m, 0.3, "pdb_id")
     return rounded(out, "noise_share", "within_share", "knee_f1", "knee_distance")
 
 

@@ -144,6 +144,18 @@ def test_command_line(spark, folder, tmp_path):
     assert "A" in cells["_atom_site.auth_asym_id"]
 
 
+def test_texts_are_written_whole_or_not_at_all(spark, tmp_path):
+    df = spark.createDataFrame([(f"{k}xyz", f"text {k} é") for k in range(20)], "pdb_id string, cif string").repartition(5)
+    folder = (tmp_path / "out").as_uri()
+    broken = df.withColumn("cif", filters.F.expr("if(pdb_id = '7xyz', raise_error('lost'), cif)"))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_texts(broken, folder)
+    assert not list((tmp_path / "out").rglob("*"))
+    assert writers.write_texts(df, folder) == 20 == writers.write_texts(df, folder)
+    assert sorted(p.relative_to(tmp_path / "out").as_posix() for p in (tmp_path / "out").rglob("*") if p.is_file()) == sorted(f"{k}xyz/{k}xyz_final.cif" for k in range(20))
+    assert (tmp_path / "out" / "3xyz" / "3xyz_final.cif").read_text() == "text 3 é" and not list((tmp_path / "out").glob(".aside*"))
+
+
 def test_frames_of_finished_cohorts(spark, tmp_path):
     """Consensus, agreement and summary of two cohorts, one without metadata, by hand."""
     members = "cluster_id,within_cutoff,pdb_id,chain_id,res_id,altloc,x,y,z,b_factor,occupancy,edia\n"
