@@ -221,15 +221,24 @@ def bootstrap(df: DataFrame, value: str, left: str, keys: list[str], unit: str |
     d = df.where(F.col(left).isNotNull())
     v = finite(value)
     n = d.groupBy(*keys).agg(F.count(F.when(F.col(left), v)).alias("n_left"), F.count(F.when(~F.col(left), v)).alias("n_right"))
-    effect = {"mannwhitney": cliffs_delta, "ks": ks_distance, "welch": cohens_d}[test](d, value, left, keys)
-    effect = effect.select(*keys, F.col(effect.columns[-1]).alias("r"))
+    tests = None
+    if not unit:
+        # one table in order gives the effect and its test
+        own = {"mannwhitney": "p_mann_whitney", "ks": "p_ks", "welch": "p_welch"}[test]
+        delta = F.try_divide(2 * F.col("u"), F.col("n_left") * F.col("n_right")) - 1
+        tests = kept(p_values(d, value, left, keys).select(*keys, (F.col("d") if test == "ks" else delta).alias("r"), F.col(own).alias("p")))
+    if unit or test == "welch":
+        effect = {"mannwhitney": cliffs_delta, "ks": ks_distance, "welch": cohens_d}[test](d, value, left, keys)
+        effect = effect.select(*keys, F.col(effect.columns[-1]).alias("r"))
+    else:
+        effect = tests.drop("p")
     b = draws(d, value, left, keys, unit, n_boot, seed, test).where("effect is not null")
     share = lambda c: F.avg(c.cast("int"))
     b = b.groupBy(*keys).agg(F.percentile("effect", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"), F.least(F.lit(1.0), F.greatest(F.lit(1.0 / n_boot), 2 * F.least(share(F.col("effect") <= 0), share(F.col("effect") >= 0)))).alias("p"))
     join = lambda x, y: x.join(y, keys, "left") if keys else x.join(y, F.lit(True), "left")
     out = join(join(n, effect), b if unit else b.drop("p"))
     if not unit:
-        out = join(out, p_values(d, value, left, keys).select(*keys, F.col({"mannwhitney": "p_mann_whitney", "ks": "p_ks", "welch": "p_welch"}[test]).alias("p")))
+        out = join(out, tests.drop("r"))
     enough = (F.col("n_left") > 1) & (F.col("n_right") > 1)
     when = lambda c: F.when(enough, c)
     return out.select(*keys, when(F.col("r")).alias("r"), when(F.get("ci", F.lit(0))).alias("lo"), when(F.get("ci", F.lit(1))).alias("hi"), when(F.col("p")).alias("p"), "n_left", "n_right")
