@@ -82,7 +82,8 @@ def alphabet(texts: list[str]) -> np.ndarray:
 
 
 def fold(text: str, table: np.ndarray) -> np.ndarray:
-    """The symbols of a text: no marks, single spaces, and no spaces inside three or more letters that stand alone."""
+    """The symbols of a text: no marks, single spaces, and no spaces inside three or more letters that stand alone, but
+    where three spaces or more in a row mark a word's end."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     if len(codes) == 0 or codes.max() < len(table):
         s = table[codes]
@@ -93,14 +94,18 @@ def fold(text: str, table: np.ndarray) -> np.ndarray:
     s = s[s != 255]
     if len(s) < 3:
         return s
-    s = s[np.concatenate(([True], s[1:] != s[:-1]))]
+    first = np.concatenate(([True], s[1:] != s[:-1]))
+    wide = s == 1
+    wide[:-2] &= wide[1:-1] & wide[2:]
+    wide[-2:] = False
+    s, wide = s[first], wide[first]
     blank = np.concatenate(([True], s == 1, [True]))
     alone = ~blank[1:-1] & blank[:-2] & blank[2:]
     # a space between two lone letters, next to another such space
     inner = np.zeros(len(s) + 4, bool)
     inner[3:-3] = blank[2:-2] & alone[:-2] & alone[2:]
     inner[2:-2] &= inner[:-4] | inner[4:]
-    s = s[~inner[2:-2]]
+    s = s[~inner[2:-2] | wide]
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 

@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import string
 import zlib
@@ -40,6 +41,10 @@ def test_fold():
     assert not same("a b", "ab") and not same("an idiot", "anidiot")
     assert len(T.fold("", table)) == 0 and T.fold("　", table).tolist() == [1] and len(T.fold("\U0001f600。", table)) == 0
     assert T.fold("中", table).tolist() == [T.A - 1]
+    # spaces between all characters leave three or more at a word's end
+    for text in ("you are an idiot, really. Feel it", "no-one  is 1 moron", "it is so"):
+        assert same(text, " ".join(text), "-".join(text))
+    assert same("an idiot is", "an i d i o t   i s", "an i d i o t   is") and not same("i d i o t   y o u", "i d i o t  y o u")
 
 
 def test_kernel_by_brute_force():
@@ -86,6 +91,22 @@ def test_disguised_insults_are_found(model):
         assert (s[y] > np.quantile(s[~y], 0.98)).mean() >= 0.8 * recall
 
 
+def test_held_out_rows(spark):
+    """The figures that the README states, on rows whose labels were not learned."""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = T.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").where(T.held_out() & F.col("toxic").isin(0, 1)).select("text", "toxic").collect()
+    y = np.array([r["toxic"] for r in rows]) == 1
+    for change in (str, " ".join, "-".join):
+        s = model.scores([change(r["text"] or "") for r in rows])
+        rank = np.searchsorted(np.sort(s), s, "left") + np.searchsorted(np.sort(s), s, "right") + 1
+        auc = (rank[y].sum() / 2 - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+        assert auc >= 0.9 and (s[y] >= 0.3).mean() >= 0.75 and (s[~y] >= 0.3).mean() <= 0.03
+
+
 def test_blocks_and_ends(model):
     long = " ".join(prose(random.Random(6), 150_000))
     assert len(T.fold(long, model.symbols)) > T._MOST
