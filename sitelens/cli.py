@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import logging
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,8 @@ from .config import Config
 from .operators import alignment, density
 from .operators.filters import count_water_oxygens
 from .plans import cohort as stages
-from .sources import readers, writers
+from .shared import address
+from .sources import readers, structure_format, writers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -57,11 +57,6 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def address(path: str) -> str:
-    """A path as an address that pyarrow.fs knows."""
-    return path if "://" in path else Path(path).resolve().as_uri()
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.ERROR if a.quiet else logging.INFO)
@@ -75,11 +70,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             writers.write_csv(df, f"{a.output}/{name}.csv", one_file=name != "waters")
         return
     source = a.structures if a.stage == "zscore" else a.input
-    atoms, structures, scores = stages.load(spark, source)
-    if a.cohort:
-        ids = readers.read_cohorts(spark, a.cohort)
-        atoms, structures = (df.join(ids.select("pdb_id"), "pdb_id", "left_semi") for df in (atoms, structures))
-    atoms = atoms.persist()
+    whole = structure_format.read_whole(spark, source, a.cohort).persist()
+    atoms, structures, scores = stages.load(spark, source, whole)
     try:
         if a.stage == "metadata":
             entries = spark.read.option("pathGlobFilter", "*.json").text(a.entries, wholetext=True).select(F.lower(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)).alias("pdb_id"), F.col("value").alias("entry")) if a.entries else None
@@ -117,7 +109,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
 
             writers.write_csv(stages.add_zscore(readers.read_csv(spark, a.input, schemas.MEMBERS), atoms, c.bfactor_population), f"{a.output}/cluster_members.csv", one_file=False)
     finally:
-        atoms.unpersist()
+        whole.unpersist()
 
 
 if __name__ == "__main__":

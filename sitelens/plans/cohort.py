@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import Config
 from ..operators import alignment, binning, clusters, density, filters, resampling, spatial
-from ..sources import readers
+from ..sources import readers, structure_format
 
 
 def members_found(cohort: DataFrame, atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,6 +94,7 @@ def comparison_table(df: DataFrame, metrics: list[str], left: str, cohort: str =
     return sides[0].join(sides[1], ["metric", cohort], "full").join(boot, ["metric", cohort], "left")
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(atoms, structures, scores) of a folder."""
-    return readers.read_atoms(spark, path), readers.read_structures(spark, path), readers.read_scores(spark, path)
+def load(spark: SparkSession, path: str, whole: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(atoms, structures, scores) of a folder; with ``whole`` (``read_whole``, persisted) each file is parsed once for both."""
+    whole = structure_format.read_whole(spark, path) if whole is None else whole
+    return structure_format.atoms_in(whole), structure_format.structures_in(whole), readers.read_scores(spark, path)

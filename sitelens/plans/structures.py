@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import alignment, binning, clusters, density, filters, partitions, spatial, stats
-from ..sources import readers, writers
+from ..shared import address, kept, shared_dir
+from ..sources import readers, structure_format, writers
 from . import cohort as stages
 from .queries import _mix_sql, query, rounded, t, v_clusters, v_members, v_meta, v_points, v_pr
 
@@ -70,6 +73,17 @@ def cif_round_trip(spark, d):
     return back.select("pdb_id", "atom_ord", "res_name", "res_id", "x", "y", "z", "b_factor")
 
 
+@query("structure_files", f"WITH {_ATOMS_SQL} SELECT pdb_id, 10.0 + s_nationkey AS cell_a, CASE WHEN s_nationkey % 4 <> 0 THEN CAST('1.' || s_nationkey AS DOUBLE) END AS resolution, atom_ord, res_name, res_id, ins_code, x, y, z, b_factor FROM a")
+def structure_files(spark, d):
+    """The files are written to the shared folder and read by the format: scalars and atoms of one parse."""
+    folder = f"{address(shared_dir(spark))}/structures-{uuid.uuid4().hex}"
+    writers.write_texts(_texts(spark, d), folder, value="value")
+    whole = structure_format.read_whole(spark, folder)
+    out = kept(whole.select("pdb_id", "cell_a", "resolution", F.inline("atoms")).select("pdb_id", "cell_a", "resolution", "atom_ord", "res_name", "res_id", "ins_code", "x", "y", "z", "b_factor"))
+    writers.remove(folder)
+    return out
+
+
 @query("cluster_sites", """
 SELECT 'A' AS chain, CAST(cluster_id + 1 AS BIGINT) AS residue, round(center_x, 6) AS x, round(cluster_occupancy, 6) AS occupancy, round(sqrt((std_x ** 2 + std_y ** 2 + std_z ** 2) / 3), 6) AS b FROM v_clusters
 UNION ALL SELECT 'B', row_number() OVER (ORDER BY pdb_id, x, y, z), round(x, 6), round(1 / 25.0, 6), round(b_factor, 6) FROM v_members WHERE cluster_id = -1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,10 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder: later steps read it, and lost executors don't take it along."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def address(path: str) -> str:
+    """A path as an address that pyarrow.fs knows."""
+    if "://" in path:
+        return path
+    return Path(path.removeprefix("file:")).resolve().as_uri()

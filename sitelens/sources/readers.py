@@ -143,11 +143,11 @@ def structure_of(cif: dict[str, list[str]], pdb_id: str) -> tuple:
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.lower(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"(_final)?\.[^.]*$", "")).alias("pdb_id"), "value")
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.lower(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"(_final)?\.[^.]*$", "")).alias("pdb_id"), F.make_valid_utf8("value").alias("value"))
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.cif") -> DataFrame:
-    """(pdb_id, value): the whole text of each file below a path."""
+    """(pdb_id, value): the whole text of each file below a path; bytes that are no UTF-8 become U+FFFD."""
     return _files(spark, path, pattern)
 
 
