@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
-from .ranks import quantiles
+from ..shared import kept
+from .ranks import joined, quantiles
 
 
 def uniform_edges(low: float, high: float, bins: int) -> list[float]:
@@ -35,6 +36,12 @@ def occupancy_histogram(clusters: DataFrame, sizes: DataFrame, n_noise: DataFram
     return h.select("bin", "n_clusters", "n_points", F.try_divide("n_points", total).alias("share"), F.try_divide(above, total).alias("share_above"))
 
 
+def _beside(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the row of their keys; few of those go to all tasks, so that no task gets all rows of a key."""
+    small = kept(small)
+    return joined(df, small, keys, small.count())
+
+
 def quantile_edges(df: DataFrame, value: str, n: int, keys: list[str] = (), low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Distinct quantiles at n + 1 even probabilities within [low, high], rounded if all values are whole."""
     keys = list(keys)
@@ -48,7 +55,7 @@ def quantile_edges(df: DataFrame, value: str, n: int, keys: list[str] = (), low:
 def quantile_means(df: DataFrame, by: str, value: str, edges: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Count and mean of the value in right-closed bins of ``by``, the outer ones open to both sides."""
     d = df.select(*keys, finite(by).alias("_b"), finite(value).alias("_v")).where("_b is not null and _v is not null")
-    d = d.join(edges, list(keys)) if keys else d.join(F.broadcast(edges))
+    d = _beside(d, edges, list(keys))
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     d = d.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("_b"))))
     return d.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
@@ -111,4 +118,4 @@ def good_poor(df: DataFrame, metric: str, cohort: str) -> DataFrame:
     """Rows with the metric, labelled by their cohort's median (four decimals): good from it on."""
     d = df.withColumn("_m", finite(metric)).where("_m is not null")
     cut = quantiles(d, "_m", [0.5], [cohort]).select(cohort, F.round(F.get("q", F.lit(0)), 4).alias("split_cutoff"))
-    return d.join(cut, cohort).withColumn("split", F.when(F.col("_m") >= F.col("split_cutoff"), "good").otherwise("poor")).drop("_m")
+    return _beside(d, cut, [cohort]).withColumn("split", F.when(F.col("_m") >= F.col("split_cutoff"), "good").otherwise("poor")).drop("_m")

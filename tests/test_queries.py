@@ -61,3 +61,16 @@ def test_mantel_of_a_distance_without_spread(spark, tmp_path):
     want = con.execute(q.ORACLE_SQL["mantel"]).fetchall()
     got = [tuple(r) for r in q.mantel(spark, str(tmp_path)).collect()]
     assert repr(got) == repr(want) == "[(6, nan, 1.0)]"
+
+
+@pytest.mark.parametrize("name", ["quantile_bins", "good_poor"])
+def test_rows_of_a_cohort_stay_dealt(spark, sf_dir, name):
+    """Two cohorts: a join that shuffles rows by cohort puts half of them into a task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = q.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
