@@ -2,6 +2,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from sitelens.plans import queries as q
@@ -74,3 +75,20 @@ def test_rows_of_a_cohort_stay_dealt(spark, sf_dir, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_good_poor_leaves_rows_of_one_cohort_in_their_tasks(spark):
+    """One cohort and one missing metric in eight: every task of the table keeps its own rows, labelled by the whole cohort's median."""
+    v = q.F.when(q.F.col("id") % 8 > 0, (q.F.col("id") * 7919 % 4001).cast("double"))
+    x = spark.range(0, 4000, 1, 4).select("id", q.F.lit("c").alias("cohort"), v.alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = q.binning.good_poor(x, "v", "cohort").withColumn("task", q.F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    want = {k: float(k * 7919 % 4001) for k in range(4000) if k % 8}
+    cut = round(float(np.median(list(want.values()))), 4)
+    assert {r["id"]: (r["v"], r["split"]) for r in rows} == {k: (m, "good" if m >= cut else "poor") for k, m in want.items()} and len(rows) == len(want)
+    assert [sum(r["task"] == t for r in rows) for t in range(4)] == [875] * 4
